@@ -514,15 +514,15 @@ def arm_summary(df: DataFrame) -> DataFrame:
 def alignment_label(label_correct: Column, reasons_aligned: Column) -> Column:
     """Right-for-the-right-reasons two-by-two."""
     return F.concat_ws(
-        "_", F.when(label_correct, F.lit("right")).otherwise(F.lit("wrong")),
-        F.when(reasons_aligned, F.lit("right_reasons")).otherwise(F.lit("wrong_reasons")),
+        "_", F.when(label_correct, F.lit("correct")).otherwise(F.lit("incorrect")),
+        F.when(reasons_aligned, F.lit("aligned")).otherwise(F.lit("misaligned")),
     )
 
 
 def alignment_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("predictor_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("alignment").alias("mean_alignment"),
-        F.count_if(F.col("quadrant") == "right_right_reasons").alias("n_right_right"),
+        F.count_if(F.col("quadrant") == "correct_aligned").alias("n_right_right"),
     )
 
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions import calendar as cal, scoring as sc
+from tidemark.functions.text import first_json_object
 from tidemark.operators import asof
 from tidemark.operators.features import fill_gaps
 from tidemark.operators.ordered import lags
@@ -408,9 +409,7 @@ def from_samples(samples: DataFrame, expected: int | Column, keys: Sequence[str]
 
 def parse_responses(responses: DataFrame, text: str, schema: str) -> DataFrame:
     """Stored model responses to a struct: fences stripped, first JSON object kept, bad rows flagged."""
-    unfenced = F.regexp_replace(F.col(text), r"(?m)^\s*```[a-zA-Z]*\s*$", "")
-    body = F.regexp_extract(unfenced, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(F.when(body != "", body), schema, {"mode": "PERMISSIVE"})
+    parsed = F.from_json(first_json_object(F.col(text)), schema, {"mode": "PERMISSIVE"})
     return responses.withColumn("parsed", parsed).withColumn("parse_failed", F.col("parsed").isNull())
 
 

@@ -11,14 +11,14 @@ from tidemark.operators.features import CANONICAL, canonical, finite
 
 
 def table_id(raw: Column) -> Column:
-    """Digits of a statistical table id; 10-digit forms lose their two-digit view suffix."""
+    """The first eight digits of a statistical table id (a view suffix is dropped)."""
     digits = F.regexp_replace(raw, r"\D", "")
     return F.substring(digits, 1, 8)
 
 
 def safe_key(raw: Column) -> Column:
-    """A file-system-safe form of an identifier."""
-    return F.regexp_replace(raw, r"[^A-Za-z0-9._-]+", "_")
+    """A file-system-safe lower-case form of an identifier."""
+    return F.regexp_replace(F.regexp_replace(F.lower(raw), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
 
 
 def wide_table(spark: SparkSession, path: str, columns: Sequence[str], value: str = "VALUE", date: str = "REF_DATE") -> DataFrame:
@@ -92,10 +92,12 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 
 
 def covers_range(df: DataFrame, start: str, end: str) -> DataFrame:
-    """Per series: does the stored span reach from the first business day of the range to the last?"""
+    """Per series: does the stored span open by the first business day of the range and reach its last day?
+
+    ``end`` is exclusive, so the last day wanted is the one before it.
+    """
     first = cal.add_business_days(F.lit(start).cast("timestamp_ntz"), 0)
-    last_day = cal.plus_days(F.lit(end).cast("timestamp_ntz"), -1)
-    last = F.when(cal.is_weekday(last_day), last_day).otherwise(cal.plus_days(last_day, F.lit(4) - F.weekday(last_day)))
+    last = cal.plus_days(F.lit(end).cast("timestamp_ntz"), -1)
     spans = df.groupBy("series_id").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
     return spans.withColumn("covered", (F.col("first") <= first) & (F.col("last") >= last))
 
