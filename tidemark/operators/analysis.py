@@ -407,15 +407,14 @@ def volatility_regime(origins: DataFrame, prices: DataFrame, lookback: int = 21)
     The window is a fixed number of rows, so it is computed once per price row and read
     at the origins with an as-of join.
     """
-    steps = trailing(
-        prices, ["series_id"], "timestamp", 1, lambda w: {"_step": F.ln(F.col("value")) - F.ln(F.lag("value").over(w))}
-    )
+    def step(w):
+        return {"_step": F.ln(F.col("value")) - F.ln(F.lag("value").over(w))}
 
     def vol(w):
         frame = w.rowsBetween(-(lookback - 2), 0)
         return {"_sd": F.stddev_pop("_step").over(frame), "_rows": F.count("value").over(w.rowsBetween(-(lookback - 1), 0))}
 
-    labelled = trailing(steps, ["series_id"], "timestamp", lookback, vol)
+    labelled = trailing(prices, ["series_id"], "timestamp", lookback, [step, vol])
     annual = F.col("_v._sd") * F.lit(252.0**0.5) * 100
     label = F.when(F.col("_v").isNull() | (F.col("_v._rows") < MIN_VOL_ROWS), F.lit("unknown"))
     for cut, name in REGIME_CUTS:

@@ -1,8 +1,10 @@
 """Event studies: shocks, matched controls, pattern evidence and the graduation gate.
 
 Works on *sessions*: one row per series and trading day.  :func:`sessions` enforces that
-grain first, so anything done per series afterwards is bounded by the calendar (about 26k
-rows a century), whatever the raw row counts were.
+grain first with a partial aggregate, so a series holds at most one row per calendar day
+(about 26k a century) whatever the raw row counts were.  That bound is why ordinary
+per-series windows are used here instead of the blocked ones of
+:mod:`tidemark.operators.ordered`.
 """
 
 from __future__ import annotations
@@ -17,9 +19,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tidemark.functions import calendar as cal
 from tidemark.functions.stats import fisher_greater, population_lift
 from tidemark.operators import asof
-from tidemark.operators.ordered import lags, leads, row_index, running, trailing
+from tidemark.operators.ordered import row_index
 
 KEY = ["series_id"]
+
+
+def _in_order():
+    return Window.partitionBy(*KEY).orderBy("timestamp")
+
+
 VOL_SESSIONS = 21
 REGIME_HISTORY = 252
 CLUSTER_GAP = 1
@@ -39,18 +47,16 @@ def sessions(prices: DataFrame) -> DataFrame:
     daily = prices.groupBy("series_id", cal.midnight("timestamp").alias("timestamp")).agg(
         F.max_by("value", "timestamp").alias("value")
     )
-    returns = trailing(
-        daily, KEY, "timestamp", 1, lambda w: {"return_pct": (F.col("value") / F.lag("value").over(w) - 1) * 100}
-    )
-
-    def vols(w):
-        def sd(lo, hi):
-            frame = w.rowsBetween(lo, hi)
-            return F.when(F.count("return_pct").over(frame) == VOL_SESSIONS, F.stddev_samp("return_pct").over(frame))
+    w = _in_order()
 
-        return {"vol": sd(1 - VOL_SESSIONS, 0), "vol_before": sd(-VOL_SESSIONS, -1)}
+    def sd(lo: int, hi: int) -> Column:
+        frame = w.rowsBetween(lo, hi)
+        return F.when(F.count("return_pct").over(frame) == VOL_SESSIONS, F.stddev_samp("return_pct").over(frame))
 
-    return row_index(trailing(returns, KEY, "timestamp", VOL_SESSIONS, vols), KEY, "timestamp", "idx")
+    returns = daily.withColumn("return_pct", (F.col("value") / F.lag("value").over(w) - 1) * 100)
+    return returns.withColumns(
+        {"vol": sd(1 - VOL_SESSIONS, 0), "vol_before": sd(-VOL_SESSIONS, -1), "idx": F.row_number().over(w).cast("long")}
+    )
 
 
 def is_shock(threshold_pct: float, column: str = "return_pct") -> Column:
@@ -69,13 +75,11 @@ def shock_windows(days: DataFrame, threshold_pct: float, horizon: int = 1) -> Da
     """
     moved = days
     if horizon != 1:
-        moved = lags(days, KEY, "timestamp", {"_then": ("value", horizon)}).withColumn(
-            "return_pct", (F.col("value") / F.col("_then") - 1) * 100
-        )
+        moved = days.withColumn("return_pct", (F.col("value") / F.lag("value", horizon).over(_in_order()) - 1) * 100)
     shocks = moved.filter(is_shock(threshold_pct)).select(*KEY, "timestamp", "idx", "return_pct")
-    gaps = lags(shocks, KEY, "timestamp", {"_prev": ("idx", 1)})
+    gaps = shocks.withColumn("_prev", F.lag("idx").over(_in_order()))
     opens = F.when(F.col("_prev").isNull() | (F.col("idx") - F.col("_prev") > CLUSTER_GAP + horizon - 1), F.lit(1)).otherwise(F.lit(0))
-    runs = running(gaps, KEY, "timestamp", {"_run": ("sum", opens)})
+    runs = gaps.withColumn("_run", F.sum(opens).over(_in_order()))
     events = runs.groupBy(*KEY, "_run").agg(
         F.min("idx").alias("_first"),
         F.max(F.struct(F.abs("return_pct"), (-F.col("idx")).alias("i"), "timestamp", "return_pct")).alias("_top"),
@@ -99,7 +103,7 @@ def split_period(day: Column, holdout_start: str, holdout_end: str) -> Column:
 
 def straddles(days: DataFrame) -> DataFrame:
     """Flag sessions whose previous session lies in another period (and each series' first)."""
-    prev = lags(days, KEY, "timestamp", {"_p": ("period", 1)})
+    prev = days.withColumn("_p", F.lag("period").over(_in_order()))
     return prev.withColumn("straddles", F.col("_p").isNull() | (F.col("_p") != F.col("period"))).drop("_p")
 
 
@@ -188,7 +192,8 @@ def small_splits(windows: DataFrame, min_shocks: int) -> DataFrame:
 
 def population_windows(days: DataFrame, threshold_pct: float) -> DataFrame:
     """Every session as a window whose event is the next session."""
-    nxt = leads(days, KEY, "timestamp", {"event_date": ("timestamp", 1), "_move": ("return_pct", 1)})
+    w = _in_order()
+    nxt = days.withColumns({"event_date": F.lead("timestamp").over(w), "_move": F.lead("return_pct").over(w)})
     shock = F.coalesce(F.abs("_move") >= threshold_pct, F.lit(False))
     return nxt.filter(F.col("event_date").isNotNull()).select(
         *KEY, F.col("timestamp").alias("as_of"), "event_date", shock.alias("is_shock"), F.col("_move").alias("return_pct"),
@@ -423,7 +428,7 @@ def anchor_table(days: DataFrame, reactions: DataFrame, threshold_pct: float, ca
     A session contributes one row to each condition it meets, then one aggregate.
     """
     shocked = days.withColumn("shock", is_shock(threshold_pct))
-    prev = lags(shocked, KEY, "timestamp", {"_after": ("shock", 1)})
+    prev = shocked.withColumn("_after", F.lag("shock").over(_in_order()))
     flagged = prev.join(reactions.withColumn("_react", F.lit(True)), [*KEY, "timestamp"], "left")
     react, vol = F.coalesce("_react", F.lit(False)), F.col("vol_before")
     named = {

@@ -244,8 +244,15 @@ def build_covariates(df: DataFrame, registry: DataFrame, *, strict: bool = False
     otherwise it is skipped.
     """
     source = df.withColumnRenamed("series_id", "source_id")
+    # The registry is configuration; at most one row per known recipe comes back.
+    used = {r.recipe for r in registry.select("recipe").distinct().collect()}
+    unknown = used - set(RECIPES)
+    if unknown:
+        raise ValueError(f"unknown recipes: {sorted(unknown)}")
     built = None
     for name, steps in RECIPES.items():
+        if name not in used:
+            continue
         mine = registry.filter(F.col("recipe") == name)
         part = mine.join(source, "source_id").select(*CANONICAL)
         for step in steps:

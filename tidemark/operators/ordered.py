@@ -87,7 +87,7 @@ def trailing(
     keys: Sequence[str],
     time: str,
     lookback: int,
-    build: Callable[[Window], dict[str, Column]],
+    build: Callable[[Window], dict[str, Column]] | Sequence[Callable[[Window], dict[str, Column]]],
     *,
     ascending: bool = True,
     block_seconds: int = BLOCK_SECONDS,
@@ -95,8 +95,9 @@ def trailing(
     """Add window columns whose frames reach at most ``lookback`` rows back.
 
     ``build`` gets the ordered window spec and returns ``{name: column}``, e.g.
-    ``lambda w: {"prev": F.lag("value").over(w)}``.  With ``ascending=False`` "back"
-    means later rows, which turns the same call into a lead.
+    ``lambda w: {"prev": F.lag("value").over(w)}``.  A list of builders runs in turn over
+    the same blocks, each seeing the columns before it; ``lookback`` is then their sum.
+    With ``ascending=False`` "back" means later rows, which turns the call into a lead.
     """
     keys = list(keys)
     blocks = df.withColumn(_BLOCK, block_of(F.col(time), block_seconds))
@@ -123,9 +124,9 @@ def trailing(
     )
     both = blocks.withColumn("_halo", F.lit(False)).unionByName(halo)
     w = Window.partitionBy(*keys, _BLOCK).orderBy(*direction)
-    new = build(w)
-    kept = [c for c in df.columns if c not in new]
-    return both.select(*kept, "_halo", *[c.alias(n) for n, c in new.items()]).filter(~F.col("_halo")).drop("_halo")
+    for stage in build if isinstance(build, (list, tuple)) else [build]:
+        both = both.withColumns(stage(w))
+    return both.filter(~F.col("_halo")).drop("_halo", _BLOCK)
 
 
 def row_index(df: DataFrame, keys: Sequence[str], time: str, name: str = "idx", **kw) -> DataFrame:
