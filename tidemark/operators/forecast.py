@@ -19,6 +19,7 @@ from tidemark.functions.text import first_json_object
 from tidemark.operators import asof
 from tidemark.operators.features import fill_gaps
 from tidemark.operators.ordered import lags
+from tidemark.session import settled
 
 KEY = ["series_id"]
 PREDICTION_COLUMNS = [
@@ -325,6 +326,7 @@ def lagged_regression(
     """
     table = lag_table(observations, n_lags, max(horizons), covariates)
     k = n_lags + 1 + (len([c for c in covariates.columns if c not in ("series_id", "timestamp")]) if covariates is not None else 0)
+    table = settled(table, "lags")  # read once per horizon and again for the newest features
     latest_x = asof.state_at(
         ctx, table.filter(F.col("x").isNotNull()), KEY, "as_of", asof.released(), {"_x": asof.latest("x")}
     ).filter(F.col("_x").isNotNull())
@@ -364,6 +366,7 @@ def boosted_regression(
         scaled = scaled.withColumn(name, F.col(f"_l{i}") / F.col("value"))
     scaled = scaled.withColumn("_month", F.month("timestamp").cast("double"))
     assembler = VectorAssembler(inputCols=[*names, "_month"], outputCol="features")
+    scaled = settled(scaled, "lags")
     rows = assembler.transform(scaled)
     here = asof.state_at(
         ctx.filter(F.col("as_of") >= cutoff), scaled, KEY, "as_of", asof.released(),
@@ -558,10 +561,12 @@ def fit_at_origins(
     ``min_train`` examples, a single class, or missing features.
     """
     names, values = list(features), np.array(classes, dtype=float)
+    then = [f"then_{n}" for n in names]
+    past = examples.select("series_id", *[F.col(c).alias(f"then_{c}") for c in [*names, "known_at", "outcome"]])
 
     def fit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        done = right.dropna(subset=[*names, "outcome"]).sort_values("known_at")
-        x, y, known = done[names].to_numpy(float), done["outcome"].to_numpy(float), done["known_at"].to_numpy()
+        done = right.dropna(subset=[*then, "then_outcome"]).sort_values("then_known_at")
+        x, y, known = done[then].to_numpy(float), done["then_outcome"].to_numpy(float), done["then_known_at"].to_numpy()
         rows = []
         for o in left.sort_values("as_of").itertuples(index=False):
             n = int(np.searchsorted(known, np.datetime64(o.as_of), side="right"))
@@ -585,7 +590,7 @@ def fit_at_origins(
         return pd.DataFrame(rows, columns=["series_id", "as_of", "n_train", "model", "class_probs"])
 
     schema = "series_id string, as_of timestamp_ntz, n_train int, model string, class_probs array<double>"
-    return origins.groupBy("series_id").cogroup(examples.groupBy("series_id")).applyInPandas(fit, schema)
+    return origins.groupBy("series_id").cogroup(past.groupBy("series_id")).applyInPandas(fit, schema)
 
 
 def best_per_task(leaderboard: DataFrame) -> DataFrame:

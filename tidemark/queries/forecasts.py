@@ -8,6 +8,7 @@ from tidemark.functions import calendar as cal, scoring as sc
 from tidemark.operators import asof, features as ft, forecast as fc
 from tidemark.plans import backtest as bt
 from tidemark.queries.registry import query
+from tidemark.session import settled
 from tidemark.queries.tables import (
     DIRECTIONS, FORECASTERS, Z_LIST, announcements, category_column, decisions, monthly, monthly_origins, observations, prices,
     rounded, setup, specs, sql, step_rates, table, tasks,
@@ -134,15 +135,15 @@ def outside_exclusion_zones(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A49 J1", sql("monthly_origins obs monthly", """
 SELECT d.as_of, d.n, d.daily_sum, m.monthly_sum FROM (
-  SELECT as_of, count(*) AS n, round(sum(v), 4) AS daily_sum FROM (SELECT m.as_of, m.series_id, arg_max(o.value, o.timestamp) AS v FROM monthly_origins m JOIN obs o ON o.series_id = m.series_id AND o.released_at <= m.as_of GROUP BY 1, 2) GROUP BY 1) d
-LEFT JOIN (SELECT as_of, round(sum(v), 4) AS monthly_sum FROM (SELECT m.as_of, m.series_id, arg_max(o.value, o.timestamp) AS v FROM monthly_origins m JOIN monthly o ON o.series_id = m.series_id AND o.released_at <= m.as_of GROUP BY 1, 2) GROUP BY 1) m USING (as_of)"""))
+  SELECT as_of, count(*) AS n, round(sum(v), 5) AS daily_sum FROM (SELECT m.as_of, m.series_id, arg_max(o.value, o.timestamp) AS v FROM monthly_origins m JOIN obs o ON o.series_id = m.series_id AND o.released_at <= m.as_of GROUP BY 1, 2) GROUP BY 1) d
+LEFT JOIN (SELECT as_of, round(sum(v), 5) AS monthly_sum FROM (SELECT m.as_of, m.series_id, arg_max(o.value, o.timestamp) AS v FROM monthly_origins m JOIN monthly o ON o.series_id = m.series_id AND o.released_at <= m.as_of GROUP BY 1, 2) GROUP BY 1) m USING (as_of)"""))
 def covariate_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """Last visible value of every daily and monthly covariate at each origin."""
     o = monthly_origins(spark, sf)
     day = asof.visible_state(o, observations(spark, sf)).filter("last is not null").groupBy("as_of").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("last.value"), 4).alias("daily_sum")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("last.value"), 5).alias("daily_sum")
     )
-    month = asof.visible_state(o, monthly(spark, sf)).filter("last is not null").groupBy("as_of").agg(F.round(F.sum("last.value"), 4).alias("monthly_sum"))
+    month = asof.visible_state(o, monthly(spark, sf)).filter("last is not null").groupBy("as_of").agg(F.round(F.sum("last.value"), 5).alias("monthly_sum"))
     return day.join(month, "as_of", "left")
 
 
@@ -182,10 +183,10 @@ def outcome_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("M1 J25 H2", sql("predictions", """
-SELECT task_id, as_of, horizon, forecast_date, round(point, 4) AS point, round(q[1], 4) AS q05, round(q[11], 4) AS q95
+SELECT task_id, as_of, horizon, forecast_date, round(point, 6) AS point, round(q[1], 6) AS q05, round(q[11], 6) AS q95
 FROM predictions WHERE predictor_id = 'last_value_naive'"""))
 def last_value_forecasts(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(spark, sf, "last_value_naive")
+    return _flat(spark, sf, "last_value_naive", 6)
 
 
 @query("M4", sql("predictions", """
@@ -196,13 +197,13 @@ def log_random_walk_forecasts(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(spark, sf, "log_random_walk")
 
 
-def _flat(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def _flat(spark: SparkSession, sf: str, name: str, digits: int = 4) -> DataFrame:
     obs, t, s = setup(spark, sf)
     p = bt.forecast_all(bt.origin_table(t, s), obs, {name: FORECASTERS[name]})
     q = F.col("quantiles")
     return p.select(
-        "task_id", "as_of", "horizon", "forecast_date", F.round("point", 4).alias("point"),
-        F.round(sc.quantile_at(q, 0.05), 4).alias("q05"), F.round(sc.quantile_at(q, 0.95), 4).alias("q95"),
+        "task_id", "as_of", "horizon", "forecast_date", F.round("point", digits).alias("point"),
+        F.round(sc.quantile_at(q, 0.05), digits).alias("q05"), F.round(sc.quantile_at(q, 0.95), digits).alias("q95"),
     )
 
 
@@ -218,7 +219,7 @@ def on_demand_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shock_setup(spark: SparkSession, sf: str):
-    obs = ft.shock_indicator(prices(spark, sf), 20.0)
+    obs = settled(ft.shock_indicator(prices(spark, sf), 20.0), "shocks")
     ids = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("series_id"))
     t = tasks(ids, horizons=(1,), frequency="B", payload="binary")
     return obs, t, specs(t, spec_id="shocks", stride=10, warmup=60)
@@ -365,7 +366,7 @@ SELECT as_of, round(bond - rate, 6) AS yield_spread, round(rate - rate_then, 6)
        round((cpi[2] / cpi[14] - 1) * 100 - 2.0, 6) AS inflation_gap, round(un[2] - un[14], 6) AS unemployment_momentum FROM f"""))
 def macro_features(spark: SparkSession, sf: str) -> DataFrame:
     """Macro vector at every origin: daily inputs a day late, monthly inputs without their newest row."""
-    obs, m = observations(spark, sf), monthly(spark, sf)
+    obs, m = settled(observations(spark, sf), "daily"), settled(monthly(spark, sf), "monthly")
     pick = lambda df, s: df.filter(F.col("series_id") == s)
     probes = monthly_origins(spark, sf).select("as_of").distinct()
     out = fc.macro_features(probes, pick(obs, "1-URGENT"), pick(obs, "2-HIGH"), pick(m, "3-MEDIUM"), pick(m, "5-LOW"))
@@ -384,6 +385,7 @@ def fit_at_origin_classifier(spark: SparkSession, sf: str) -> DataFrame:
         "series_id", "as_of", F.col("released_at").alias("known_at"), F.col("value").alias("outcome"),
         F.col("_r.value").alias("level"), F.ln("last.value").alias("recent"),
     )
+    rows = settled(rows, "examples")
     fits = fc.fit_at_origins(rows.select("series_id", "as_of", "level", "recent"), rows.drop("as_of"), ["level", "recent"], [v for _, v in DIRECTIONS])
     return fits.select("series_id", "as_of", "n_train", "model", *[F.round(F.col("class_probs")[i], 6).alias(f"p_{n}") for i, (n, _) in enumerate(DIRECTIONS)])
 

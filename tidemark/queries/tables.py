@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.functions import calendar as cal, scoring as sc
 from tidemark.operators import events as ev, features as ft, forecast as fc
 from tidemark.plans import backtest as bt
+from tidemark.session import settled
 
 CTE: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -146,8 +147,8 @@ def category_column() -> Column:
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """-1 / 0 / +1 at every announcement."""
-    return ev.decision_outcomes(announcements(spark, sf), step_rates(spark, sf))
+    """-1 / 0 / +1 at every announcement, stored as a series of its own because several branches read it."""
+    return settled(ev.decision_outcomes(announcements(spark, sf), step_rates(spark, sf)), "decisions")
 
 
 cte("decisions", "announcements rates", """
@@ -203,7 +204,7 @@ FORECASTERS = {"last_value_naive": fc.last_value, "log_random_walk": fc.log_rand
 def setup(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     ids = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("series_id"))
     t = tasks(ids)
-    return observations(spark, sf), t, specs(t)
+    return settled(observations(spark, sf), "observations"), t, specs(t)
 
 
 def origins(spark: SparkSession, sf: str) -> DataFrame:

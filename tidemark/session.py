@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tidemark", cores: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -15,6 +16,7 @@ def local_session(app: str = "tidemark", cores: int | str = 8, memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
@@ -37,3 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     named = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", named)
     return named
+
+
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a derived table to the shared folder and read it back.
+
+    Used where one derived table feeds several branches of a plan: it is computed once,
+    its lineage is cut, and a lost executor re-reads files instead of recomputing.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
