@@ -22,7 +22,8 @@ def normal_cdf(x: Column) -> Column:
 
     series = F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step, lambda a: a["total"])
     inner = F.lit(0.5) + F.exp(-x * x / 2) / F.lit(math.sqrt(2 * math.pi)) * series
-    return F.when(x >= 8, F.lit(1.0)).when(x <= -8, F.lit(0.0)).otherwise(inner)
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), inner))
+    return F.when(x >= 8, F.lit(1.0)).when(x <= -8, F.lit(0.0)).otherwise(clamped)
 
 
 def log_factorial(n: Column) -> Column:

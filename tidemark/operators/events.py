@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions import calendar as cal
 from tidemark.functions.stats import fisher_greater, population_lift
+from tidemark.functions.text import fixed_text
 from tidemark.operators import asof
 from tidemark.operators.ordered import row_index
 
@@ -537,7 +538,7 @@ def drop_leaked(scored: DataFrame, flag: str = "leaked", keys: Sequence[str] = (
 
 def quotes_value(record: Column, value: Column) -> Column:
     """Does the text quote the value to the cent, allowing one cent either way?"""
-    text = lambda cents: F.format_string("%.2f", value + F.lit(cents / 100.0))
+    text = lambda cents: fixed_text(value + F.lit(cents / 100.0), F.lit(2))
     return record.contains(text(-1)) | record.contains(text(0)) | record.contains(text(1))
 
 

@@ -51,13 +51,25 @@ def verdicts(metrics: DataFrame) -> DataFrame:
 
 
 def screen_then_test(holdout: DataFrame, train: DataFrame, bases: DataFrame) -> DataFrame:
-    """Two stages on stored labels: patterns failing the holdout screen never touch their training windows."""
-    held = ev.side_by_side(ev.pattern_metrics(ev.evidence_counts(holdout), bases, bootstrap=False))
-    survivors = held.filter(ev.holdout_passes()).select("series_id", "pattern_id")
+    """Two stages on stored labels: patterns failing the holdout screen never touch their training windows.
+
+    Every pattern comes back with its ``stage``; screened-out ones carry no train evidence.
+    """
+    held = ev.side_by_side(ev.pattern_metrics(ev.evidence_counts(holdout), bases, bootstrap=False)).select(
+        "series_id", "pattern_id", ev.holdout_passes().alias("_pass")
+    )
+    survivors = held.filter("_pass").select("series_id", "pattern_id")
     both = train.join(survivors, ["series_id", "pattern_id"], "left_semi").unionByName(
         holdout.join(survivors, ["series_id", "pattern_id"], "left_semi")
     )
-    return verdicts(ev.pattern_metrics(ev.evidence_counts(both), bases))
+    tested = verdicts(ev.pattern_metrics(ev.evidence_counts(both), bases))
+    stage = F.when(F.col("_pass"), F.lit("tested on train")).otherwise(F.lit("screened out on the holdout"))
+    return (
+        held.withColumn("stage", stage)
+        .join(tested, ["series_id", "pattern_id"], "left")
+        .withColumn("graduates", F.coalesce("graduates", F.lit(False)))
+        .drop("_pass")
+    )
 
 
 def rationale_alignment(predictions: DataFrame, documents: DataFrame, outcomes: DataFrame, categories: Column) -> DataFrame:

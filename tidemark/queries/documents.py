@@ -77,7 +77,7 @@ def history_text(spark: SparkSession, sf: str) -> DataFrame:
     ids = p.select("series_id").distinct().groupBy().agg(F.collect_set("series_id").alias("ids"))
     o = monthly_origins(spark, sf).select("as_of").distinct().join(F.broadcast(ids)).select(F.explode("ids").alias("series_id"), "as_of")
     rows = asof.trailing_visible(o, p, 12)
-    return tx.history_text(rows, ["series_id", "as_of"], F.format_string("%.2f", "value")).select("series_id", "as_of", "history")
+    return tx.history_text(rows, ["series_id", "as_of"], tx.fixed_text("value", F.lit(2))).select("series_id", "as_of", "history")
 
 
 @query("F19 P17", sql("decisions", """
@@ -91,19 +91,19 @@ def category_history_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("F20", sql("obs", """
 , c AS (SELECT series_id, max(timestamp) - INTERVAL 6 MONTH AS start FROM obs GROUP BY 1)
-SELECT o.series_id, CAST(timestamp AS DATE) AS day, round(value, 6) AS value, 'daily' AS grain FROM obs o JOIN c USING (series_id) WHERE timestamp >= start
-UNION ALL SELECT o.series_id, CAST(timestamp + to_days(CAST(7 - isodow(timestamp) AS INTEGER)) AS DATE), round(avg(value), 6), 'weekly' FROM obs o JOIN c USING (series_id) WHERE timestamp < start GROUP BY 1, 2"""))
+SELECT o.series_id, CAST(timestamp AS DATE) AS day, round(value, 7) AS value, 'daily' AS grain FROM obs o JOIN c USING (series_id) WHERE timestamp >= start
+UNION ALL SELECT o.series_id, CAST(timestamp + to_days(CAST(7 - isodow(timestamp) AS INTEGER)) AS DATE), round(avg(value), 7), 'weekly' FROM obs o JOIN c USING (series_id) WHERE timestamp < start GROUP BY 1, 2"""))
 def compressed_history(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(tx.compressed_history(observations(spark, sf)), 6, "value")
+    return rounded(tx.compressed_history(observations(spark, sf)), 7, "value")
 
 
 @query("F20", sql("obs", """
 , c AS (SELECT series_id, max(timestamp) - INTERVAL 6 MONTH AS start FROM obs GROUP BY 1)
-SELECT o.series_id, CAST(timestamp AS DATE) AS day, round(value, 6) AS value, 'daily' AS grain FROM obs o JOIN c USING (series_id) WHERE timestamp >= start
-UNION ALL SELECT o.series_id, CAST(timestamp + to_days(CAST(7 - isodow(timestamp) AS INTEGER)) AS DATE), round(avg(value), 6), 'weekly' FROM obs o JOIN c USING (series_id) WHERE timestamp < start AND timestamp >= start - INTERVAL 2 YEAR GROUP BY 1, 2"""))
+SELECT o.series_id, CAST(timestamp AS DATE) AS day, round(value, 7) AS value, 'daily' AS grain FROM obs o JOIN c USING (series_id) WHERE timestamp >= start
+UNION ALL SELECT o.series_id, CAST(timestamp + to_days(CAST(7 - isodow(timestamp) AS INTEGER)) AS DATE), round(avg(value), 7), 'weekly' FROM obs o JOIN c USING (series_id) WHERE timestamp < start AND timestamp >= start - INTERVAL 2 YEAR GROUP BY 1, 2"""))
 def compressed_history_two_years(spark: SparkSession, sf: str) -> DataFrame:
     """The same with weekly means for the two years before the daily part only."""
-    return rounded(tx.compressed_history(observations(spark, sf), weekly_years=2), 6, "value")
+    return rounded(tx.compressed_history(observations(spark, sf), weekly_years=2), 7, "value")
 
 
 # --- text ---------------------------------------------------------------------------------------------------

@@ -96,8 +96,8 @@ def study_set(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("W16 H6", sql("days", """
-SELECT series_id, timestamp AS as_of, nxt AS event_date, coalesce(abs(mv) >= 20, false) AS is_shock, round(mv, 6) AS return_pct,
-  CASE WHEN abs(mv) >= 20 THEN CASE WHEN mv > 0 THEN 'up' ELSE 'down' END END AS direction
+SELECT series_id, timestamp AS as_of, nxt AS event_date, coalesce(abs(mv) >= 75, false) AS is_shock, round(mv, 6) AS return_pct,
+  CASE WHEN abs(mv) >= 75 THEN CASE WHEN mv > 0 THEN 'up' ELSE 'down' END END AS direction
 FROM (SELECT *, lead(timestamp) OVER w AS nxt, lead(return_pct) OVER w AS mv FROM days WINDOW w AS (PARTITION BY series_id ORDER BY timestamp)) WHERE nxt IS NOT NULL"""))
 def population_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Every session as a window on the next session."""
@@ -117,7 +117,7 @@ def volatility_regimes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _RULES = _REGIMES + f"""
-, w AS (SELECT d.series_id, d.timestamp AS as_of, d.nxt AS event_date, coalesce(abs(d.mv) >= 20, false) AS is_shock, CASE WHEN d.timestamp < '{LO}' AND d.nxt < '{LO}' THEN 'train' WHEN d.timestamp >= '{LO}' AND d.nxt <= '{HI}' THEN 'holdout' END AS split,
+, w AS (SELECT d.series_id, d.timestamp AS as_of, d.nxt AS event_date, coalesce(abs(d.mv) >= 75, false) AS is_shock, CASE WHEN d.timestamp < '{LO}' AND d.nxt < '{LO}' THEN 'train' WHEN d.timestamp >= '{LO}' AND d.nxt <= '{HI}' THEN 'holdout' END AS split,
     day(d.timestamp) >= 28 AS announced, r.regime
   FROM (SELECT *, lead(timestamp) OVER w AS nxt, lead(return_pct) OVER w AS mv FROM days WINDOW w AS (PARTITION BY series_id ORDER BY timestamp)) d
   JOIN regimes r ON r.series_id = d.series_id AND r.timestamp = d.timestamp WHERE nxt IS NOT NULL),
@@ -195,19 +195,20 @@ def label_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("H7")
 def screen_then_test(spark: SparkSession, sf: str) -> DataFrame:
-    """Label rules screened on the holdout first; only survivors are tested on train."""
+    """Every rule, the stored label included, screened on the holdout first; only survivors are tested on train."""
     m, bases = _labelled(spark, sf)
-    labelled = settled(m.filter(~F.col("label_missing")).withColumn("pattern_id", F.lit("busy_day")), "labelled")
+    rules = {**ev.BUILTIN_RULES, "busy_day": lambda w: F.coalesce(F.col("answer") == "yes", F.lit(False))}
+    labelled = settled(ev.apply_rules(m.filter(~F.col("label_missing")).drop("match"), rules), "labelled")
     v = study.screen_then_test(labelled.filter("split = 'holdout'"), labelled.filter("split = 'train'"), bases)
-    return v.select("series_id", "pattern_id", "graduates", "why_not")
+    return v.select("series_id", "pattern_id", "stage", "graduates", "why_not")
 
 
 @query("A28 J10", sql("days announcements", """
-, react AS (SELECT DISTINCT d.series_id, n.timestamp FROM (SELECT DISTINCT series_id FROM days) d, (SELECT DISTINCT announced_at FROM announcements) a
-    ASOF JOIN days n ON n.series_id = d.series_id AND a.announced_at < n.timestamp),
+, react AS (SELECT DISTINCT a.series_id, n.timestamp FROM (SELECT * FROM (SELECT DISTINCT series_id FROM days), (SELECT DISTINCT announced_at FROM announcements)) a
+    ASOF JOIN days n ON n.series_id = a.series_id AND a.announced_at < n.timestamp),
 f AS (SELECT d.*, coalesce(lag(shock) OVER (PARTITION BY d.series_id ORDER BY d.timestamp), false) AS after_shock, r.timestamp IS NOT NULL AS is_react FROM days d LEFT JOIN react r ON r.series_id = d.series_id AND r.timestamp = d.timestamp),
 x AS (SELECT *, unnest(['all sessions', 'no announcement, calm', 'no announcement, normal', 'no announcement, elevated', 'day after a shock', 'announcement reaction']) AS condition,
-  unnest([true, NOT is_react AND vol_before < 12, NOT is_react AND vol_before BETWEEN 12 AND 16, NOT is_react AND vol_before > 16, after_shock, is_react]) AS met FROM f)
+  unnest([true, NOT is_react AND vol_before < 45, NOT is_react AND vol_before BETWEEN 45 AND 60, NOT is_react AND vol_before > 60, after_shock, is_react]) AS met FROM f)
 SELECT series_id, condition, count(*) AS sessions, count(*) FILTER (WHERE shock) AS shocks, count(*) FILTER (WHERE shock AND return_pct > 0) AS up, count(*) FILTER (WHERE shock AND return_pct < 0) AS down, round(avg(shock::INT), 8) AS rate
 FROM x WHERE met GROUP BY 1, 2"""))
 def anchor_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,7 +218,7 @@ def anchor_table(spark: SparkSession, sf: str) -> DataFrame:
     d = _days(spark, sf)
     ids = d.select("series_id").distinct().groupBy().agg(F.collect_set("series_id").alias("ids"))
     calendar = announcements(spark, sf).select("announced_at").distinct().join(F.broadcast(ids)).select(F.explode("ids").alias("series_id"), "announced_at")
-    return rounded(ev.anchor_table(d, ev.reaction_sessions(calendar, d), SHOCK, 12.0, 16.0), 8, "rate")
+    return rounded(ev.anchor_table(d, ev.reaction_sessions(calendar, d), SHOCK, 45.0, 60.0), 8, "rate")
 
 
 # --- forecasts against sessions ---------------------------------------------------------------------
@@ -288,11 +289,11 @@ def paired_brier_board(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("J14 J15 F25", sql("prices", _ARMS + """
-, q AS (SELECT *, abs(round(probability * 100, 2) % 1) < 0.2 AS leaked FROM arms), bad AS (SELECT DISTINCT series_id, as_of FROM q WHERE leaked)
+, q AS (SELECT *, predictor_id = 'historical_frequency' AND round(probability * 100, 2) % 1 < 0.2 AS leaked FROM arms), bad AS (SELECT DISTINCT series_id, as_of FROM q WHERE leaked)
 SELECT predictor_id, count(*) AS n FROM q WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.series_id = q.series_id AND bad.as_of = q.as_of) GROUP BY 1""").replace(")\n\n,", "),\n"))
 def leaked_origins_dropped(spark: SparkSession, sf: str) -> DataFrame:
     """An origin leaked in one arm leaves all arms; only origins shared by all arms count."""
-    arms = _arms(spark, sf).withColumn("leaked", F.abs(F.round(F.col("probability") * 100, 2) % 1) < 0.2)
+    arms = _arms(spark, sf).withColumn("leaked", (F.col("predictor_id") == "historical_frequency") & (F.round(F.col("probability") * 100, 2) % 1 < 0.2))
     kept = an.shared_origins(ev.drop_leaked(arms, keys=("task_id",)), ("task_id",))
     return kept.groupBy("predictor_id").agg(F.count(F.lit(1)).alias("n"))
 

@@ -138,11 +138,11 @@ def feature_lag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("W4 P16", sql("prices", """
-SELECT series_id, timestamp, CASE WHEN abs((value / prev - 1) * 100) >= 20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value, released_at
+SELECT series_id, timestamp, CASE WHEN abs((value / prev - 1) * 100) >= 75 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value, released_at
 FROM (SELECT *, lag(value, 3) OVER (PARTITION BY series_id ORDER BY timestamp) AS prev FROM prices) WHERE prev IS NOT NULL"""))
 def shock_indicator(spark: SparkSession, sf: str) -> DataFrame:
-    """0/1 series of three-session moves of at least 20 %."""
-    return ft.shock_indicator(prices(spark, sf), 20.0, 3)
+    """0/1 series of three-session moves of at least 75 %."""
+    return ft.shock_indicator(prices(spark, sf), 75.0, 3)
 
 
 @query("W5", sql("monthly", """
@@ -215,7 +215,7 @@ def release_expansion_carry_in(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("W16 W17", sql("days", """
-SELECT series_id, timestamp, lead(return_pct) OVER w IS NOT NULL AND abs(lead(return_pct) OVER w) >= 20 AS next_shock, coalesce(lag(shock) OVER w, false) AS after_shock
+SELECT series_id, timestamp, lead(return_pct) OVER w IS NOT NULL AND abs(lead(return_pct) OVER w) >= 75 AS next_shock, coalesce(lag(shock) OVER w, false) AS after_shock
 FROM days WINDOW w AS (PARTITION BY series_id ORDER BY timestamp)"""))
 def neighbour_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Shock on the next session and on the previous one."""

@@ -219,14 +219,14 @@ def on_demand_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shock_setup(spark: SparkSession, sf: str):
-    obs = settled(ft.shock_indicator(prices(spark, sf), 20.0), "shocks")
+    obs = settled(ft.shock_indicator(prices(spark, sf), 75.0), "shocks")
     ids = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("series_id"))
     t = tasks(ids, horizons=(1,), frequency="B", payload="binary")
     return obs, t, specs(t, spec_id="shocks", stride=10, warmup=60)
 
 
 _SHOCK_ORIGINS = """
-, flags AS (SELECT series_id, timestamp, CASE WHEN abs((value / prev - 1) * 100) >= 20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value, released_at
+, flags AS (SELECT series_id, timestamp, CASE WHEN abs((value / prev - 1) * 100) >= 75 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value, released_at
   FROM (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY timestamp) AS prev FROM prices) WHERE prev IS NOT NULL),
 so AS (SELECT series_id, as_of FROM (SELECT DISTINCT l_returnflag AS series_id FROM lineitem),
   (SELECT d AS as_of FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '2001-06-30', INTERVAL 1 DAY)) t(d) WHERE isodow(d) < 6) WHERE i % 10 = 0))"""

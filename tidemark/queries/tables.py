@@ -261,7 +261,7 @@ cte("scored", "frame", "SELECT * FROM frame WHERE actual IS NOT NULL")
 
 # --- sessions -----------------------------------------------------------------------------
 
-SHOCK = 20.0
+SHOCK = 75.0
 HOLDOUT = ("2000-01-01", "2001-06-30")
 
 
@@ -272,7 +272,7 @@ def days(spark: SparkSession, sf: str) -> DataFrame:
 cte("days", "prices", """
   SELECT *, CASE WHEN count(return_pct) OVER v = 21 THEN stddev_samp(return_pct) OVER v END AS vol,
          CASE WHEN count(return_pct) OVER b = 21 THEN stddev_samp(return_pct) OVER b END AS vol_before,
-         coalesce(abs(return_pct) >= 20.0, false) AS shock
+         coalesce(abs(return_pct) >= 75.0, false) AS shock
   FROM (SELECT series_id, timestamp, value, row_number() OVER s AS idx, (value / lag(value) OVER s - 1) * 100 AS return_pct
         FROM prices WINDOW s AS (PARTITION BY series_id ORDER BY timestamp))
   WINDOW v AS (PARTITION BY series_id ORDER BY timestamp ROWS BETWEEN 20 PRECEDING AND CURRENT ROW),

@@ -27,7 +27,7 @@ def scan(spark: SparkSession, folder: str, source: str) -> DataFrame:
     raw = raw.withColumn("_stem", _stem(F.input_file_name()))
     good = raw.filter(F.col("_corrupt_record").isNull() & F.col("meta.publication_date").isNotNull())
     side = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+        spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
         .select(_stem(F.input_file_name()).alias("_stem"), F.col("value").alias("_md"))
     )
     recorded = side.select(F.col("_stem").alias("_ref"), F.col("_md").alias("_md_ref"))
@@ -115,7 +115,7 @@ def dated_files(spark: SparkSession, folder: str, dates: DataFrame) -> DataFrame
 
     With several files for a date the first name wins.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(
+    files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(
         F.input_file_name().alias("_path"), F.col("value").alias("content")
     )
     dated = files.withColumn("date", F.to_date(F.regexp_extract("_path", r"(\d{4}-\d{2}-\d{2})\.md$", 1)))
