@@ -116,3 +116,12 @@ def test_spans_hit_and_range_joins(spark):
     assert hit == {0: False, 1: True, 2: True}
     assert asof.intervals_containing(points, spans, "t", "lo", "hi", ["series_id"]).count() == 2
     assert [r.series_id for r in asof.outside_all_spans(points, spans, "t", "lo", "hi", ["series_id"]).collect()] == ["b"]
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(6)
+    groups = {"many": rng.normal(size=3000).round(2), "ties": np.r_[np.zeros(500), 1.0], "one": np.array([4.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("one", None)], "k string, v double")
+    levels = {"a": 0.0, "b": 0.25, "c": 0.8, "d": 0.999, "e": 1.0}
+    for r in ordered.exact_percentiles(df, ["k"], "v", levels).collect():
+        assert [r[n] for n in levels] == pytest.approx(list(np.quantile(groups[r.k], list(levels.values()))))

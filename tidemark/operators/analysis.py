@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions import calendar as cal, scoring as sc
 from tidemark.functions.stats import safe_ratio
 from tidemark.operators import asof
-from tidemark.operators.ordered import lags, running, trailing
+from tidemark.operators.ordered import exact_percentiles, lags, running, trailing, value_blocks
 
 # Name fragments that place a predictor in a family, checked in order.
 FAMILY_FRAGMENTS = (
@@ -127,13 +127,15 @@ def coverage_table(frame: DataFrame) -> DataFrame:
 
 
 def error_by_period(frame: DataFrame, period: Column) -> DataFrame:
-    return frame.groupBy("predictor_id", period.alias("period")).agg(
+    keys = ["predictor_id", "period"]
+    dated = frame.withColumn("period", period)
+    means = dated.groupBy(*keys).agg(
         F.count("abs_error").alias("n"),
         (F.avg("inside80") * 100).alias("coverage"),
         F.avg("abs_error").alias("mean_abs_error"),
-        F.percentile("abs_error", F.lit(0.5)).alias("median_abs_error"),
         F.max("abs_error").alias("max_abs_error"),
     )
+    return means.join(exact_percentiles(dated, keys, "abs_error", {"median_abs_error": 0.5}), keys, "left")
 
 
 def bin_edges(n_bins: int) -> list[float]:
@@ -181,14 +183,15 @@ def class_shares(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFra
 def _auc(df: DataFrame, keys: Sequence[str], score: str, truth: str) -> DataFrame:
     """ROC-AUC by rank sums with ties averaged.
 
-    Rows are first reduced to one per distinct score, so the cumulative pass sees score
-    values rather than rows.
+    Rows are first reduced to one per distinct score, and the cumulative pass runs over score
+    ranges, so a key with very many rows or scores stays spread out.
     """
     per_score = df.groupBy(*keys, F.col(score).alias("_s")).agg(
         F.sum(F.col(truth)).alias("_pos"), F.sum(F.lit(1.0) - F.col(truth)).alias("_neg")
     )
-    below = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_score.withColumn("_below", F.coalesce(F.sum("_neg").over(below), F.lit(0.0)))
+    blocked = value_blocks(per_score, keys, "_s")
+    cumulated = running(blocked, keys, "_s", {"_upto": ("sum", F.col("_neg"))}, block=F.col("_bucket"))
+    ranked = cumulated.withColumn("_below", F.col("_upto") - F.col("_neg"))
     wins = ranked.groupBy(*keys).agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)).alias("_w"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n")
     )
@@ -298,10 +301,9 @@ def average_yoy(predictions: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def ape_distribution(frame: DataFrame, keys: Sequence[str] = ("predictor_id", "task_id")) -> DataFrame:
-    five = F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])
-    names = ("p0", "p25", "p50", "p75", "p100")
-    out = frame.filter(F.col("ape").isNotNull()).groupBy(*keys).agg(F.percentile("ape", five).alias("_q"), F.count("ape").alias("n"))
-    return out.select(*keys, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    five = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}
+    counts = frame.groupBy(*keys).agg(F.count("ape").alias("n"))
+    return counts.join(exact_percentiles(frame, keys, "ape", five), list(keys))
 
 
 # --- paired comparison ------------------------------------------------------------------
@@ -433,8 +435,8 @@ def error_report(frame: DataFrame, keys: Sequence[str] = ("predictor_id", "horiz
         F.avg("error").alias("mean_bias"),
         F.avg("abs_error").alias("mae"),
         F.avg(F.when(done, F.col("width80"))).alias("ci_width"),
-        F.percentile("abs_error", F.lit(0.8)).alias("needed_half_width"),
     )
+    report = report.join(exact_percentiles(frame, keys, "abs_error", {"needed_half_width": 0.8}), list(keys), "left")
     verdict = (
         F.when(F.col("coverage") < 0.70, F.lit("too narrow")).when(F.col("coverage") > 0.90, F.lit("conservative")).otherwise(F.lit("on target"))
     )

@@ -23,9 +23,11 @@ def released(prefix: str = "") -> Column:
 def as_of(observations: DataFrame, cutoff: Column | str) -> DataFrame:
     """Rows visible at one inclusive cutoff.  The predicate reaches the scan."""
     moment = F.lit(cutoff).cast("timestamp_ntz") if isinstance(cutoff, str) else cutoff
+    stamped = F.col("timestamp") <= moment
     if "released_at" not in observations.columns:
-        return observations.filter(F.col("timestamp") <= moment)
-    return observations.filter(released() <= moment)
+        return observations.filter(stamped)
+    # Written without coalesce so that each comparison can be pushed into the scan.
+    return observations.filter((F.col("released_at") <= moment) | (F.col("released_at").isNull() & stamped))
 
 
 def state_at(

@@ -287,9 +287,9 @@ def apply_rules(windows: DataFrame, rules: dict[str, Rule]) -> DataFrame:
     return out.withColumn("pattern_id", F.col("_r.pattern_id")).withColumn("match", F.col("_r.match")).drop("_r")
 
 
-def label_rule_matches(windows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Matches from stored yes/no labels keyed by question and day; a missing label is flagged, never assumed."""
-    return windows.withColumn("day", F.to_date("as_of")).join(labels, ["series_id", "day"], "left").withColumn(
+def label_rule_matches(windows: DataFrame, labels: DataFrame, on: Sequence[str] = ("day",)) -> DataFrame:
+    """Matches from stored yes/no labels keyed by day (and more on request); a missing label is flagged, never assumed."""
+    return windows.withColumn("day", F.to_date("as_of")).join(labels, list(on), "left").withColumn(
         "match", F.col("answer") == "yes"
     ).withColumn("label_missing", F.col("answer").isNull())
 

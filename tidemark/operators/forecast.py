@@ -18,7 +18,7 @@ from tidemark.functions import calendar as cal, scoring as sc
 from tidemark.functions.text import first_json_object
 from tidemark.operators import asof
 from tidemark.operators.features import fill_gaps
-from tidemark.operators.ordered import lags
+from tidemark.operators.ordered import exact_percentiles, lags
 from tidemark.session import settled
 
 KEY = ["series_id"]
@@ -376,14 +376,13 @@ def boosted_regression(
     out = None
     for h in horizons:
         train = rows.filter(F.col(f"_k{h}") <= cutoff).withColumn("label", F.col(f"_y{h}") / F.col("value"))
-        edge = train.agg(
-            F.percentile(F.unix_seconds(F.col("timestamp").cast("timestamp")), F.lit(0.8)).alias("edge")
-        )
+        # Any edge near four fifths will do, so a sketch finds it.
+        edge = train.agg(F.percentile_approx(F.unix_seconds(F.col("timestamp").cast("timestamp")), 0.8).alias("edge"))
         split = train.join(F.broadcast(edge)).withColumn("_late", F.unix_seconds(F.col("timestamp").cast("timestamp")) > F.col("edge"))
         model = GBTRegressor(maxIter=max_iter, maxDepth=3, seed=0).fit(split.filter(~F.col("_late")))
-        residual = model.transform(split.filter("_late")).agg(
-            F.percentile(F.col("label") - F.col("prediction"), F.array(*[F.lit(q) for q in sc.QUANTILE_LEVELS])).alias("_res")
-        )
+        late = model.transform(split.filter("_late")).select(F.lit(0).alias("_all"), (F.col("label") - F.col("prediction")).alias("_e"))
+        levels = {f"r{i}": q for i, q in enumerate(sc.QUANTILE_LEVELS)}
+        residual = exact_percentiles(late, ["_all"], "_e", levels).select(F.array(*levels).alias("_res"))
         scored = model.transform(here).join(F.broadcast(residual)).withColumn("horizons", F.array(F.lit(h)))
         df = horizons_of(scored)
         q = sc.quantiles_of(lambda lv: F.col("value") * (F.col("prediction") + F.element_at("_res", sc.QUANTILE_LEVELS.index(lv) + 1)))
@@ -395,17 +394,24 @@ def boosted_regression(
 # --- stored forecasts ---------------------------------------------------------------
 
 
-def from_samples(samples: DataFrame, expected: int | Column, keys: Sequence[str]) -> DataFrame:
+def from_samples(samples: DataFrame, expected: int | Column, keys: Sequence[str], *, large_groups: bool = False) -> DataFrame:
     """Sampled trajectories (``values`` arrays, one row per sample) to quantiles per step.
 
     Trajectories of the wrong length are dropped.  Adds ``step, n_samples, point, quantiles``.
+    A forecast has some hundreds of samples, which one aggregate buffer holds; set
+    ``large_groups`` when keys may gather many rows, and the values are ranked instead.
     """
     n = F.lit(expected) if isinstance(expected, int) else expected
     steps = samples.filter(F.size("values") == n).select(*keys, F.posexplode("values").alias("_pos", "_v"))
-    levels = F.array(*[F.lit(q) for q in sc.QUANTILE_LEVELS])
-    agg = steps.groupBy(*keys, (F.col("_pos") + 1).alias("step")).agg(
-        F.count("_v").alias("n_samples"), F.percentile(F.col("_v").cast("double"), levels).alias("_q")
-    )
+    steps = steps.select(*keys, (F.col("_pos") + 1).alias("step"), F.col("_v").cast("double").alias("_v"))
+    by = [*keys, "step"]
+    if large_groups:
+        levels = {f"q{i}": q for i, q in enumerate(sc.QUANTILE_LEVELS)}
+        ranked = exact_percentiles(steps, by, "_v", levels).select(*by, F.array(*levels).alias("_q"))
+        agg = steps.groupBy(*by).agg(F.count("_v").alias("n_samples")).join(ranked, by)
+    else:
+        levels = F.array(*[F.lit(q) for q in sc.QUANTILE_LEVELS])
+        agg = steps.groupBy(*by).agg(F.count("_v").alias("n_samples"), F.percentile("_v", levels).alias("_q"))
     quantiles = sc.quantiles_from_array(F.col("_q"))
     return agg.withColumn("quantiles", quantiles).withColumn("point", sc.quantile_at(quantiles, 0.5)).drop("_q")
 

@@ -51,17 +51,19 @@ def running(
     tie: Sequence[Column] = (),
     ascending: bool = True,
     block_seconds: int = BLOCK_SECONDS,
+    block: Column | None = None,
 ) -> DataFrame:
     """Add, for each row, each fold over all rows of its key up to and including it.
 
     ``folds`` maps a new column to ``(kind, expression)`` with kind ``sum``, ``max`` or
     ``min``; null inputs are skipped.  The last non-null value in time order is
     ``("max", struct(time, value))`` because time only grows.  ``tie`` orders equal
-    stamps; ``ascending=False`` folds from the end of the series backwards.
+    stamps; ``ascending=False`` folds from the end of the series backwards.  ``time`` may be
+    any ordered column when ``block``, a non-decreasing function of it, is given.
     """
     keys = list(keys)
     inputs = df.select("*", *[e.alias(f"_in_{n}") for n, (_, e) in folds.items()]).withColumn(
-        _BLOCK, block_of(F.col(time), block_seconds)
+        _BLOCK, block if block is not None else block_of(F.col(time), block_seconds)
     )
     order = [F.col(time).asc() if ascending else F.col(time).desc(), *tie]
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -165,3 +167,57 @@ def interpolate(df: DataFrame, keys: Sequence[str], time: str, column: str = "va
     line = lo["v"] + (hi["v"] - lo["v"]) * (F.col("_i") - lo["i"]) / (hi["i"] - lo["i"])
     value = F.coalesce(F.col(column), line, lo["v"], hi["v"])
     return both.withColumn(column, value).drop("_i", "_lo", "_hi")
+
+
+def value_blocks(values: DataFrame, keys: Sequence[str], column: str, blocks: int = 256) -> DataFrame:
+    """Add ``_bucket``, splitting each key's values into about equal ranges.
+
+    The edges come from a mergeable sketch of bounded size; any edges are right, they only
+    decide how evenly the work spreads.
+    """
+    levels = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    edges = values.groupBy(*keys).agg(F.percentile_approx(column, levels, 10_000).alias("_edges"))
+    # Bisection over the sorted edges: how many lie below the value.
+    start = F.struct(F.lit(0).alias("lo"), F.lit(blocks - 1).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = F.get("_edges", mid) < F.col(column)
+        open_ = acc["lo"] < acc["hi"]
+        return F.struct(
+            F.when(open_ & below, mid + 1).otherwise(acc["lo"]).alias("lo"),
+            F.when(open_ & ~below, mid).otherwise(acc["hi"]).alias("hi"),
+        )
+
+    rounds = F.sequence(F.lit(1), F.lit(blocks.bit_length()))
+    return values.join(edges, list(keys)).withColumn("_bucket", F.aggregate(rounds, start, halve, lambda a: a["lo"])).drop("_edges")
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], column: str, levels: dict[str, float]) -> DataFrame:
+    """Linear-interpolated percentiles per key without holding a group in one place.
+
+    Rows are first counted per distinct value, cumulative counts run over value ranges,
+    and the two values around each wanted rank are picked by rank.
+    """
+    keys = list(keys)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running(value_blocks(counts, keys, "_v"), keys, "_v", {"_cum": ("sum", F.col("_c"))}, block=F.col("_bucket"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    placed = ranked.join(sizes, keys)
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_cum") - F.col("_c") <= rank) & (rank < F.col("_cum")), F.col("_v")))
+
+    picks = []
+    for name, q in levels.items():
+        position = (F.col("_n") - 1) * F.lit(float(q))
+        low = F.floor(position)
+        picks += [value_at(low).alias(f"_lo_{name}"), value_at(F.least(low + 1, F.col("_n") - 1)).alias(f"_hi_{name}")]
+    out = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
+
+    def between(name: str, q: float) -> Column:
+        position = (F.col("_n") - 1) * F.lit(float(q))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        return lo + (hi - lo) * (position - F.floor(position))
+
+    return out.select(*keys, *[between(n, q).alias(n) for n, q in levels.items()])

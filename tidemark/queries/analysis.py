@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions import scoring as sc
+from tidemark.functions import calendar as cal, scoring as sc
 from tidemark.operators import analysis as an, asof, forecast as fc
 from tidemark.plans import backtest as bt
 from tidemark.queries.forecasts import _DECISION_PROBS, decision_setup
 from tidemark.queries.registry import query
 from tidemark.queries.tables import (
-    DIRECTIONS, FORECASTERS, HORIZONS, category_column, decisions, frame, monthly, prices, rounded, scored, setup, specs, sql, table, tasks,
+    DIRECTIONS, END, FORECASTERS, HORIZONS, START, STRIDE, category_column, decisions, frame, monthly, prices, rounded, scored, setup, specs, sql, table, tasks,
 )
 from tidemark.session import settled
 
@@ -217,7 +217,7 @@ def lead_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, 4, "score_a", "score_b", "difference")
 
 
-@query("T9 A52", sql("scored", "SELECT task_id, arg_min(predictor_id, m) AS predictor_id, round(min(m), 4) AS mean_score FROM (SELECT task_id, predictor_id, avg(score) AS m FROM scored GROUP BY 1, 2) GROUP BY 1"))
+@query("T9", sql("scored", "SELECT task_id, arg_min(predictor_id, m) AS predictor_id, round(min(m), 4) AS mean_score FROM (SELECT task_id, predictor_id, avg(score) AS m FROM scored GROUP BY 1, 2) GROUP BY 1"))
 def best_predictor_per_task(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fc.best_per_task(an.leaderboard(scored(spark, sf), ("predictor_id", "task_id"))), 4, "mean_score")
 
@@ -390,7 +390,7 @@ def newest_event_panel(spark: SparkSession, sf: str) -> DataFrame:
     return panel.select("series_id", "forecast_date", F.round(F.col("probs")["up"], 8).alias("p_up"), "outcome_label", "prior_outcome_label")
 
 
-@query("A23 A52", sql("monthly", """
+@query("A23", sql("monthly", """
 , vis AS (SELECT o.series_id, o.as_of, arg_max(m.value, m.timestamp) AS v, count(*) AS n FROM (SELECT s.series_id, y.as_of FROM (SELECT DISTINCT series_id FROM monthly) s,
     (SELECT unnest([TIMESTAMP '1996-07-01', TIMESTAMP '1997-07-01', TIMESTAMP '1998-07-01', TIMESTAMP '1999-07-01', TIMESTAMP '2000-07-01']) AS as_of) y) o JOIN monthly m ON m.series_id = o.series_id AND m.released_at <= o.as_of GROUP BY 1, 2),
 yr AS (SELECT series_id, year(timestamp) AS y, avg(value) AS a, count(*) AS n FROM monthly GROUP BY 1, 2)
@@ -409,6 +409,41 @@ def average_yoy(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("A52 T9 A23", sql("monthly", """
+, js AS (SELECT unnest([TIMESTAMP '1996-07-01', TIMESTAMP '1997-07-01', TIMESTAMP '1998-07-01', TIMESTAMP '1999-07-01', TIMESTAMP '2000-07-01']) AS as_of),
+r AS (SELECT *, ln(value / lag(value) OVER w) AS r, row_number() OVER w AS n, first_value(timestamp) OVER w AS t0 FROM monthly WINDOW w AS (PARTITION BY series_id ORDER BY timestamp)),
+vis AS (SELECT r.series_id, js.as_of, arg_max(value, timestamp) AS v, sum(r) / date_diff('month', min(t0), max(timestamp)) AS mu FROM js JOIN r ON r.released_at <= js.as_of GROUP BY 1, 2),
+p AS (SELECT series_id, as_of, h, as_of + to_months(h) AS forecast_date, predictor_id, CASE predictor_id WHEN 'last_value_naive' THEN v ELSE exp(ln(v) + h * mu) END AS point
+  FROM vis, (SELECT unnest(range(6, 18))::INTEGER AS h), (SELECT unnest(['last_value_naive', 'log_random_walk']) AS predictor_id)),
+sc AS (SELECT p.*, abs(p.point - m.value) AS naive_score, m.value AS actual FROM p JOIN monthly m ON m.series_id = p.series_id AND m.timestamp = p.forecast_date),
+yr AS (SELECT series_id, year(timestamp) AS y, avg(value) AS a, count(*) AS n FROM monthly GROUP BY 1, 2)
+SELECT p.predictor_id, count(DISTINCT p.as_of) AS n_origins, round(avg(yoy), 6) AS mean_yoy FROM (
+  SELECT p.series_id, p.as_of, p.predictor_id, avg(p.point) / any_value(y0.a) - 1 AS yoy FROM p JOIN yr y0 ON y0.series_id = p.series_id AND y0.y = year(p.as_of) AND y0.n >= 12
+  WHERE year(p.forecast_date) = year(p.as_of) + 1 GROUP BY 1, 2, 3) p GROUP BY 1"""))
+def yoy_of_each_predictor(spark: SparkSession, sf: str) -> DataFrame:
+    """Average-over-average change averaged over origins and series, per predictor."""
+    p, m, _ = _july(spark, sf)
+    out = an.average_yoy(p, m)
+    return out.groupBy("predictor_id").agg(F.countDistinct("as_of").alias("n_origins"), F.round(F.avg("yoy_median"), 6).alias("mean_yoy"))
+
+
+@query("A52 T9")
+def yoy_of_best_predictor(spark: SparkSession, sf: str) -> DataFrame:
+    """Window-average change band of each task's best-scoring predictor."""
+    p, m, t = _july(spark, sf)
+    best = fc.best_per_task(an.leaderboard(bt.score_predictions(bt.resolve(p, m), t), ("predictor_id", "task_id")))
+    yoy = an.average_yoy(p, m).join(best.select("task_id", "predictor_id"), ["task_id", "predictor_id"])
+    band = ("yoy_q05", "yoy_q25", "yoy_median", "yoy_q75", "yoy_q95")
+    return yoy.groupBy("task_id", "predictor_id").agg(F.count(F.lit(1)).alias("n_origins"), *[F.round(F.avg(c), 6).alias(c) for c in band])
+
+
+def _july(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    m = settled(monthly(spark, sf), "monthly")
+    t = tasks(m.select("series_id"), horizons=tuple(range(6, 18)), frequency="MS")
+    s = specs(t, spec_id="july", start="1996-07-01", end="2000-12-31", stride=12, warmup=1)
+    return settled(bt.forecast_all(bt.origin_table(t, s), m, FORECASTERS), "july"), m, t
+
+
 @query("A46 U6", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
 def metadata_long(spark: SparkSession, sf: str) -> DataFrame:
     return an.metadata_long(table(spark, sf, "events"), ["event_id"], "props")
@@ -443,10 +478,8 @@ SELECT w.series_id, w.as_of, c.missing AS nearest_missing FROM w LEFT JOIN cal c
 def gap_positions(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest missing business day in the last eight visible sessions before each origin."""
     p = settled(prices(spark, sf), "prices")
-    _, t, s = setup(spark, sf)
-    dates = bt.origin_table(t, s).select("as_of").distinct()
-    ids = p.select("series_id").distinct().groupBy().agg(F.collect_set("series_id").alias("ids"))
-    probes = dates.join(F.broadcast(ids)).select(F.explode("ids").alias("series_id"), "as_of")
+    grid = cal.every_nth(cal.calendar_grid(cal.ntz(START), cal.ntz(END), "D"), STRIDE)
+    probes = p.select("series_id").distinct().withColumn("as_of", F.explode(grid))
     return an.gap_positions(probes, p, 8).filter(F.col("last_value").isNotNull()).select("series_id", "as_of", "nearest_missing")
 
 

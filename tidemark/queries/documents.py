@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.functions import text as tx
+from tidemark.functions import calendar as cal, text as tx
 from tidemark.operators import asof
 from tidemark.plans import study
 from tidemark.queries.forecasts import decision_forecasts
 from tidemark.queries.registry import query
 from tidemark.queries.sources import _folder
-from tidemark.queries.tables import announcements, category_column, decisions, monthly_origins, observations, prices, rounded, sql, table
+from tidemark.queries.tables import announcements, category_column, decisions, observations, prices, rounded, sql, table
 from tidemark.sources import documents as docs
 
 
@@ -74,8 +74,8 @@ SELECT series_id, as_of, string_agg(strftime(timestamp, '%Y-%m-%d') || ': ' || p
 def history_text(spark: SparkSession, sf: str) -> DataFrame:
     """The 12 latest visible values of each origin as text lines."""
     p = prices(spark, sf)
-    ids = p.select("series_id").distinct().groupBy().agg(F.collect_set("series_id").alias("ids"))
-    o = monthly_origins(spark, sf).select("as_of").distinct().join(F.broadcast(ids)).select(F.explode("ids").alias("series_id"), "as_of")
+    grid = cal.calendar_grid(cal.ntz("1995-03-01"), cal.ntz("2001-06-01"), "MS")
+    o = p.select("series_id").distinct().withColumn("as_of", F.explode(grid))
     rows = asof.trailing_visible(o, p, 12)
     return tx.history_text(rows, ["series_id", "as_of"], tx.fixed_text("value", F.lit(2))).select("series_id", "as_of", "history")
 
@@ -109,7 +109,15 @@ def compressed_history_two_years(spark: SparkSession, sf: str) -> DataFrame:
 # --- text ---------------------------------------------------------------------------------------------------
 
 
-@query("F21 F22")
+_PAGE_SQL = r"""
+WITH a AS (SELECT page_id, regexp_extract(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<article[^>]*>(.*?)</article>', 1) AS h FROM pages),
+t AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', chr(10), 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM a),
+l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(lower(x), 'share this page')) AS l FROM t),
+j AS (SELECT page_id, regexp_replace(regexp_replace(chr(10) || array_to_string(l, chr(10)), '(?s)\n(Footnotes|Content Type\(s\)).*$', ''), '^\n', '') AS text FROM l)
+SELECT page_id, length(text) AS n_chars, CAST((length(text) + 3) // 4 AS BIGINT) AS est_tokens, length(text) >= 400 AS usable, sha256(text) AS text_hash FROM j"""
+
+
+@query("F21 F22", _PAGE_SQL)
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
     """Readable text of every page; short ones flagged."""
     p = docs.from_pages(table(spark, sf, "pages"), "pages", 400)

@@ -180,9 +180,7 @@ _LABELS = """
 def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     windows, bases = _population(spark, sf)
     answers = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.when(F.count(F.lit(1)) > 6, "yes").otherwise("no").alias("answer"))
-    ids = windows.select("series_id").distinct().groupBy().agg(F.collect_set("series_id").alias("ids"))
-    labels = answers.join(F.broadcast(ids)).select(F.explode("ids").alias("series_id"), "day", "answer")
-    return ev.label_rule_matches(windows, labels), bases
+    return ev.label_rule_matches(windows, answers), bases
 
 
 @query("P27 U4", sql("days", _RULES + _LABELS + """
@@ -203,8 +201,8 @@ def screen_then_test(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("series_id", "pattern_id", "stage", "graduates", "why_not")
 
 
-@query("A28 J10", sql("days announcements", """
-, react AS (SELECT DISTINCT a.series_id, n.timestamp FROM (SELECT * FROM (SELECT DISTINCT series_id FROM days), (SELECT DISTINCT announced_at FROM announcements)) a
+@query("A28 J10", sql("days", """
+, react AS (SELECT DISTINCT a.series_id, n.timestamp FROM (SELECT series_id, max(timestamp) AS announced_at FROM days GROUP BY 1, date_trunc('month', timestamp)) a
     ASOF JOIN days n ON n.series_id = a.series_id AND a.announced_at < n.timestamp),
 f AS (SELECT d.*, coalesce(lag(shock) OVER (PARTITION BY d.series_id ORDER BY d.timestamp), false) AS after_shock, r.timestamp IS NOT NULL AS is_react FROM days d LEFT JOIN react r ON r.series_id = d.series_id AND r.timestamp = d.timestamp),
 x AS (SELECT *, unnest(['all sessions', 'no announcement, calm', 'no announcement, normal', 'no announcement, elevated', 'day after a shock', 'announcement reaction']) AS condition,
@@ -212,12 +210,9 @@ x AS (SELECT *, unnest(['all sessions', 'no announcement, calm', 'no announcemen
 SELECT series_id, condition, count(*) AS sessions, count(*) FILTER (WHERE shock) AS shocks, count(*) FILTER (WHERE shock AND return_pct > 0) AS up, count(*) FILTER (WHERE shock AND return_pct < 0) AS down, round(avg(shock::INT), 8) AS rate
 FROM x WHERE met GROUP BY 1, 2"""))
 def anchor_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Shock rate under overlapping conditions known before the session."""
-    from tidemark.queries.tables import announcements
-
+    """Shock rate under overlapping conditions; announcements fall on each month's last session."""
     d = _days(spark, sf)
-    ids = d.select("series_id").distinct().groupBy().agg(F.collect_set("series_id").alias("ids"))
-    calendar = announcements(spark, sf).select("announced_at").distinct().join(F.broadcast(ids)).select(F.explode("ids").alias("series_id"), "announced_at")
+    calendar = d.groupBy("series_id", F.trunc(F.to_date("timestamp"), "MM").alias("m")).agg(F.max("timestamp").alias("announced_at")).drop("m")
     return rounded(ev.anchor_table(d, ev.reaction_sessions(calendar, d), SHOCK, 45.0, 60.0), 8, "rate")
 
 

@@ -461,7 +461,7 @@ def sampled_trajectories(spark: SparkSession, sf: str) -> DataFrame:
     """Stored sample paths (embedding arrays) to quantiles per step; paths of another length are dropped."""
     e = table(spark, sf, "embeddings").select("label", F.transform("embedding", lambda v: v.cast("double")).alias("values"))
     length = e.agg(F.max(F.size("values")).alias("_n"))
-    out = fc.from_samples(e.join(F.broadcast(length)), F.col("_n"), ["label"])
+    out = fc.from_samples(e.join(F.broadcast(length)), F.col("_n"), ["label"], large_groups=True)
     q = F.col("quantiles")
     return out.select(
         "label", "step", "n_samples", F.round("point", 8).alias("point"), F.round(sc.quantile_at(q, 0.05), 8).alias("q05"), F.round(sc.quantile_at(q, 0.95), 8).alias("q95")
