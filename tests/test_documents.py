@@ -142,3 +142,13 @@ def test_compressed_history(spark):
     cut = days.max() - pd.DateOffset(months=6)
     want = {("weekly", d.date()): v for d, v in s[s.index < cut].resample("W").mean().dropna().items()} | {("daily", d.date()): v for d, v in s[s.index >= cut].items()}
     assert got == pytest.approx(want)
+
+
+def test_preamble_in_date_order(spark):
+    d = spark.sql(
+        "select 's' as source, 'b' as doc_id, date'2024-02-01' as publication_date, 'Title' as title, 'xyz' as text, 'k' as k "
+        "union all select 's', 'a', date'2024-01-01', null, 'abcdef', 'k'"
+    )
+    assert tx.report_preamble(d, ["k"], 4).first().preamble == (
+        "=== s/a ===\nSource: s\nPublished: 2024-01-01\n\nabcd\n\n[...]\n\n=== Title ===\nSource: s\nPublished: 2024-02-01\n\nxyz"
+    )

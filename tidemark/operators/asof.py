@@ -41,11 +41,14 @@ def state_at(
     inclusive: bool = True,
     forward: bool = False,
     block_seconds: int = BLOCK_SECONDS,
+    many_per_time: bool = False,
 ) -> DataFrame:
     """For each probe, fold all rows of its key at/before (or at/after) the probe's time.
 
     ``folds`` is as in :func:`running`.  Probes keep all their columns; a probe with no
-    qualifying row gets nulls (zero for a count comes from ``coalesce`` downstream).
+    qualifying row gets nulls (zero for a count comes from ``coalesce`` downstream).  Set
+    ``many_per_time`` when a key holds many rows of one stamp (documents of one day): they
+    are folded to one row per stamp first, on the map side, so a hot key stays small.
     """
     on = list(on)
     inputs = rows.select(
@@ -54,6 +57,9 @@ def state_at(
         F.lit(0 if inclusive else 1).alias("_side"),
         *[e.alias(f"_f_{n}") for n, (_, e) in folds.items()],
     )
+    if many_per_time:
+        combine = {"sum": F.sum, "max": F.max, "min": F.min}
+        inputs = inputs.groupBy(*on, "_t", "_side").agg(*[combine[k](f"_f_{n}").alias(f"_f_{n}") for n, (k, _) in folds.items()])
     asked = probes.select(
         *on,
         F.col(probe_time).alias("_t"),

@@ -183,7 +183,22 @@ def safe_keys(spark: SparkSession, sf: str) -> DataFrame:
 # --- files and joins with outcomes ----------------------------------------------------------------------------
 
 
-@query("S13 S14", f"WITH {_DOCS} SELECT doc_id, publication_date, lang, sha256(text) AS text_hash FROM docs")
+@query("S13", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS publication_date, lang, sha256(text) AS text_hash, CAST(length(text) AS BIGINT) AS n_chars
+FROM documents WHERE doc_id % 11 <> 0""")
+def artefact_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON artefacts, some with their text in a companion, some malformed (and skipped)."""
+    d = documents(spark, sf).withColumn("n", F.col("doc_id").cast("long"))
+    meta = F.struct("doc_id", F.col("publication_date").cast("string").alias("publication_date"), "lang")
+    body = F.to_json(F.struct(meta.alias("meta"), F.when(F.col("n") % 7 != 0, F.col("text")).otherwise(F.lit("")).alias("text"), "page_count"))
+    path = _folder(spark, "artefacts")
+    d.select(F.col("doc_id").alias("stem"), F.when(F.col("n") % 11 == 0, F.substring(body, 1, 25)).otherwise(body).alias("json")).write.parquet(path)
+    companions = d.filter("n % 7 = 0").select(F.col("doc_id").alias("stem"), "text")
+    out = docs.parse_artefacts(spark.read.parquet(path), companions, "src")
+    return out.select("doc_id", "publication_date", "lang", F.sha2("text", 256).alias("text_hash"), "n_chars")
+
+
+@query("S14", f"WITH {_DOCS} SELECT doc_id, publication_date, lang, sha256(text) AS text_hash FROM docs")
 def artefacts_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as a partitioned table with hashes and read back."""
     path = _folder(spark, "documents")

@@ -88,6 +88,15 @@ def matched_controls(spark: SparkSession, sf: str) -> DataFrame:
     return ev.matched_controls(d, pool).drop("direction")
 
 
+@query("H5 P24 W10", sql("shocks", f"""
+SELECT series_id, CASE WHEN event_date < '{LO}' THEN 'train' WHEN as_of >= '{LO}' AND event_date <= '{HI}' THEN 'holdout' END AS split, direction, count(*) AS n
+FROM shocks WHERE event_date < '{LO}' OR (as_of >= '{LO}' AND event_date <= '{HI}') GROUP BY 1, 2, 3"""))
+def study_shocks_by_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The study set's shock windows by split and direction."""
+    w = study.study_set(_days(spark, sf), SHOCK, LO, HI).filter("is_shock")
+    return w.groupBy("series_id", "split", "direction").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("H5 P24")
 def study_set(spark: SparkSession, sf: str) -> DataFrame:
     """Shocks and controls by split, three controls per holdout shock."""
@@ -161,6 +170,20 @@ def candidate_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("series_id", "pattern_id", F.round("train_ci_low", 6).alias("train_ci_low"), F.array_join("reasons", ", ").alias("reasons"), "graduates", "why_not")
 
 
+@query("P21 P23 H6", sql("days", _RULES + """
+, t AS (SELECT * FROM e WHERE split = 'train'), h AS (SELECT * FROM e WHERE split = 'holdout')
+SELECT t.series_id, t.pattern_id, concat_ws(', ', CASE WHEN NOT t.n_matches >= 5 THEN 'train_matches' END, CASE WHEN NOT coalesce(t.lift >= 2, false) THEN 'train_lift' END,
+  CASE WHEN NOT coalesce(t.p_value < 0.05, false) THEN 'train_p_value' END, 'train_interval', CASE WHEN h.n_matches = 0 THEN 'holdout_untested' END,
+  CASE WHEN h.n_matches > 0 AND NOT coalesce(h.lift >= 1.5, false) THEN 'holdout_lift' END, CASE WHEN h.n_matches > 0 AND NOT coalesce(h.p_value < 0.1, false) THEN 'holdout_p_value' END) AS reasons,
+  CASE WHEN coalesce(h.lift >= 1.5 AND h.p_value < 0.1, false) THEN 'real after the cutoff, not before' WHEN h.n_matches = 1 AND h.n_hits = 1 THEN 'one event' ELSE 'no effect' END AS why_not
+FROM t JOIN h ON h.series_id = t.series_id AND h.pattern_id = t.pattern_id"""))
+def gate_without_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """Gate reasons and why-not group when no bootstrap interval was computed (an undefined criterion fails)."""
+    windows, bases = _population(spark, sf)
+    v = study.evaluate_candidates(windows, ev.BUILTIN_RULES, bases, bootstrap=False)
+    return v.select("series_id", "pattern_id", F.array_join("reasons", ", ").alias("reasons"), "why_not")
+
+
 @query("P22 P21", sql("days", _RULES + """
 , t AS (SELECT * FROM e WHERE split = 'train'), h AS (SELECT * FROM e WHERE split = 'holdout')
 SELECT t.series_id, t.pattern_id, NOT (t.n_matches >= 5 AND t.lift >= 1.5 AND t.p_value < 0.1 AND h.lift >= 1.0) AS fails_exploratory, coalesce(h.lift >= 1.5 AND h.p_value < 0.1, false) AS passes_screen

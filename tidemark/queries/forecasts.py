@@ -373,6 +373,18 @@ def macro_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, 6, *fc.MACRO_FEATURES)
 
 
+@query("M10", sql("decisions rates obs", """
+, feat AS (SELECT d.series_id, d.timestamp - INTERVAL 7 DAY AS as_of, d.released_at AS known_at, d.value AS outcome,
+    (SELECT arg_max(r.value, r.timestamp) FROM rates r WHERE r.series_id = d.series_id AND r.timestamp <= d.timestamp - INTERVAL 7 DAY) AS level,
+    (SELECT ln(arg_max(o.value, o.timestamp)) FROM obs o WHERE o.series_id = d.series_id AND o.released_at <= d.timestamp - INTERVAL 7 DAY) AS recent FROM decisions d)
+SELECT f.series_id, f.as_of, CAST(count(t.outcome) AS INTEGER) AS n_train,
+  CASE WHEN count(t.outcome) < 16 OR count(DISTINCT t.outcome) < 2 OR any_value(f.level) IS NULL OR any_value(f.recent) IS NULL THEN 'frequency_fallback' ELSE 'logistic' END AS model
+FROM feat f LEFT JOIN feat t ON t.series_id = f.series_id AND t.known_at <= f.as_of AND t.level IS NOT NULL AND t.recent IS NOT NULL GROUP BY 1, 2"""))
+def classifier_training_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """How many resolved decisions each origin's fit may use, and whether it falls back."""
+    return fit_at_origin_classifier(spark, sf).select("series_id", "as_of", "n_train", "model")
+
+
 @query("M10")
 def fit_at_origin_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Decision direction from visible features, refitted at every decision on the decisions resolved before."""
@@ -522,6 +534,20 @@ def quantile_contract(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("predictor_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad(q)).alias("n_bad"), F.count_if(bad(crossed)).alias("n_crossed_bad"))
 
 
+@query("F13 M15", sql("predictions", """
+SELECT predictor_id, task_id, as_of, horizon, round(list_sort(q)[2], 5) AS q10, round(list_sort(q)[10], 5) AS q90 FROM predictions"""))
+def monotone_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Crossed quantile grids (here reversed) rearranged into order."""
+    obs, t, s = setup(spark, sf)
+    p = bt.forecast_all(bt.origin_table(t, s), obs, FORECASTERS)
+    q = F.col("quantiles")
+    crossed = F.zip_with(F.transform(q, lambda x: x["q"]), F.reverse(sc.quantile_values(q)), lambda a, b: F.struct(a.alias("q"), b.alias("v")))
+    m = p.withColumn("quantiles", sc.monotone(crossed))
+    return m.select(
+        "predictor_id", "task_id", "as_of", "horizon", F.round(sc.quantile_at(q, 0.1), 5).alias("q10"), F.round(sc.quantile_at(q, 0.9), 5).alias("q90")
+    )
+
+
 @query("P11", sql("decisions", _DECISION_PROBS + """
 SELECT series_id, count(*) AS n, count(*) FILTER (WHERE day(forecast_date) % 13 <> 6) AS n_off_sum, CAST(0 AS BIGINT) AS n_label_issues FROM probs GROUP BY 1"""))
 def distribution_contract(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,30 +19,40 @@ def _stem(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, folder: str, source: str) -> DataFrame:
-    """Read ``<id>.json`` artefacts; unreadable ones are skipped, empty texts come from the sibling ``<id>.md``.
+    """Read a folder of ``<id>.json`` artefacts and their ``<id>.md`` companions."""
 
-    The companion is found by file stem, else by the recorded ``text_path``'s file name.
+    def files(pattern: str, name: str) -> DataFrame:
+        read = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+        return read.select(_stem(F.input_file_name()).alias("stem"), F.col("value").alias(name))
+
+    return parse_artefacts(files("*.json", "json"), files("*.md", "text"), source)
+
+
+def parse_artefacts(artefacts: DataFrame, companions: DataFrame, source: str) -> DataFrame:
+    """``stem, json`` rows to documents; unreadable JSON is skipped, empty texts come from ``companions`` (``stem, text``).
+
+    The companion shares the artefact's stem, else it is the recorded ``text_path``'s file name.
     """
-    raw = spark.read.schema(_RAW).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{folder}/*.json")
-    raw = raw.withColumn("_stem", _stem(F.input_file_name()))
+    a = F.from_json("json", _RAW, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    raw = artefacts.select("stem", a.alias("a")).select("stem", "a.*")
     good = raw.filter(F.col("_corrupt_record").isNull() & F.col("meta.publication_date").isNotNull())
-    side = (
-        spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-        .select(_stem(F.input_file_name()).alias("_stem"), F.col("value").alias("_md"))
-    )
-    recorded = side.select(F.col("_stem").alias("_ref"), F.col("_md").alias("_md_ref"))
-    joined = good.join(side, "_stem", "left").withColumn("_ref", _stem(F.col("text_path"))).join(recorded, "_ref", "left")
-    text = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.col("_md"), F.col("_md_ref"), F.lit(""))
+    empty = F.nullif(F.col("text"), F.lit("")).isNull()
+    # Only artefacts without a text look for one, so inline texts are not shuffled against the companions.
+    wanting = good.filter(empty).withColumn("_ref", _stem(F.col("text_path")))
+    side = companions.select("stem", F.col("text").alias("_md"))
+    recorded = companions.select(F.col("stem").alias("_ref"), F.col("text").alias("_md_ref"))
+    found = wanting.join(side, "stem", "left").join(recorded, "_ref", "left").withColumn("text", F.coalesce("_md", "_md_ref", F.lit("")))
+    joined = good.filter(~empty).unionByName(found.select(*good.columns))
     return conform(
         joined.select(
             F.lit(source).alias("source"),
-            F.coalesce("meta.doc_id", "_stem").alias("doc_id"),
+            F.coalesce("meta.doc_id", "stem").alias("doc_id"),
             F.to_date("meta.publication_date").alias("publication_date"),
             F.col("meta.title").alias("title"),
             F.coalesce("meta.lang", F.lit("en")).alias("lang"),
-            text.alias("text"),
+            "text",
             F.coalesce("page_count", F.lit(0)).alias("page_count"),
-            F.length(text).cast("long").alias("n_chars"),
+            F.length("text").cast("long").alias("n_chars"),
             F.coalesce("est_tokens", F.lit(0).cast("long")).alias("est_tokens"),
             F.col("extracted_at").try_cast("timestamp_ntz").alias("extracted_at"),
         ),
@@ -73,7 +83,7 @@ def visible(documents: DataFrame, origins: DataFrame | None = None, as_of: str |
         return documents.filter(F.col("publication_date") <= F.lit(as_of).cast("date"))
     published = F.col("publication_date").cast("timestamp_ntz")
     newest = ("max", F.struct(published.alias("at"), "doc_id", "title"))
-    out = asof.state_at(origins, documents, ["source"], "as_of", published, {"n_documents": asof.count_rows(), "newest": newest})
+    out = asof.state_at(origins, documents, ["source"], "as_of", published, {"n_documents": asof.count_rows(), "newest": newest}, many_per_time=True)
     return out.withColumn("n_documents", F.coalesce("n_documents", F.lit(0).cast("long")))
 
 
