@@ -176,7 +176,7 @@ def value_blocks(values: DataFrame, keys: Sequence[str], column: str, blocks: in
     decide how evenly the work spreads.
     """
     levels = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    edges = values.groupBy(*keys).agg(F.percentile_approx(column, levels, 10_000).alias("_edges"))
+    edges = values.groupBy(*keys).agg(F.percentile_approx(column, levels, 1_000).alias("_edges"))
     # Bisection over the sorted edges: how many lie below the value.
     start = F.struct(F.lit(0).alias("lo"), F.lit(blocks - 1).alias("hi"))
 

@@ -11,6 +11,7 @@ from tidemark.queries.forecasts import decision_forecasts
 from tidemark.queries.registry import query
 from tidemark.queries.sources import _folder
 from tidemark.queries.tables import announcements, category_column, decisions, observations, prices, rounded, sql, table
+from tidemark.session import spread
 from tidemark.sources import documents as docs
 
 
@@ -120,7 +121,7 @@ SELECT page_id, length(text) AS n_chars, CAST((length(text) + 3) // 4 AS BIGINT)
 @query("F21 F22", _PAGE_SQL)
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
     """Readable text of every page; short ones flagged."""
-    p = docs.from_pages(table(spark, sf, "pages"), "pages", 400)
+    p = docs.from_pages(spread(table(spark, sf, "pages")), "pages", 400)
     return p.select("page_id", "n_chars", "est_tokens", "usable", F.sha2("text", 256).alias("text_hash"))
 
 
@@ -159,7 +160,7 @@ SELECT doc_id, sha256(coalesce(string_agg(kept, chr(10) ORDER BY i), '')) AS kep
 @query("F23", _FENCE_SQL)
 def date_fence(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences naming a date on or after the cutoff are removed from every whole text."""
-    d = documents(spark, sf).withColumn("text", _dated_text())
+    d = spread(documents(spark, sf)).withColumn("text", _dated_text())
     out = d.withColumn("_f", tx.fence(F.col("text"), F.lit("2024-06-15").cast("date")))
     return out.select("doc_id", F.sha2("_f.kept", 256).alias("kept_hash"), F.size("_f.dropped").alias("n_dropped"))
 

@@ -50,3 +50,12 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute rows before heavy per-row work when a scan yields fewer partitions than cores.
+
+    A few large row groups would keep most cores idle; a scan of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
