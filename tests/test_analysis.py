@@ -64,7 +64,7 @@ def test_flat_average_yoy_is_zero(spark):
 
 
 def test_families_and_prefixes(spark):
-    df = spark.createDataFrame([("last_value_naive",), ("darts_arima",), ("news_agent",), ("x",)], "n string")
+    df = spark.createDataFrame([("last_value_naive",), ("auto_arima",), ("news_agent",), ("x",)], "n string")
     assert [r.f for r in df.select(an.predictor_family(F.col("n")).alias("f")).collect()] == ["Baseline", "Numerical ML", "LLM / Agent", "Other"]
     arms = spark.createDataFrame([("agent_a_1",), ("agent_b",), ("agentx_y",)], "n string")
     assert [r.arm for r in an.longest_prefix_label(arms, "n", {"agent": "Agent", "agent_a": "Agent A"}).collect()] == ["Agent A", "Agent", "agentx y"]
