@@ -155,7 +155,7 @@ def pack(docs: DataFrame, window: int = 1024, quantum: int = 128, targets: dict[
             start, size, at = np.concatenate(parts, axis=1)
             own = batch.iloc[np.concatenate(which)]
             yield pd.DataFrame({
-                "doc_id": own["doc_id"].array, "row_hash": own["row_hash"].array, "source": own["source"].array, "start": start, "length": size, "ids_crc32": crc,
+                "doc_id": own["doc_id"].array, "row_hash": own["row_hash"].array, "source": own["source"].astype(object).array, "start": start, "length": size, "ids_crc32": crc,
                 "doc_tokens": own["n"].array, "sequence_id": at // window, "offset": at % window, "ids": ids,
             })
 

@@ -20,7 +20,6 @@ All three are exact but for 128-bit hash collisions, and none holds more than a
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keyed, same_row
+from tidemark.llm.common import keyed, same_row, text_of
 from tidemark.llm.suffix_array import Suffixes, previous_factors
 from tidemark.session import settled
 
@@ -264,5 +263,49 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep: str | None = None,
     return both.mapInPandas(strip, f"doc_id {kind}, row_hash long, n_bytes long, n_removed long, spans {RANGES}, kept binary")
 
 
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def inside_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
+    """The range without the parts of characters that it cuts at its ends."""
+    while a < b and data[a] & 0xC0 == 0x80:
+        a += 1
+    while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+    """The rows with all their columns, their texts without later copies of repeated strings (the first one stays).
+
+    Characters cut at the ends of a removed range stay whole, so texts remain valid.  A column ``n_chars`` is counted
+    anew where the text changes.
+    """
+    rows = keyed(docs, id_col=id_col, text_col=text_col)
+    found = settled(repeated_spans(rows, length, "first"), "spans")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("row_hash"))
+    both = own.join(found, same_row(own, found), "left").select("row", "spans")
+
+    @F.pandas_udf("string")
+    def strip(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, s in zip(text, spans):
+            if s is None or not len(s):
+                out.append(t)
+                continue
+            data, at, kept = t.encode(), 0, []
+            for a, b in merged((x["a"], x["b"]) for x in s):
+                a, b = inside_characters(data, a, b)
+                kept.append(data[at:a])
+                at = b
+            kept.append(data[at:])
+            out.append(b"".join(kept).decode())
+        return pd.Series(out, dtype=object)
+
+    new = both.withColumn("new", strip(F.col(f"row.`{text_col}`"), F.col("spans")))
+    out = []
+    for c in docs.columns:
+        if c == text_col:
+            out.append(F.col("new").alias(c))
+        elif c == "n_chars":
+            out.append(F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.char_length("new").cast(docs.schema[c].dataType)).alias(c))
+        else:
+            out.append(F.col(f"row.`{c}`").alias(c))
+    return new.select(*out)
