@@ -119,8 +119,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_hash")
     distinct = settled(marks.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     found = components(links(distinct, radius))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = settled(rooted, "rooted")
     firsts = settled(rooted.groupBy("root").agg(F.min("first").alias("first")), "firsts")
-    classes = settled(rooted.select("fp", "root").join(firsts, "root").select("fp", "first"), "classes")
-    return marks.join(classes, "fp").select("doc_id", "row_hash", "fp", F.col("first.doc_id").alias("component_id"), (order == F.col("first")).alias("first_row"))
+    classes = settled(rooted.select("fp", "root").join(firsts.hint("merge"), "root").select("fp", "first"), "classes")
+    return marks.join(classes.hint("merge"), "fp").select("doc_id", "row_hash", "fp", F.col("first.doc_id").alias("component_id"), (order == F.col("first")).alias("first_row"))

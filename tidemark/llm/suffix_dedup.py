@@ -184,17 +184,17 @@ def repeated_spans(rows: DataFrame, length: int = 200, keep: str | None = None,
     every = settled(signatures(rows, length), "runs")
     anchors = every.groupBy("anchor").agg(F.count("*").alias("n_anchor"), F.min("whole").alias("w1"), F.max("whole").alias("w2")).where("n_anchor > 1")
     anchors = settled(anchors.select("anchor", (F.col("w1") == F.col("w2")).alias("alike")), "anchors")
-    again = settled(every.join(anchors, "anchor"), "again")
+    again = settled(every.join(anchors.hint("merge"), "anchor"), "again")
     order = F.struct(F.col("doc_id").isNull().alias("z"), *ORDER, "hi", "pos")
     different = settled(again.groupBy("anchor", "whole", "alike").agg(F.count("*").alias("n"), F.min(order).alias("r")), "different")
-    copied = again.join(different.where("n > 1").select("anchor", "whole", "r"), ["anchor", "whole"])
+    copied = again.join(different.where("n > 1").select("anchor", "whole", "r").hint("merge"), ["anchor", "whole"])
     if first:
         copied = copied.where(order != F.col("r"))
     whole = copied.select("doc_id", "row_hash", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     # one representative of each run, of the anchors that have several
     mixed = different.where("not alike")
     several = settled(mixed.groupBy("anchor").agg(F.count("*").alias("m")), "several")
-    mixed = mixed.join(several, "anchor").select("anchor", "whole", "n", "m", "r.z", "r.doc_id", "r.row_hash", "r.lo", "r.hi", "r.pos")
+    mixed = mixed.join(several.hint("merge"), "anchor").select("anchor", "whole", "n", "m", "r.z", "r.doc_id", "r.row_hash", "r.lo", "r.hi", "r.pos")
     wanted = mixed.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("anchor", "whole", "n", "m", "lo", "hi", "pos")).alias("runs"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +207,7 @@ def repeated_spans(rows: DataFrame, length: int = 200, keep: str | None = None,
 
     wanted = settled(wanted, "wanted")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    picked = rows.join(wanted, same_row(rows, wanted)).select(rows["doc_id"], rows["row_hash"], "text", "runs")
+    picked = rows.join(wanted.hint("merge"), same_row(rows, wanted)).select(rows["doc_id"], rows["row_hash"], "text", "runs")
     contexts = picked.mapInPandas(fetch, f"doc_id {kind}, row_hash long, anchor long, whole long, n long, m long, lo long, hi long, pos long, bytes binary")
     contexts = settled(contexts.dropDuplicates(["anchor", "whole"]), "contexts")
     cool, hot = contexts.where(F.col("m") <= shard_runs), contexts.where(F.col("m") > shard_runs)
@@ -243,7 +243,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep: str | None = None,
         raise ValueError(f"keep is None or 'first', length at least {2 * PIECE}")
     rows = keyed(docs, id_col=id_col, text_col=text_col)
     found = settled(repeated_spans(rows, length, keep, **more), "spans")
-    both = rows.join(found, same_row(rows, found), "left").select(rows["doc_id"], rows["row_hash"], "text", "spans")
+    both = rows.join(found.hint("merge"), same_row(rows, found), "left").select(rows["doc_id"], rows["row_hash"], "text", "spans")
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -281,7 +281,7 @@ def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     rows = keyed(docs, id_col=id_col, text_col=text_col)
     found = settled(repeated_spans(rows, length, "first"), "spans")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("row_hash"))
-    both = own.join(found, same_row(own, found), "left").select("row", "spans")
+    both = own.join(found.hint("merge"), same_row(own, found), "left").select("row", "spans")
 
     @F.pandas_udf("string")
     def strip(text: pd.Series, spans: pd.Series) -> pd.Series:
