@@ -50,7 +50,7 @@ def repeated(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     groups = every.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
     # read back from files, both sides are plain shuffles: a window that a third of all documents share is split at run time
     groups = settled(groups, "repeated")
-    later = every.join(groups, ["k1", "k2"]).where(order != F.col("first"))
+    later = every.join(groups.hint("merge"), ["k1", "k2"]).where(order != F.col("first"))
     return later.groupBy("doc_id", "row_hash").agg(F.collect_set("place").alias("places"))
 
 
@@ -62,7 +62,7 @@ def line_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text
     """
     rows = keyed(docs, id_col=id_col, text_col=text_col)
     found = settled(repeated(rows, width), "places")
-    both = rows.join(found, same_row(rows, found), "left").select(rows["doc_id"], rows["row_hash"], "text", "places")
+    both = rows.join(found.hint("merge"), same_row(rows, found), "left").select(rows["doc_id"], rows["row_hash"], "text", "places")
     cut = _lines(both, "doc_id", "row_hash", "text", "places")
     covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (width - 1)))))
     gone = F.coalesce(F.transform(covered, lambda j: F.get("worded", j)), F.array().cast("array<int>"))
