@@ -14,6 +14,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def blank(column: str) -> Column:
+    """Whether a text has no word."""
+    return F.trim(F.col(column), F.lit(" \t\n\x0b\f\r")) == ""
+
+
 def keyed(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, row_hash, text`` and the columns named; ``row_hash`` tells rows apart that share an id."""
     text = text_of(text_col)

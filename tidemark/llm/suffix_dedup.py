@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keyed, same_row, text_of
+from tidemark.llm.common import blank, keyed, same_row, text_of
 from tidemark.llm.suffix_array import Suffixes, previous_factors
 from tidemark.session import settled
 
@@ -275,7 +275,7 @@ def inside_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
 def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """The rows with all their columns, their texts without later copies of repeated strings (the first one stays).
 
-    Characters cut at the ends of a removed range stay whole, so texts remain valid.  A column ``n_chars`` is counted
+    A row of which no word is left goes.  Characters cut at the ends of a removed range stay whole, so texts remain valid.  A column ``n_chars`` is counted
     anew where the text changes.
     """
     rows = keyed(docs, id_col=id_col, text_col=text_col)
@@ -300,6 +300,7 @@ def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         return pd.Series(out, dtype=object)
 
     new = both.withColumn("new", strip(F.col(f"row.`{text_col}`"), F.col("spans")))
+    new = new.where(F.col("spans").isNull() | ~blank("new"))
     out = []
     for c in docs.columns:
         if c == text_col:
