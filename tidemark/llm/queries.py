@@ -35,7 +35,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents")).drop("row_hash", "ids")
+    return packing.pack(_read(spark, sf_dir, "documents"), with_ids=False).drop("row_hash", "ids")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
