@@ -116,16 +116,28 @@ class Schedule:
                 out += below.astype(np.int64) + ((at == below) & (other < queue) & (below < n))
         return out
 
-    def pieces(self, queue: int, begin: int, length: int, window: int):
-        """``(start, size, position)`` of the runs that a document at ``begin`` of its queue is cut into; none crosses a window."""
+    def places(self, queue: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+        """Place in the stream of every quantum of every document, ranked for all documents of a queue together."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(queue)
+        for q in np.unique(queue).tolist():
+            mine = np.flatnonzero(queue == q)
+            first, last = begin[mine] // self.quantum, (begin[mine] + length[mine] - 1) // self.quantum
+            n = last - first + 1
+            end = np.cumsum(n)
+            i = np.repeat(first - (end - n), n) + np.arange(n.sum())
+            full = i < self.full[q]
+            at = np.full(len(i), self.tail[q], dtype=np.int64)
+            at[full] = self.rank(q, i[full]) * self.quantum
+            for k, part in zip(mine.tolist(), np.split(at, end[:-1])):
+                out[k] = part
+        return out
+
+    def pieces(self, begin: int, length: int, window: int, places: np.ndarray):
+        """``(start, size, position)`` of the runs that a document at ``begin`` of its queue is cut into, given its quanta's places; none crosses a window."""
         q, end = self.quantum, begin + length
         i = np.arange(begin // q, (end - 1) // q + 1)
         lo, hi = np.maximum(i * q, begin), np.minimum((i + 1) * q, end)
-        full = i < self.full[queue]
-        at = np.empty(len(i), dtype=np.int64)
-        at[full] = self.rank(queue, i[full]) * q
-        at[~full] = self.tail[queue]
-        at += lo - i * q
+        at = places + lo - i * q
         # windows cut quanta only in the tail or where the quantum does not divide the window
         first, last = at // window, (at + hi - lo - 1) // window
         n = last - first + 1
@@ -138,7 +150,7 @@ class Schedule:
         return start[heads], np.add.reduceat(b - a, heads), a[heads]
 
 
-def pack(docs: DataFrame, window: int = 1024, quantum: int = 128, targets: dict[str, float] | None = None, max_queues: int = 500, bucket_rows: int = 20_000, with_ids: bool = True, **columns: str) -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, quantum: int = 128, targets: dict[str, float] | None = None, max_queues: int = 500, bucket_rows: int = 2_000, with_ids: bool = True, **columns: str) -> DataFrame:
     """One row per piece: ``doc_id, row_hash, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
 
     ``targets`` maps sources to weights (positive; sources not named get the weight of their size relative
@@ -173,8 +185,9 @@ def pack(docs: DataFrame, window: int = 1024, quantum: int = 128, targets: dict[
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
             parts, which, ids, crc = [], [], [], []
-            for k, (queue, begin, n, data) in enumerate(zip(batch["queue"], batch["begin"], batch["n"], batch["ids"])):
-                start, size, at = schedule.pieces(queue, begin, n, window)
+            places = schedule.places(*[batch[c].to_numpy(dtype=np.int64) for c in ("queue", "begin", "n")])
+            for k, (begin, n, data) in enumerate(zip(batch["begin"], batch["n"], batch["ids"])):
+                start, size, at = schedule.pieces(begin, n, window, places[k])
                 parts.append(np.stack([start, size, at]))
                 which.append(np.full(len(start), k))
                 data = np.frombuffer(data, dtype="<u2" if len(data) == 2 * n else "<u4").astype("<u4").tobytes()
