@@ -152,3 +152,7 @@ def test_preamble_in_date_order(spark):
     assert tx.report_preamble(d, ["k"], 4).first().preamble == (
         "=== s/a ===\nSource: s\nPublished: 2024-01-01\n\nabcd\n\n[...]\n\n=== Title ===\nSource: s\nPublished: 2024-02-01\n\nxyz"
     )
+
+
+def test_unclosed_furniture_ends_with_what_holds_it():
+    assert tx.main_text("<header><nav>menu</header><main>hello world</main>") == "hello world"

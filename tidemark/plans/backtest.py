@@ -157,7 +157,13 @@ def cached_backtest(
         if rest.isEmpty():
             continue
         try:
-            save_results(backtest(observations, tasks, rest, {name: forecaster}), path, overwrite=force_refresh)
+            fresh = backtest(observations, tasks, rest, {name: forecaster})
+            if force_refresh and (old := load_results(spark, path)) is not None:
+                # partitions are replaced as wholes, so the tasks in them that are not refreshed go in again
+                touched = rest.select("spec_id").distinct()
+                others = old.where(F.col("predictor_id") == name).join(touched, "spec_id", "left_semi").join(todo.select("spec_id", "task_id"), ["spec_id", "task_id"], "left_anti")
+                fresh = settled(fresh.unionByName(others.select(*fresh.columns)), "refreshed")
+            save_results(fresh, path, overwrite=force_refresh)
         except Exception as error:  # noqa: BLE001 - one failing model must not lose the others
             log.warning("forecaster %s failed: %s", name, error)
     stored = load_results(spark, path)
