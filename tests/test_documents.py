@@ -30,6 +30,8 @@ def test_fence_fixture(spark):
         ("1. On 3rd of April 2025 up! Ok.\n\n> May 2026 only.", "2025-04-03", "1. Ok.\n"),
         ("Anything 2030-01-01.", "not a date", "Anything 2030-01-01."),
         ("A\nB\n", "2025-01-01", "A\nB"),
+        ("On April\u00a03,\u202f2025 up. Ok.", "2025-04-03", "Ok."),
+        ("On April\u00a02, 2025 up. Ok.", "2025-04-03", "On April\u00a02, 2025 up. Ok."),
     ],
 )
 def test_fence_cases(spark, text, cutoff, kept):
