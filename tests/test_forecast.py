@@ -120,6 +120,40 @@ def test_filters_do_not_look_ahead(walk, spark, make):
     assert len(a) == 4 and a == pytest.approx(b)
 
 
+EVERY = {
+    "random_walk": fc.log_random_walk,
+    "smoothing": lambda c, o: fc.exponential_smoothing(c, o, "B"),
+    "seasonal": lambda c, o: fc.exponential_smoothing(c, o, "B", 5),
+    "kalman": lambda c, o: fc.kalman_local_level(c, o, "B"),
+    "regression": lambda c, o: fc.lagged_regression(c, o, (1, 5), 3),
+    "range": lambda c, o: fc.horizons_of(fc.visible_range(c, o, 60)).withColumn("point", F.col("high") - F.col("low")),
+}
+
+
+@pytest.mark.parametrize("name", EVERY)
+def test_rows_released_late_between_visible_rows_change_nothing(walk, spark, name):
+    """Some rows are published after the origin though later stamps are visible: forecasts equal those on the visible rows alone."""
+    dates = ["2021-12-01", "2022-02-01"]
+    t, s = task_and_spec(spark, "w", "B", (1, 5), dates=dates, start="2021-01-01", end="2023-01-01")
+    o = bt.origin_table(t, s)
+    late = F.dayofmonth("timestamp") % 9 == 4
+    held = walk.withColumn("released_at", F.when(late, ts("2022-12-01")).otherwise(F.col("released_at"))).cache()
+    poisoned = held.withColumn("value", F.when(F.col("released_at") > ts("2022-02-01"), F.lit(1e9)).otherwise(F.col("value")))
+    read = lambda obs: {(r.series_id, r.as_of, r.horizon): r.point for r in EVERY[name](fc.context(o, obs), obs).collect()}
+    a = read(held)
+    assert len(a) == 4 and a == pytest.approx(read(poisoned))
+    assert a == pytest.approx(read(held.filter(~late)))
+
+
+def test_origins_off_the_grid_are_forecast(spark):
+    """Monthly stamps in mid-month are off a month-start grid: the state of the newest grid step serves."""
+    on = [("g", f"2020-{m:02d}-01", float(m), None) for m in range(1, 9)]
+    obs = observations(spark, [*on, ("g", "2020-08-15", 100.0, None)])
+    t, s = task_and_spec(spark, "g", "MS", (1,), dates=["2020-08-20"], start="2020-01-01", end="2021-01-01")
+    rows = fc.exponential_smoothing(fc.context(bt.origin_table(t, s), obs), obs, "MS").collect()
+    assert len(rows) == 1 and 1.0 < rows[0].point <= 8.0
+
+
 def test_lagged_regression_is_least_squares_at_each_origin(spark, walk):
     t, s = task_and_spec(spark, "w", "B", (2,), dates=["2021-09-01", "2022-05-02"], start="2021-01-01", end="2023-01-01")
     rows = fc.lagged_regression(fc.context(bt.origin_table(t, s), walk), walk, (2,), 3).collect()

@@ -8,7 +8,8 @@ accumulated once along each series and read off at the origins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from tidemark.functions import calendar as cal, scoring as sc
 from tidemark.functions.text import first_json_object
 from tidemark.operators import asof
 from tidemark.operators.features import fill_gaps
-from tidemark.operators.ordered import exact_percentiles, lags
+from tidemark.operators.ordered import exact_percentiles, lags, row_index, trailing as trailing_rows
 from tidemark.session import settled
 
 KEY = ["series_id"]
@@ -28,23 +29,68 @@ PREDICTION_COLUMNS = [
 ]
 
 
-def context(origins: DataFrame, observations: DataFrame) -> DataFrame:
-    """One row per origin with what its target showed at that moment.
-
-    Adds ``n_visible``, ``first`` and ``last`` (STRUCT<at, value>) and the sums of log
-    returns and their squares over visible rows.
-    """
-    rows = lags(observations, KEY, "timestamp", {"_prev": ("value", 1)})
+def _seen(origins: DataFrame, observations: DataFrame) -> DataFrame:
+    rows = lags(row_index(observations, KEY, "timestamp", "_i"), KEY, "timestamp", {"_prev": ("value", 1)})
     r = F.when((F.col("value") > 0) & (F.col("_prev") > 0), F.ln(F.col("value") / F.col("_prev")))
-    return asof.visible_state(
+    state = asof.visible_state(
         origins,
         rows.withColumn("_r", r),
         {
             "first": asof.earliest("value"),
             "r_sum": ("sum", F.col("_r")),
             "r_squares": ("sum", F.col("_r") * F.col("_r")),
+            "_top": ("max", F.col("_i")),
         },
     )
+    return state.withColumn("in_order", F.coalesce(F.col("_top") == F.col("n_visible"), F.lit(True))).drop("_top")
+
+
+def context(origins: DataFrame, observations: DataFrame) -> DataFrame:
+    """One row per origin with what its target showed at that moment, written once for all forecasters.
+
+    Adds ``n_visible``, ``first`` and ``last`` (STRUCT<at, value>), the sums of log returns
+    and their squares over visible rows, and ``in_order``: whether the visible rows are the
+    earliest ones of the series.  At other origins a row is visible while an earlier stamp
+    is unreleased, so their returns are taken over the visible rows alone.
+    """
+    ctx = settled(_seen(origins, observations), "context")
+    late = ctx.filter(~F.col("in_order"))
+    if late.isEmpty():
+        return ctx
+    own = _seen(*asof.vintages(late.select(*origins.columns), observations))
+    own = own.withColumn("series_id", asof.root(F.col("series_id"))).withColumn("in_order", F.lit(False))
+    return settled(ctx.filter("in_order").unionByName(own), "context")
+
+
+def cut_first(forecaster: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let a forecaster that lags or fills rows work, at each origin, on rows released by then.
+
+    Where the visible rows are the earliest of their series, cutting before or after gives
+    the same and one pass serves all origins.  The other origins get a copy of what they saw.
+    """
+
+    @functools.wraps(forecaster)
+    def call(ctx: DataFrame, observations: DataFrame, *args, **kwargs) -> DataFrame:
+        late = ctx.filter(~F.col("in_order"))
+        if late.isEmpty():
+            return forecaster(ctx, observations, *args, **kwargs)
+        probes, rows = asof.vintages(late, observations)
+        own = forecaster(probes, settled(rows, "vintages"), *args, **kwargs)
+        own = own.withColumn("series_id", asof.root(F.col("series_id")))
+        return forecaster(ctx.filter("in_order"), observations, *args, **kwargs).unionByName(own)
+
+    return call
+
+
+@cut_first
+def visible_range(ctx: DataFrame, observations: DataFrame, n: int) -> DataFrame:
+    """Greatest and least of the ``n`` newest visible values at each origin, as ``high`` and ``low``."""
+    ranged = trailing_rows(
+        observations, KEY, "timestamp", n - 1,
+        lambda w: {"hi": F.max("value").over(w.rowsBetween(1 - n, 0)), "lo": F.min("value").over(w.rowsBetween(1 - n, 0))},
+    )
+    out = asof.state_at(ctx, ranged, KEY, "as_of", asof.released(), {"_range": asof.latest("hi", "lo")})
+    return out.withColumns({"high": F.col("_range.hi"), "low": F.col("_range.lo")}).drop("_range")
 
 
 def horizons_of(ctx: DataFrame) -> DataFrame:
@@ -243,14 +289,21 @@ def _states(observations: DataFrame, frequency: str, fit, schema: str) -> DataFr
         return out[["series_id", "at", *names]]
 
     grid = fill_gaps(observations, frequency)
-    return grid.groupBy("series_id").applyInPandas(along, f"series_id string, at timestamp_ntz, {schema}")
+    states = grid.groupBy("series_id").applyInPandas(along, f"series_id string, at timestamp_ntz, {schema}")
+    # Interpolated steps know the value after the gap, so only steps with a value of their own are read.
+    return states.join(observations.select("series_id", F.col("timestamp").alias("at")), ["series_id", "at"], "left_semi")
 
 
 def _with_state(ctx: DataFrame, states: DataFrame) -> DataFrame:
-    probes = ctx.withColumn("at", F.col("last.at"))
-    return horizons_of(probes.join(states, ["series_id", "at"]))
+    """Each origin with the state at its newest visible grid step; a last row off the grid leaves the step before it."""
+    names = [c for c in states.columns if c not in ("series_id", "at")]
+    probes = ctx.withColumn("_at", F.col("last.at"))
+    newest = F.struct(F.col("at"), *names)
+    found = asof.state_at(probes, states, KEY, "_at", F.col("at"), {"_state": ("max", newest)}).filter(F.col("_state").isNotNull())
+    return horizons_of(found.select("*", *[F.col(f"_state.{n}").alias(n) for n in names]))
 
 
+@cut_first
 def exponential_smoothing(ctx: DataFrame, observations: DataFrame, frequency: str, period: int | None = None) -> DataFrame:
     """Simple smoothing, or additive trend and season when ``period`` is given."""
     h = F.col("horizon").cast("double")
@@ -273,6 +326,7 @@ def exponential_smoothing(ctx: DataFrame, observations: DataFrame, frequency: st
     return _predictions(df, "seasonal_smoothing", point=mean, quantiles=sc.gaussian_quantiles(mean, F.col("sd") * F.sqrt(spread)))
 
 
+@cut_first
 def kalman_local_level(ctx: DataFrame, observations: DataFrame, frequency: str) -> DataFrame:
     states = _states(
         observations, frequency, lambda y: local_level_states(y, RATIOS), "level double, sd double, gain double, noise double"
@@ -292,7 +346,7 @@ def lag_table(observations: DataFrame, n_lags: int, max_horizon: int, covariates
     ``known_at_h`` is when the h-step target is released, so a training row joins an
     origin's fit only once its outcome was visible.
     """
-    back = lags(observations, KEY, "timestamp", {f"_l{i}": ("value", i) for i in range(1, n_lags)})
+    back = lags(observations, KEY, "timestamp", {f"_l{i}": ("value", i) for i in range(1, n_lags)}) if n_lags > 1 else observations
     ahead = lags(
         back.withColumn("_rel", asof.released()), KEY, "timestamp",
         {f"_y{h}": ("value", h) for h in range(1, max_horizon + 1)} | {f"_k{h}": ("_rel", h) for h in range(1, max_horizon + 1)},
@@ -301,6 +355,8 @@ def lag_table(observations: DataFrame, n_lags: int, max_horizon: int, covariates
     cov = [c for c in covariates.columns if c not in ("series_id", "timestamp")] if covariates is not None else []
     if cov:
         on = [c for c in ("series_id", "timestamp") if c in covariates.columns]
+        if "series_id" in on and "root_id" in ahead.columns:
+            covariates, on = covariates.withColumnRenamed("series_id", "root_id"), ["root_id", "timestamp"]
         ahead = ahead.join(covariates, on, "left")
     x = F.array(F.lit(1.0), F.col("value"), *[F.col(f"_l{i}") for i in range(1, n_lags)], *[F.col(c) for c in cov])
     return ahead.withColumn("x", F.when(~F.exists(x, lambda v: v.isNull()), x))
@@ -317,6 +373,7 @@ def _solve(xtx: pd.Series, xty: pd.Series, yy: pd.Series, n: pd.Series, x: pd.Se
     return pd.DataFrame(out, columns=["mean", "sd"])
 
 
+@cut_first
 def lagged_regression(
     ctx: DataFrame, observations: DataFrame, horizons: Sequence[int], n_lags: int = 3, covariates: DataFrame | None = None
 ) -> DataFrame:
@@ -360,19 +417,22 @@ def boosted_regression(
     from pyspark.ml.regression import GBTRegressor
 
     cutoff = F.lit(train_until).cast("timestamp_ntz")
-    scaled = lag_table(observations, n_lags, max(horizons)).filter((F.col("value") > 0) & F.col("x").isNotNull())
     names = [f"_s{i}" for i in range(1, n_lags)]
-    for i, name in enumerate(names, start=1):
-        scaled = scaled.withColumn(name, F.col(f"_l{i}") / F.col("value"))
-    scaled = scaled.withColumn("_month", F.month("timestamp").cast("double"))
+
+    def scaled(rows: DataFrame) -> DataFrame:
+        lagged = lag_table(rows, n_lags, max(horizons)).filter((F.col("value") > 0) & F.col("x").isNotNull())
+        shares = {name: F.col(f"_l{i}") / F.col("value") for i, name in enumerate(names, start=1)}
+        return lagged.withColumns(shares | {"_month": F.month("timestamp").cast("double")})
+
+    @cut_first
+    def newest(ctx: DataFrame, rows: DataFrame) -> DataFrame:
+        return asof.state_at(ctx, scaled(rows), KEY, "as_of", asof.released(), {"_x": asof.latest("value", *names, "_month")})
+
     assembler = VectorAssembler(inputCols=[*names, "_month"], outputCol="features")
-    scaled = settled(scaled, "lags")
-    rows = assembler.transform(scaled)
-    here = asof.state_at(
-        ctx.filter(F.col("as_of") >= cutoff), scaled, KEY, "as_of", asof.released(),
-        {"_x": asof.latest("value", *names, "_month")},
-    ).filter(F.col("_x").isNotNull())
-    here = assembler.transform(here.select(*[c for c in here.columns if c != "_x"], *[F.col(f"_x.{c}").alias(c) for c in ("value", *names, "_month")]))
+    rows = assembler.transform(settled(scaled(asof.as_of(observations, train_until)), "lags"))
+    here = newest(ctx.filter(F.col("as_of") >= cutoff), observations).filter(F.col("_x").isNotNull())
+    here = here.select(*[c for c in here.columns if c != "_x"], *[F.col(f"_x.{c}").alias(c) for c in ("value", *names, "_month")])
+    here = assembler.transform(settled(here, "newest"))
     out = None
     for h in horizons:
         train = rows.filter(F.col(f"_k{h}") <= cutoff).withColumn("label", F.col(f"_y{h}") / F.col("value"))

@@ -91,8 +91,6 @@ def require_scored(summary: DataFrame, origins: DataFrame, predictor_ids: list[s
 def forecast_all(origins: DataFrame, observations: DataFrame, forecasters: dict[str, Forecaster]) -> DataFrame:
     """Context once, then every forecaster on the warmed-up origins."""
     ctx = warmed_up(fc.context(origins, observations))
-    if len(forecasters) > 1:
-        ctx = settled(ctx, "context")  # every forecaster starts from it
     out = None
     for forecaster in forecasters.values():
         part = forecaster(ctx, observations)

@@ -10,7 +10,7 @@ from tidemark.plans import backtest as bt
 from tidemark.queries.registry import query
 from tidemark.session import settled
 from tidemark.queries.tables import (
-    DIRECTIONS, FORECASTERS, Z_LIST, announcements, category_column, decisions, monthly, monthly_origins, observations, prices,
+    DIRECTIONS, END, FORECASTERS, START, WARMUP, Z_LIST, announcements, category_column, cte, decisions, monthly, monthly_origins, observations, prices,
     rounded, setup, specs, sql, step_rates, table, tasks,
 )
 
@@ -154,16 +154,11 @@ FROM (SELECT m.series_id, m.as_of, o.timestamp, o.value, row_number() OVER (PART
       FROM monthly_origins m JOIN obs o ON o.series_id = m.series_id AND o.released_at <= m.as_of) o JOIN monthly_origins m USING (series_id, as_of) GROUP BY 1, 2"""))
 def target_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Last close, row count and the 252-row range at each origin; the range rides along each row once."""
-    from tidemark.operators.ordered import trailing
-
-    ranged = trailing(
-        observations(spark, sf), KEY, "timestamp", 251,
-        lambda w: {"hi": F.max("value").over(w.rowsBetween(-251, 0)), "lo": F.min("value").over(w.rowsBetween(-251, 0))},
-    )
-    out = asof.visible_state(monthly_origins(spark, sf), ranged, {"_r": asof.latest("hi", "lo")}).filter("n_visible > 0")
+    obs = observations(spark, sf)
+    out = fc.visible_range(fc.context(monthly_origins(spark, sf), obs), obs, 252).filter("n_visible > 0")
     return out.select(
         "series_id", "as_of", F.col("n_visible").alias("n_rows"), F.col("last.value").alias("last_close"), F.to_date("last.at").alias("last_date"),
-        F.col("_r.hi").alias("high_252"), F.col("_r.lo").alias("low_252"),
+        F.col("high").alias("high_252"), F.col("low").alias("low_252"),
     )
 
 
@@ -179,6 +174,61 @@ def outcome_history(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("series_id", "as_of", "n", "n_down", "n_up", F.round(F.col("_same") / F.col("n"), 6).alias("share_same"))
 
 
+# --- releases out of stamp order -------------------------------------------------------------------
+
+cte("late_obs", "obs", """
+  SELECT series_id, timestamp, value, timestamp + to_days(CASE WHEN day(timestamp) % 7 = 3 THEN 80 ELSE 21 END) AS released_at FROM obs""")
+cte("late_origins", "origins", f"""
+  SELECT series_id, as_of FROM (SELECT DISTINCT series_id FROM origins),
+  (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL 60 DAY)) AS as_of)""")
+cte("late_seen", "late_obs late_origins", """
+  SELECT o.series_id, o.as_of, l.timestamp, l.value, lag(l.value) OVER w AS prev, lead(l.value, 5) OVER w AS ahead,
+         row_number() OVER (PARTITION BY o.series_id, o.as_of ORDER BY l.timestamp DESC) AS back
+  FROM late_origins o JOIN late_obs l ON l.series_id = o.series_id AND l.released_at <= o.as_of
+  WINDOW w AS (PARTITION BY o.series_id, o.as_of ORDER BY l.timestamp)""")
+
+
+def _late(spark: SparkSession, sf: str):
+    """Observations of which some days are published two months after their neighbours, and the context at origins 60 days apart."""
+    obs, t, _ = setup(spark, sf)
+    days = F.when(F.dayofmonth("timestamp") % 7 == 3, 80).otherwise(21)
+    late = obs.withColumn("released_at", F.timestamp_add("DAY", days, F.col("timestamp")))
+    return late, bt.warmed_up(fc.context(bt.origin_table(t, specs(t, spec_id="late", stride=60)), late))
+
+
+@query("M4", sql("late_seen", f"""
+, fit AS (SELECT series_id, as_of, arg_max(value, timestamp) AS last, date_diff('day', min(timestamp), max(timestamp))::DOUBLE AS n,
+                 sum(ln(value / prev)) AS r, sum(ln(value / prev) * ln(value / prev)) AS rr
+          FROM late_seen GROUP BY 1, 2 HAVING count(*) >= {WARMUP})
+SELECT series_id, as_of, horizon, round(exp(ln(last) + horizon * r / n), 4) AS point,
+       round(exp(ln(last) + horizon * r / n + {sc.Z_SCORES[0.95]!r} * sqrt(greatest(0, rr - r * r / n) / (n - 1)) * sqrt(horizon)), 4) AS q95
+FROM fit, (SELECT unnest([5, 10, 21]) AS horizon)"""))
+def late_release_random_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Returns are taken between rows that were both visible, whatever is published later."""
+    late, ctx = _late(spark, sf)
+    out = fc.log_random_walk(ctx, late)
+    return out.select("series_id", "as_of", "horizon", F.round("point", 4).alias("point"), F.round(sc.quantile_at(F.col("quantiles"), 0.95), 4).alias("q95"))
+
+
+@query("M7", sql("late_seen", f"""
+SELECT series_id, as_of, round(regr_intercept(ahead, value) + regr_slope(ahead, value) * arg_max(value, timestamp), 3) AS point
+FROM late_seen GROUP BY 1, 2 HAVING count(*) >= {WARMUP}"""))
+def late_release_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """Least squares of the value five visible rows on, fitted at every origin to visible rows."""
+    late, ctx = _late(spark, sf)
+    return fc.lagged_regression(ctx, late, (5,), 1).select("series_id", "as_of", F.round("point", 3).alias("point"))
+
+
+@query("A47", sql("late_seen", f"""
+SELECT series_id, as_of, count(*) AS n_rows, max(value) FILTER (WHERE back <= 252) AS high_252, min(value) FILTER (WHERE back <= 252) AS low_252
+FROM late_seen GROUP BY 1, 2 HAVING count(*) >= {WARMUP}"""))
+def late_release_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Range of the 252 newest visible rows at each origin."""
+    late, ctx = _late(spark, sf)
+    out = fc.visible_range(ctx, late, 252)
+    return out.select("series_id", "as_of", F.col("n_visible").alias("n_rows"), F.col("high").alias("high_252"), F.col("low").alias("low_252"))
+
+
 # --- forecasters ---------------------------------------------------------------------------------
 
 
