@@ -140,9 +140,8 @@ def test_rows_released_late_between_visible_rows_change_nothing(walk, spark, nam
     held = walk.withColumn("released_at", F.when(late, ts("2022-12-01")).otherwise(F.col("released_at"))).cache()
     poisoned = held.withColumn("value", F.when(F.col("released_at") > ts("2022-02-01"), F.lit(1e9)).otherwise(F.col("value")))
     read = lambda obs: {(r.series_id, r.as_of, r.horizon): r.point for r in EVERY[name](fc.context(o, obs), obs).collect()}
-    a = read(held)
-    assert len(a) == 4 and a == pytest.approx(read(poisoned))
-    assert a == pytest.approx(read(held.filter(~late)))
+    a = read(poisoned)
+    assert len(a) == 4 and a == pytest.approx(read(held.filter(~late)))
 
 
 def test_origins_off_the_grid_are_forecast(spark):
