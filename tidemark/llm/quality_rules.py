@@ -5,8 +5,8 @@ mergeable quantile sketches: histograms over buckets of 32 per power of two, so
 one part in 32, sketches add by counts, and those of a language or of everything are sums of its parts.  Quartiles of
 the sketches give fences; a document beyond any fence of its stratum is rejected.
 
-A stratum sets its own fences from ``max(min_rows, rows / max_strata)`` documents on; smaller ones take those of
-their language, then those of all documents.  At most ``max_strata`` strata (and languages) can be so large, which bounds what is broadcast.
+A stratum sets its own fences from ``min_rows`` documents on, however large the table; smaller ones take those of
+their language, then those of all documents.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def sketches(stats: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, min_rows: int = 100, max_strata: int = 1_000) -> DataFrame:
+def fences(sketch: DataFrame, min_rows: int = 100) -> DataFrame:
     """``level, lang, source, fence``: of large strata (level 2), large languages (1) and everything (0).
 
     ``fence`` maps a metric to its lowest and highest accepted value.
@@ -122,21 +122,26 @@ def fences(sketch: DataFrame, min_rows: int = 100, max_strata: int = 1_000) -> D
     high = F.col("q2") + reach * F.greatest(F.col("q3") - F.col("q2"), least)
     pairs = F.map_from_entries(F.collect_list(F.struct("metric", F.struct(low.cast("long").alias("low"), high.cast("long").alias("high")))))
     out = found.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), pairs.alias("fence"))
-    small = settled(out, "fences")
-    everything = small.where("level = 0").select("rows").first()
-    enough = max(min_rows, (everything["rows"] if everything else 0) / max_strata)
-    return small.where((F.col("level") == 0) | (F.col("rows") >= enough)).select("level", "lang", "source", "fence")
+    return settled(out, "fences").where((F.col("level") == 0) | (F.col("rows") >= min_rows)).select("level", "lang", "source", "fence")
 
 
 def verdicts(stats: DataFrame, fence: DataFrame) -> DataFrame:
-    """``stats`` with ``base_failed`` and ``kept``; ``fence`` is small by its construction."""
+    """``stats`` with ``base_failed`` and ``kept``.
+
+    Fences are as many as large strata, so they go to the documents by sort-merge joins, in which a partition
+    that one stratum overfills is split; only the single row for everything is broadcast.
+    """
     own = fence.where("level = 2").select(F.col("lang").alias("l2"), F.col("source").alias("s2"), F.col("fence").alias("f2"))
     lang = fence.where("level = 1").select(F.col("lang").alias("l1"), F.col("fence").alias("f1"))
     top = fence.where("level = 0").select(F.lit(0).alias("l0"), F.col("fence").alias("f0"))
-    out = stats.join(F.broadcast(own), (stats["lang"] == F.col("l2")) & (stats["source"] == F.col("s2")), "left")
-    out = out.join(F.broadcast(lang), out["lang"] == F.col("l1"), "left")
-    out = out.withColumn("zero", F.lit(0)).join(F.broadcast(top), F.col("zero") == F.col("l0"), "left")
-    fence_of = F.coalesce("f2", "f1", "f0")
+    # one row per stratum: its own fences or those that stand in for them
+    strata = stats.select("lang", "source").distinct()
+    strata = strata.join(own.hint("merge"), (strata["lang"] == F.col("l2")) & (strata["source"] == F.col("s2")), "left")
+    strata = strata.join(lang.hint("merge"), strata["lang"] == F.col("l1"), "left")
+    strata = strata.withColumn("zero", F.lit(0)).join(F.broadcast(top), F.col("zero") == F.col("l0"), "left")
+    strata = settled(strata.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), F.coalesce("f2", "f1", "f0").alias("fence")), "strata")
+    out = stats.join(strata.hint("merge"), (stats["lang"] == F.col("of_lang")) & (stats["source"] == F.col("of_source")), "left")
+    fence_of = F.col("fence")
     inside = F.lit(True)
     for name, value in metrics().items():
         inside = inside & F.coalesce(value.between(fence_of[name]["low"], fence_of[name]["high"]), F.lit(True))
