@@ -13,8 +13,11 @@ tokens of it, and the queues' last, shorter quanta follow at its end.  Only the
 
 Weights default to the queues' own sizes, so that all end together and every window has the corpus's
 proportions to within a quantum; with other targets a queue that ends leaves the rest their mutual
-proportions.  A source with under ``1 / max_queues`` of the tokens cannot be steered within a window
-and shares one queue with all such sources, so there are at most ``max_queues + 1`` queues, whatever the input.
+proportions.  A source with under ``1 / max_queues`` of the tokens that no target names shares one queue with
+all such sources, so there are at most ``max_queues + 1`` queues and one for each target, whatever the input.
+
+A window's tokens of a source differ from its share by at most two quanta.  The quantum is the largest power of two
+that leaves the queue with the smallest share one quantum a window, and every window at least ``LEAST_QUANTA``.
 """
 
 from __future__ import annotations
@@ -86,6 +89,16 @@ def slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.Data
             yield batch.iloc[start : start + rows].reset_index(drop=True)
 
 
+#: Quanta of a window at least, however even the shares.
+LEAST_QUANTA = 64
+
+
+def quantum_for(window: int, shares: list[float]) -> int:
+    """Tokens of a quantum, for the shares of the queues that are steered."""
+    most = min(window * min(shares, default=1.0), window / LEAST_QUANTA)
+    return 1 << max(int(most).bit_length() - 1, 0)
+
+
 class Schedule:
     """Where the quanta of every queue go in the common stream."""
 
@@ -150,26 +163,31 @@ class Schedule:
         return start[heads], np.add.reduceat(b - a, heads), a[heads]
 
 
-def pack(docs: DataFrame, window: int = 1024, quantum: int = 128, targets: dict[str, float] | None = None, max_queues: int = 500, bucket_rows: int = 2_000, with_ids: bool = True, **columns: str) -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, quantum: int | None = None, targets: dict[str, float] | None = None, max_queues: int = 500, bucket_rows: int = 2_000, with_ids: bool = True, **columns: str) -> DataFrame:
     """One row per piece: ``doc_id, row_hash, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
 
     ``targets`` maps sources to weights (positive; sources not named get the weight of their size relative
     to all tokens).  Nulls and empty texts are a lone end id.  Null sources are one source.  Rows repeated in
-    full are packed each: their pieces differ in place.  An empty table has no piece.
+    full are packed each: their pieces differ in place.  An empty table has no piece.  ``quantum`` follows the
+    window and the shares (``quantum_for``) where it is not given.
     ``with_ids=False`` leaves the ids of the pieces null.
     """
-    if window < 1 or quantum < 1 or any(not w > 0 for w in (targets or {}).values()):
+    if window < 1 or (quantum is not None and quantum < 1) or any(not w > 0 for w in (targets or {}).values()):
         raise ValueError("window, quantum and weights must be positive")
     kind = docs.schema[columns.get("id_col", "doc_id")].dataType.simpleString()
     rows = settled(tokenised(docs, **columns), "tokens")
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # at most max_queues sources can hold more than 1 / max_queues of all tokens
+    # at most max_queues sources can hold more than 1 / max_queues of all tokens; a target has its own queue at any size
     sizes = rows.groupBy("source").agg(F.sum("n").alias("tokens"))
-    wide = {r["source"]: r["tokens"] for r in sizes.where(F.col("tokens") * max_queues > total).collect()}
+    wide = {r["source"]: r["tokens"] for r in sizes.where((F.col("tokens") * max_queues > total) | F.col("source").isin(list(targets or {}))).collect()}
     names = sorted(wide)
     rest = total - sum(wide.values())
     tokens = [wide[s] for s in names] + [rest]
     weights = None if targets is None else [targets.get(s, wide[s] / total) for s in names] + [max(rest, 1) / max(total, 1)]
+    if quantum is None:
+        # a queue that holds less than its weight asks for still has it in every window until it ends
+        steered = [w for w, n in zip(weights or tokens, tokens) if n]
+        quantum = quantum_for(window, [w / sum(steered) for w in steered[: len(steered) - (rest > 0)]])
     schedule = Schedule(tokens, weights, quantum)
     number = F.create_map(*[F.lit(x) for s, i in zip(names, range(len(names))) for x in (s, i)]) if names else F.create_map().cast("map<string,int>")
     buckets = max(1, -(-count // bucket_rows))
