@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, toxicity
+from tidemark.llm import (
+    byte_bpe, conversation_trie, exact_dedup, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_alignment, token_counts, toxicity,
+)
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +67,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_nodes(_read(spark, sf_dir, "conversations"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_counts(_read(spark, sf_dir, "documents"))
+
+
 _EXACT = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
 r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
@@ -112,14 +122,35 @@ SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_
 FROM s JOIN bad ON s.doc_id = bad.doc_id
 """
 
+_TRIE = r"""
+WITH t AS (SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, length(coalesce(text, ''))::BIGINT AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS digests, list(chars ORDER BY turn NULLS FIRST, digest) AS chars FROM t GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END), 4294967295) % 6 AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.digests, [])[1:h.h], h.digests[h.h + 1:]) AS digests, list_concat(coalesce(b.chars, [])[1:h.h], h.chars[h.h + 1:]) AS chars
+  FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+d AS (SELECT conv_id, digests, chars, unnest(range(0, len(digests) + 1)) AS depth FROM r),
+m AS (SELECT conv_id, depth, sha256(array_to_string(digests[1:depth], '')) AS key, CASE WHEN depth > 0 THEN sha256(array_to_string(digests[1:depth - 1], '')) END AS parent,
+  CASE WHEN depth > 0 THEN chars[depth] ELSE 0 END AS chars, depth = len(digests) AS is_end FROM d),
+n AS (SELECT key, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256 FROM m GROUP BY key),
+k AS (SELECT parent AS key, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.key = n.key),
+s AS (SELECT m.key, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((v.n_convs - 1) * v.chars)::BIGINT AS saved_tokens
+  FROM v JOIN m ON m.conv_id = v.conv_id AND m.depth <= v.depth GROUP BY m.key)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+FROM v JOIN s ON s.key = v.key LEFT JOIN v p ON p.key = v.parent
+"""
+
 
 def queries() -> dict[str, Run]:
     every = (
         op1_token_counts, op2_toxicity, op3_exact_dedup, op4_packing, op5_simhash_dedup, op6_line_dedup, op7_byte_bpe, op8_suffix_dedup,
-        op9_quality_classifier, op10_quality_rules,
+        op9_quality_classifier, op10_quality_rules, op12_conversation_trie, op13_token_alignment,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _EXACT, "op6_line_dedup": _LINES, "op10_quality_rules": _RULES}
+    return {"op3_exact_dedup": _EXACT, "op6_line_dedup": _LINES, "op10_quality_rules": _RULES, "op12_conversation_trie": _TRIE}
