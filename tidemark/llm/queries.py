@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    byte_bpe, conversation_trie, exact_dedup, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_alignment, token_counts, toxicity,
+    byte_bpe, conversation_trie, exact_dedup, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, token_alignment, token_counts, toxicity,
 )
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def pii_digests(found: DataFrame) -> DataFrame:
+    """Counts and hash of the base spans, and all spans as one string, from the arrays of spans."""
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(pii.personal_data(_read(spark, sf_dir, "documents")))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_nodes(_read(spark, sf_dir, "conversations"))
 
@@ -147,7 +158,7 @@ FROM v JOIN s ON s.key = v.key LEFT JOIN v p ON p.key = v.parent
 def queries() -> dict[str, Run]:
     every = (
         op1_token_counts, op2_toxicity, op3_exact_dedup, op4_packing, op5_simhash_dedup, op6_line_dedup, op7_byte_bpe, op8_suffix_dedup,
-        op9_quality_classifier, op10_quality_rules, op12_conversation_trie, op13_token_alignment,
+        op9_quality_classifier, op10_quality_rules, op11_pii, op12_conversation_trie, op13_token_alignment,
     )
     return {f.__name__: f for f in every}
 
