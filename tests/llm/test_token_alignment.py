@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
@@ -87,10 +88,16 @@ def test_gallop_and_links_on_random_ends():
     for _ in range(500):
         end = rng.randrange(1, 60)
         a, b = (sorted({*rng.sample(range(1, end + 1), rng.randrange(end)), end}) for _ in range(2))
-        assert ta.common_ends(a, b) == [(a.index(x), b.index(x)) for x in sorted(set(a) & set(b))]
+        x, y = np.array(a), np.array(b)
+        i, j = ta.common_ends(x, y, np.zeros(len(a), int), np.zeros(len(b), int))
+        assert list(zip(i.tolist(), j.tolist())) == [(a.index(e), b.index(e)) for e in sorted(set(a) & set(b))]
+        group = np.concatenate([[0], j + 1])[np.searchsorted(i, np.arange(len(a)))]
+        first, many = ta.overlaps(x, y, group)
         span = lambda e: list(zip([0, *e], e))
         want = [(i, j) for i, (s, t) in enumerate(span(a)) for j, (u, v) in enumerate(span(b)) if max(s, u) < min(t, v)]
-        assert sorted(ta.links_of(a, b, ta.groups_of(a, b))) == want
+        assert [(i, f + k) for i, (f, n) in enumerate(zip(first.tolist(), many.tolist())) for k in range(n)] == want
+        low, at = np.array([rng.randrange(len(b)) for _ in a]), np.array([rng.randrange(70) for _ in a])
+        assert ta.gallop(y, low, at).tolist() == [next((k for k in range(s, len(b)) if b[k] >= e), len(b)) for s, e in zip(low, at)]
 
 
 def test_empty_table_and_clashing_names(spark, empty):

@@ -20,9 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
-from itertools import accumulate, chain
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,47 +35,50 @@ _TWO_BLANKS = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def gallop(ends: Sequence[int], low: int, x: int) -> int:
-    """The first index from ``low`` on whose end is at least ``x``: doubling steps, then a binary search in the last one."""
-    step, high, n = 1, low, len(ends)
-    while high < n and ends[high] < x:
-        low, high = high + 1, high + step
+def gallop(ends: np.ndarray, low: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For every ``x[i]`` the first index from ``low[i]`` on whose end is at least ``x[i]``, all at once: doubling steps, then a binary search in the last one."""
+    n = len(ends)
+    low, high, step = low.copy(), low.copy(), 1
+    going = np.flatnonzero(high < n)
+    going = going[ends[high[going]] < x[going]]
+    while len(going):
+        low[going] = high[going] + 1
+        high[going] += step
         step *= 2
-    return bisect_left(ends, x, low, min(high, n))
+        going = going[high[going] < n]
+        going = going[ends[high[going]] < x[going]]
+    high = np.minimum(high, n)
+    going = np.flatnonzero(low < high)
+    while len(going):
+        middle = (low[going] + high[going]) // 2
+        less = ends[middle] < x[going]
+        low[going[less]] = middle[less] + 1
+        high[going[~less]] = middle[~less]
+        going = going[low[going] < high[going]]
+    return low
+
+
+def common_ends(a: np.ndarray, b: np.ndarray, a_first: np.ndarray, b_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of equal ends on both sides; the shorter list drives the search in the longer.
+
+    ``a_first`` and ``b_first`` give, for each token, the first token of the stretch it belongs to on the own side;
+    stretches are numbered alike on both sides and the search begins at the stretch.
+    """
+    if len(a) > len(b):
+        j, i = common_ends(b, a, b_first, a_first)
+        return i, j
+    own, other = np.unique(a_first), np.unique(b_first)
+    at = gallop(b, other[np.searchsorted(own, a_first)], a)
+    same = np.flatnonzero(at < len(b))
+    same = same[b[at[same]] == a[same]]
+    return same, at[same]
 
 
-def common_ends(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """Index pairs ``(i, j)`` with ``a[i] == b[j]``; the shorter list drives the search in the longer."""
-    if len(a) > len(b):
-        return [(i, j) for j, i in common_ends(b, a)]
-    found, j = [], 0
-    for i, x in enumerate(a):
-        j = gallop(b, j, x)
-        if j == len(b):
-            break
-        if b[j] == x:
-            found.append((i, j))
-    return found
-
-
-def groups_of(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int, int, int]]:
-    """Half-open ranges ``(i0, i1, j0, j1)`` of the tokens between common ends."""
-    cuts = [(i + 1, j + 1) for i, j in common_ends(a, b)]
-    return [(i0, i1, j0, j1) for (i0, j0), (i1, j1) in zip([(0, 0)] + cuts, cuts)]
-
-
-def links_of(a: Sequence[int], b: Sequence[int], groups: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Index pairs of tokens whose byte ranges overlap."""
-    found = []
-    for i0, i1, j0, j1 in groups:
-        if i1 - i0 == 1 or j1 - j0 == 1:
-            found += [(i, j) for i in range(i0, i1) for j in range(j0, j1)]
-            continue
-        low = j0
-        for i in range(i0, i1):
-            low = gallop(b, low, (a[i - 1] if i else 0) + 1)
-            found += [(i, j) for j in range(low, gallop(b, low, a[i]) + 1)]
-    return found
+def overlaps(a: np.ndarray, b: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of A the first token of B that it overlaps and their number, from ranks; ``group_b`` is the first token of B in its group."""
+    starts = np.concatenate([[0], a[:-1]]) if len(a) else a
+    first = gallop(b, group_b, starts + 1)
+    return first, gallop(b, first, a) - first + 1
 
 
 def units(text: str) -> list[str]:
@@ -87,6 +89,10 @@ def units(text: str) -> list[str]:
     return [head[1:], *rest]
 
 
+#: Token counts of A and B, number of groups, the groups as text, id pairs of all links.
+Unit = tuple[int, int, int, str, np.ndarray]
+
+
 class Pair:
     """Both tokenizers with the bytes of their tokens; ``b_size`` is B's vocabulary size."""
 
@@ -110,30 +116,57 @@ class Pair:
         self.b_size = self.b.vocab_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.b_size)]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, side)), dtype=np.int64) for side in (self.a_bytes, self.b_bytes))
+        numbers = [str(i) for i in range(max(len(self.a_bytes), self.b_size))]
+        self.written = np.array([[n + sign for n in numbers] for sign in (",", "|", ";", "\n")], dtype=object)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts)
 
     def aligned(self, texts: list[str]) -> list[Unit | None]:
-        """One record per text; ``None`` where the bytes are not those of space + text."""
-        return [self._unit((" " + t).encode(), a, b) for t, a, b in zip(texts, *self.encode(texts))]
-
-    def _unit(self, data: bytes, a: list[int], b: list[int]) -> Unit | None:
-        left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(left) != data or b"".join(right) != data:
-            return None
-        a_ends, b_ends = list(accumulate(map(len, left))), list(accumulate(map(len, right)))
-        groups = groups_of(a_ends, b_ends)
-        said = ";".join(",".join(map(str, a[i0:i1])) + "|" + ",".join(map(str, b[j0:j1])) for i0, i1, j0, j1 in groups)
-        links = [a[i] * self.b_size + b[j] for i, j in links_of(a_ends, b_ends, groups)]
-        return Unit(len(a), len(b), len(groups), said, links)
-
-
-class Unit:
-    __slots__ = ("n_a", "n_b", "n_groups", "said", "links")
-
-    def __init__(self, n_a: int, n_b: int, n_groups: int, said: str, links: list[int]) -> None:
-        self.n_a, self.n_b, self.n_groups, self.said, self.links = n_a, n_b, n_groups, said, np.array(links, dtype=np.int64)
+        """One record per text; ``None`` where the bytes are not those of space + text.
+
+        The tokens of all texts are laid end to end and aligned at once.
+        """
+        a, b = self.encode(texts)
+        data = [(" " + t).encode() for t in texts]
+        good = _spelt(data, a, self.a_bytes) & _spelt(data, b, self.b_bytes)
+        if not good.all():
+            a, b = ([ids for ids, ok in zip(side, good) if ok] for side in (a, b))
+        done = iter(self._units(a, b))
+        return [next(done) if ok else None for ok in good]
+
+    def _units(self, a: list[list[int]], b: list[list[int]]) -> Iterator[Unit]:
+        if not a:
+            return
+        n_a, n_b = (np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(side), np.int64, n.sum()) for side, n in ((a, n_a), (b, n_b)))
+        ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
+        stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
+        i, j = common_ends(ends_a, ends_b, np.repeat(stop_a - n_a, n_a), np.repeat(stop_b - n_b, n_b))
+        # group g holds the tokens from cut g on; every text ends with a cut
+        cut_a, cut_b = np.concatenate([[0], i + 1]), np.concatenate([[0], j + 1])
+        group_a, group_b = np.repeat(np.arange(len(i)), np.diff(cut_a)), np.repeat(np.arange(len(j)), np.diff(cut_b))
+        first, many = overlaps(ends_a, ends_b, cut_b[group_a])
+        left = np.repeat(ids_a, many)
+        links = left * self.b_size + ids_b[np.arange(len(left)) + np.repeat(first - (np.cumsum(many) - many), many)]
+        # per group A's ids, then B's; the sign after an id says what follows
+        sign_a, sign_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        sign_a[i], sign_b[j], sign_b[stop_b - 1] = 1, 2, 3
+        said = np.empty(len(ids_a) + len(ids_b), dtype=object)
+        said[np.arange(len(ids_a)) + cut_b[group_a]] = self.written[sign_a, ids_a]
+        said[np.arange(len(ids_b)) + cut_a[group_b + 1]] = self.written[sign_b, ids_b]
+        lines = "".join(said.tolist()).split("\n")
+        ends = np.cumsum(many)[stop_a - 1].tolist()
+        groups = np.diff(np.concatenate([[0], np.searchsorted(i, stop_a - 1, side="right")])).tolist()
+        for x, y, g, line, low, high in zip(n_a.tolist(), n_b.tolist(), groups, lines, [0, *ends], ends):
+            yield x, y, g, line, links[low:high]
+
+
+def _spelt(data: list[bytes], ids: list[list[int]], table: list[bytes]) -> np.ndarray:
+    """Whether the tokens of each text join to its bytes; one comparison where all do."""
+    parts = [b"".join(map(table.__getitem__, x)) for x in ids]
+    return np.ones(len(data), bool) if parts == data else np.fromiter((x == y for x, y in zip(parts, data)), bool, len(data))
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -173,24 +206,25 @@ class Aligner:
         wanted = list(dict.fromkeys(chain.from_iterable(cut)))
         number = {u: i for i, u in enumerate(wanted)}
         records = self.records(wanted)
-        sizes = np.array([(r.n_a, r.n_b, r.n_groups, len(r.links)) if r else (0, 0, 0, 0) for r in records], dtype=np.int64).reshape(-1, 4)
-        said = [r.said if r else "" for r in records]
+        none = np.zeros(0, np.int64)
         bad = np.array([r is None for r in records], dtype=bool)
-        flat = np.concatenate([r.links for r in records if r] or [np.zeros(0, np.int64)])
+        records = [r or (0, 0, 0, "", none) for r in records]
+        n_a, n_b, n_groups, said, links = zip(*records) if records else ((),) * 5
+        sizes = np.array([n_a, n_b, n_groups, list(map(len, links))], dtype=np.int64).reshape(4, -1).T
+        flat = np.concatenate([*links, none])
         first = np.cumsum(sizes[:, 3]) - sizes[:, 3]
-        none = np.zeros(0, np.int64)
         for pieces in cut:
             codes = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
             if not pieces or bad[codes].any():
                 yield 0, 0, 0, 0, "", none, none
                 continue
-            n_a, n_b, n_groups, n_links = sizes[codes].sum(axis=0).tolist()
+            totals = sizes[codes].sum(axis=0).tolist()
             kinds, times = np.unique(codes, return_counts=True)
             lengths = sizes[kinds, 3]
             at = np.arange(lengths.sum()) + np.repeat(first[kinds] - (np.cumsum(lengths) - lengths), lengths)
             pairs, where = np.unique(flat[at], return_inverse=True)
             weights = np.bincount(where, weights=np.repeat(times, lengths), minlength=len(pairs)).astype(np.int64)
-            yield n_a, n_b, n_groups, n_links, ";".join(map(said.__getitem__, codes.tolist())), pairs, weights
+            yield *totals, ";".join(map(said.__getitem__, codes.tolist())), pairs, weights
 
 
 _COUNTS = "n_a long, n_b long, n_groups long, n_links long"
