@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import sequential_filters as sf
 from helpers import OBS, observations, ts
 from tidemark.functions import calendar as cal, scoring as sc
-from tidemark.operators import forecast as fc
+from tidemark.operators import filters, forecast as fc
 from tidemark.plans import backtest as bt
 
 
@@ -92,19 +93,19 @@ def test_random_walk_matches_refit_on_filled_history(spark, walk):
 
 def test_smoothing_states_are_prefix_fits():
     y = np.random.default_rng(2).normal(10, 2, 60)
-    whole = fc.simple_smoothing_states(y, fc.ALPHAS)
+    whole = sf.simple_smoothing_states(y, filters.ALPHAS)
     for n in (5, 30, 60):
-        part = fc.simple_smoothing_states(y[:n], fc.ALPHAS)
+        part = sf.simple_smoothing_states(y[:n], filters.ALPHAS)
         assert np.allclose(part.to_numpy(), whole.iloc[:n].to_numpy())
     for n in (25, 50):
-        a, b = fc.seasonal_smoothing_states(y[:n], 5, fc.SEASONAL_GRID), fc.seasonal_smoothing_states(y, 5, fc.SEASONAL_GRID)
+        a, b = sf.seasonal_smoothing_states(y[:n], 5, filters.SEASONAL_GRID), sf.seasonal_smoothing_states(y, 5, filters.SEASONAL_GRID)
         assert np.allclose(a["level"], b["level"][:n]) and np.allclose(a["sd"], b["sd"][:n])
-        assert np.allclose(fc.local_level_states(y[:n], fc.RATIOS)["level"], fc.local_level_states(y, fc.RATIOS)["level"][:n])
+        assert np.allclose(sf.local_level_states(y[:n], filters.RATIOS)["level"], sf.local_level_states(y, filters.RATIOS)["level"][:n])
 
 
 def test_smoothing_follows_a_season():
     y = np.tile([1.0, 2.0, 3.0, 4.0, 5.0], 30)
-    st = fc.seasonal_smoothing_states(y, 5, fc.SEASONAL_GRID).iloc[-1]
+    st = sf.seasonal_smoothing_states(y, 5, filters.SEASONAL_GRID).iloc[-1]
     ahead = [st.level + (h + 1) * st.trend + st.season[h] for h in range(5)]
     assert np.allclose(ahead, [1, 2, 3, 4, 5], atol=0.3)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions import calendar as cal, scoring as sc
 from tidemark.functions.text import first_json_object
-from tidemark.operators import asof
+from tidemark.operators import asof, filters
 from tidemark.operators.features import fill_gaps
 from tidemark.operators.ordered import exact_percentiles, lags, row_index, trailing as trailing_rows
 from tidemark.session import settled
@@ -190,106 +190,12 @@ def category_frequency(
     return _predictions(horizons_of(df), name, probs=probs)
 
 
-# --- recursive filters: one pass per series gives the state at every date -----------
-
-
-def _pick_best(sse: np.ndarray) -> np.ndarray:
-    return np.argmin(sse, axis=1)
-
-
-def simple_smoothing_states(y: np.ndarray, alphas: np.ndarray) -> pd.DataFrame:
-    """Level, deviation and chosen alpha after each value; alpha minimises the squared errors so far."""
-    levels, errors = np.empty((len(y), len(alphas))), np.zeros((len(y), len(alphas)))
-    level = np.full(len(alphas), y[0])
-    levels[0] = level
-    for t in range(1, len(y)):
-        e = y[t] - level
-        level = level + alphas * e
-        levels[t], errors[t] = level, e * e
-    sse = errors.cumsum(axis=0)
-    best, rows = _pick_best(sse), np.arange(len(y))
-    dof = np.maximum(rows - 1, 1)
-    return pd.DataFrame({"level": levels[rows, best], "sd": np.sqrt(sse[rows, best] / dof), "gain": alphas[best]})
-
-
-def local_level_states(y: np.ndarray, ratios: np.ndarray) -> pd.DataFrame:
-    """1-d Kalman filter for each signal-to-noise ratio; the likeliest so far is reported at each date."""
-    n, k = len(y), len(ratios)
-    mean, var = np.full(k, y[0]), np.ones(k)
-    means, variances = np.empty((n, k)), np.empty((n, k))
-    quad, logdet = np.zeros((n, k)), np.zeros((n, k))
-    means[0], variances[0] = mean, var
-    for t in range(1, n):
-        prior = var + ratios
-        f = prior + 1.0
-        v = y[t] - mean
-        gain = prior / f
-        mean, var = mean + gain * v, prior * (1 - gain)
-        means[t], variances[t], quad[t], logdet[t] = mean, var, v * v / f, np.log(f)
-    steps = np.maximum(np.arange(n), 1)[:, None]
-    scale = np.maximum(quad.cumsum(axis=0) / steps, 1e-300)
-    best = np.argmin(steps * np.log(scale) + logdet.cumsum(axis=0), axis=1)
-    rows = np.arange(n)
-    noise = scale[rows, best]
-    return pd.DataFrame(
-        {"level": means[rows, best], "sd": np.sqrt(noise * (1.0 + variances[rows, best])), "gain": ratios[best], "noise": noise}
-    )
-
-
-def seasonal_smoothing_states(y: np.ndarray, period: int, grid: np.ndarray) -> pd.DataFrame:
-    """Additive trend and season, vectorised over a grid of (alpha, beta, gamma)."""
-    n, k = len(y), len(grid)
-    a, b, g = grid[:, 0], grid[:, 1], grid[:, 2]
-    lead = y[: min(period, n)]
-    level, trend = np.full(k, lead.mean()), np.zeros(k)
-    season = np.zeros((k, period))
-    season[:, : len(lead)] = lead - lead.mean()
-    keep = {name: np.empty((n, k)) for name in ("level", "trend", "sse")}
-    seasons, total = np.empty((n, k, period)), np.zeros(k)
-    for t in range(n):
-        s = season[:, t % period].copy()
-        base = level + trend
-        e = y[t] - base - s
-        if t >= period:
-            total = total + e * e
-        new_level = base + a * e
-        trend = trend + a * b * e
-        season[:, t % period] = s + g * e
-        level = new_level
-        keep["level"][t], keep["trend"][t], keep["sse"][t], seasons[t] = level, trend, total, season
-    best, rows = _pick_best(keep["sse"]), np.arange(n)
-    ahead = [np.roll(seasons[t, best[t]], -((t + 1) % period)) for t in rows]
-    return pd.DataFrame(
-        {
-            "level": keep["level"][rows, best], "trend": keep["trend"][rows, best], "season": [s.tolist() for s in ahead],
-            "sd": np.sqrt(keep["sse"][rows, best] / np.maximum(rows - period, 1)),
-            "a": a[best], "b": b[best], "g": g[best],
-        }
-    )
-
+# --- recursive filters: the state at every date serves every origin ------------------
 
-ALPHAS = np.linspace(0.05, 0.95, 19)
-RATIOS = np.logspace(-3, 2, 21)
-SEASONAL_GRID = np.array([(a, b, g) for a in (0.1, 0.3, 0.6, 0.9) for b in (0.0, 0.05, 0.2) for g in (0.05, 0.2, 0.5)])
 
-
-def _states(observations: DataFrame, frequency: str, fit, schema: str) -> DataFrame:
-    """Run a filter along every series on its filled calendar grid.
-
-    The grid has one row per calendar step, so a group is bounded by the series' time
-    span however many raw rows feed it.
-    """
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def along(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("timestamp")
-        out = fit(pdf["value"].to_numpy(dtype=float))
-        out.insert(0, "at", pdf["timestamp"].to_numpy())
-        out.insert(0, "series_id", pdf["series_id"].to_numpy())
-        return out[["series_id", "at", *names]]
-
-    grid = fill_gaps(observations, frequency)
-    states = grid.groupBy("series_id").applyInPandas(along, f"series_id string, at timestamp_ntz, {schema}")
+def _states(observations: DataFrame, frequency: str, smoother: filters.Filter) -> DataFrame:
+    """A filter's state at every observed step of the filled calendar grid."""
+    states = filters.states_along(fill_gaps(observations, frequency), smoother)
     # Interpolated steps know the value after the gap, so only steps with a value of their own are read.
     return states.join(observations.select("series_id", F.col("timestamp").alias("at")), ["series_id", "at"], "left_semi")
 
@@ -308,12 +214,10 @@ def exponential_smoothing(ctx: DataFrame, observations: DataFrame, frequency: st
     """Simple smoothing, or additive trend and season when ``period`` is given."""
     h = F.col("horizon").cast("double")
     if period is None:
-        states = _states(observations, frequency, lambda y: simple_smoothing_states(y, ALPHAS), "level double, sd double, gain double")
-        df = _with_state(ctx, states)
+        df = _with_state(ctx, _states(observations, frequency, filters.SimpleSmoothing()))
         sd = F.col("sd") * F.sqrt(F.lit(1.0) + (h - 1) * F.col("gain") * F.col("gain"))
         return _predictions(df, "exponential_smoothing", point=F.col("level"), quantiles=sc.gaussian_quantiles(F.col("level"), sd))
-    schema = "level double, trend double, season array<double>, sd double, a double, b double, g double"
-    df = _with_state(ctx, _states(observations, frequency, lambda y: seasonal_smoothing_states(y, period, SEASONAL_GRID), schema))
+    df = _with_state(ctx, _states(observations, frequency, filters.SeasonalSmoothing(period)))
     step = (F.col("horizon") - 1) % period
     mean = F.col("level") + h * F.col("trend") + F.element_at("season", step + 1)
 
@@ -328,10 +232,7 @@ def exponential_smoothing(ctx: DataFrame, observations: DataFrame, frequency: st
 
 @cut_first
 def kalman_local_level(ctx: DataFrame, observations: DataFrame, frequency: str) -> DataFrame:
-    states = _states(
-        observations, frequency, lambda y: local_level_states(y, RATIOS), "level double, sd double, gain double, noise double"
-    )
-    df = _with_state(ctx, states)
+    df = _with_state(ctx, _states(observations, frequency, filters.LocalLevel()))
     extra = (F.col("horizon") - 1).cast("double") * F.col("gain") * F.col("noise")
     sd = F.sqrt(F.col("sd") * F.col("sd") + F.col("gain") * F.col("noise") + extra)
     return _predictions(df, "kalman_local_level", point=F.col("level"), quantiles=sc.gaussian_quantiles(F.col("level"), sd))

@@ -180,15 +180,7 @@ def business_daily_fill(spark: SparkSession, sf: str) -> DataFrame:
     return ft.business_daily_fill(prices(spark, sf))
 
 
-@query("W14 C4", sql("obs", """
-SELECT series_id, timestamp, round(value, 9) AS value FROM (
-  SELECT series_id, timestamp, CASE WHEN v IS NOT NULL THEN v ELSE lo + (hi - lo) * (i - loi) / (hii - loi) END AS value FROM (
-    SELECT *, last_value(v IGNORE NULLS) OVER b AS lo, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS loi,
-           first_value(v IGNORE NULLS) OVER f AS hi, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER f AS hii
-    FROM (SELECT g.series_id, g.d AS timestamp, o.value AS v, row_number() OVER (PARTITION BY g.series_id ORDER BY g.d) AS i
-          FROM (SELECT series_id, d FROM (SELECT series_id, min(timestamp) AS a, max(timestamp) AS b FROM obs GROUP BY 1), unnest(generate_series(a, b, INTERVAL 1 DAY)) t(d)) g
-          LEFT JOIN obs o ON o.series_id = g.series_id AND o.timestamp = g.d)
-    WINDOW b AS (PARTITION BY series_id ORDER BY i ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))"""))
+@query("W14 C4", sql("filled", "SELECT series_id, timestamp, round(value, 9) AS value FROM filled"))
 def interpolated_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Full daily grid with gaps on the line between neighbours."""
     return rounded(ft.fill_gaps(observations(spark, sf), "D"), 9, "value")

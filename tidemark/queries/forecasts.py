@@ -341,19 +341,67 @@ def trailing_category_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("series_id", "as_of", F.round(F.col("probs")["down"], 8).alias("p_down"), F.round(F.col("probs")["up"], 8).alias("p_up"))
 
 
-@query("M5 C4 W20")
+# A filter in SQL walks the filled grid step by step for every parameter set; ``best`` is the set with the least errors so far.
+_STEPS = ", steps AS MATERIALIZED (SELECT series_id, timestamp, i, value, own FROM filled)"
+
+_FILTERED = """
+, ahead AS (SELECT c.spec_id, c.task_id, c.series_id, c.as_of, horizon, {mean} AS mean, {sd} AS sd
+  FROM context c JOIN best s ON s.series_id = c.series_id AND s.timestamp = c.last_at, (SELECT unnest([5, 10, 21]) AS horizon)),
+judged AS (SELECT a.*, o.value AS actual, list_transform(""" + Z_LIST + """, lambda z: mean + z * sd) AS q
+  FROM ahead a JOIN obs o ON o.series_id = a.series_id AND o.timestamp = a.as_of + to_days(horizon))
+SELECT '{name}' AS predictor_id, task_id, horizon, count(*) AS n, round(avg(list_sum(list_transform(q, lambda x: abs(x - actual))) / 11
+  - list_sum(list_transform(q, lambda x, i: (2.0 * i - 1 - 11) * x)) / 121), 4) AS mean_crps, round(avg(mean), 4) AS mean_point FROM judged GROUP BY ALL"""
+
+_SIMPLE = _STEPS + """
+, walk(series_id, i, a, level, sse) AS (
+  SELECT series_id, i, a, value, 0.0::DOUBLE FROM steps, (SELECT 0.05::DOUBLE * unnest(range(1, 20)) AS a) WHERE i = 1
+  UNION ALL SELECT w.series_id, s.i, w.a, w.level + w.a * (s.value - w.level), w.sse + (s.value - w.level) ** 2
+  FROM walk w JOIN steps s ON s.series_id = w.series_id AND s.i = w.i + 1),
+best AS (SELECT s.series_id, s.timestamp, w.level, w.a, sqrt(w.sse / greatest(w.i - 2, 1)) AS sd
+  FROM (SELECT *, min(sse) OVER (PARTITION BY series_id, i) AS least FROM walk) w JOIN steps s ON s.series_id = w.series_id AND s.i = w.i AND s.own
+  WHERE w.sse <= least * (1 + 1e-9) QUALIFY row_number() OVER (PARTITION BY w.series_id, w.i ORDER BY w.a) = 1)"""
+
+_SEASONAL = _STEPS + """
+, lead AS (SELECT series_id, avg(value) AS level, list(value ORDER BY i) AS ys FROM steps WHERE i <= 7 GROUP BY 1),
+walk(series_id, i, a, b, g, level, trend, season, sse) AS (
+  SELECT series_id, 0::BIGINT, a, b, g, level, 0.0::DOUBLE, list_transform(ys, lambda y: y - level), 0.0::DOUBLE
+  FROM lead, (SELECT unnest([0.1, 0.3, 0.6, 0.9])::DOUBLE AS a), (SELECT unnest([0.0, 0.05, 0.2])::DOUBLE AS b), (SELECT unnest([0.05, 0.2, 0.5])::DOUBLE AS g)
+  UNION ALL SELECT series_id, i, a, b, g, level + trend + a * e, trend + a * b * e, list_append(season[2:], season[1] + g * e), sse + CASE WHEN i > 7 THEN e * e ELSE 0 END
+  FROM (SELECT w.series_id, s.i, w.a, w.b, w.g, w.level, w.trend, w.season, w.sse, s.value - w.level - w.trend - w.season[1] AS e
+        FROM walk w JOIN steps s ON s.series_id = w.series_id AND s.i = w.i + 1)),
+best AS (SELECT s.series_id, s.timestamp, w.level, w.trend, w.season, w.a, w.b, w.g, sqrt(w.sse / greatest(w.i - 8, 1)) AS sd
+  FROM (SELECT *, min(sse) OVER (PARTITION BY series_id, i) AS least FROM walk) w JOIN steps s ON s.series_id = w.series_id AND s.i = w.i AND s.own
+  WHERE w.sse <= least * (1 + 1e-9) QUALIFY row_number() OVER (PARTITION BY w.series_id, w.i ORDER BY w.a, w.b, w.g) = 1)"""
+
+_KALMAN = _STEPS + """
+, walk(series_id, i, r, mean, var, quad, logs) AS (
+  SELECT series_id, i, r, value, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM steps, (SELECT 10.0::DOUBLE ** (-3 + 0.25 * unnest(range(0, 21))) AS r) WHERE i = 1
+  UNION ALL SELECT w.series_id, s.i, w.r, w.mean + (w.var + w.r) / (w.var + w.r + 1) * (s.value - w.mean), (w.var + w.r) / (w.var + w.r + 1),
+    w.quad + (s.value - w.mean) ** 2 / (w.var + w.r + 1), w.logs + ln(w.var + w.r + 1)
+  FROM walk w JOIN steps s ON s.series_id = w.series_id AND s.i = w.i + 1),
+likely AS (SELECT *, min(misfit) OVER (PARTITION BY series_id, i) AS least
+  FROM (SELECT *, greatest(quad / greatest(i - 1, 1), 1e-300) AS noise, greatest(i - 1, 1) * ln(greatest(quad / greatest(i - 1, 1), 1e-300)) + logs AS misfit FROM walk)),
+best AS (SELECT s.series_id, s.timestamp, w.mean AS level, w.r, w.var, w.noise FROM likely w JOIN steps s ON s.series_id = w.series_id AND s.i = w.i AND s.own
+  WHERE w.misfit <= w.least + 1e-9 QUALIFY row_number() OVER (PARTITION BY w.series_id, w.i ORDER BY w.r) = 1)"""
+
+
+@query("M5 C4 W20", sql("context filled", _SIMPLE + _FILTERED.format(name="exponential_smoothing", mean="s.level", sd="s.sd * sqrt(1 + (horizon - 1) * s.a * s.a)"), recursive=True))
 def exponential_smoothing(spark: SparkSession, sf: str) -> DataFrame:
     """Simple smoothing: one filter pass per series serves every origin."""
     return _levels(spark, sf, lambda c, o: fc.exponential_smoothing(c, o, "D"))
 
 
-@query("M5 W20")
+@query("M5 W20", sql("context filled", _SEASONAL + _FILTERED.format(
+    name="seasonal_smoothing", mean="s.level + horizon * s.trend + s.season[(horizon - 1) % 7 + 1]",
+    sd="s.sd * sqrt(1 + coalesce(list_sum(list_transform(range(1, horizon), lambda j: (s.a * (1 + j * s.b) + CASE WHEN j % 7 = 0 THEN s.g ELSE 0 END) ** 2)), 0))",
+), recursive=True))
 def seasonal_smoothing(spark: SparkSession, sf: str) -> DataFrame:
     """Additive trend and a seven-day season."""
     return _levels(spark, sf, lambda c, o: fc.exponential_smoothing(c, o, "D", 7))
 
 
-@query("M6 W20")
+@query("M6 W20", sql("context filled", _KALMAN + _FILTERED.format(
+    name="kalman_local_level", mean="s.level", sd="sqrt(s.noise * (1 + s.var) + s.r * s.noise + (horizon - 1) * s.r * s.noise)"), recursive=True))
 def kalman_local_level(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf, lambda c, o: fc.kalman_local_level(c, o, "D"))
 

@@ -19,7 +19,7 @@ def cte(name: str, needs: str, body: str) -> None:
     CTE[name] = (tuple(needs.split()), body)
 
 
-def sql(needs: str, body: str) -> str:
+def sql(needs: str, body: str, *, recursive: bool = False) -> str:
     """``WITH`` the named blocks (and what they need, once each) in front of ``body``."""
     done: list[str] = []
 
@@ -32,7 +32,7 @@ def sql(needs: str, body: str) -> str:
 
     for n in needs.split():
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in done) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in done) + "\n" + body
 
 
 def bday(expr: str, n: int) -> str:
@@ -72,6 +72,17 @@ cte("obs", "", """
   FROM orders GROUP BY 1, 2""")
 
 
+# the full daily grid of the observations, gaps on the line between neighbours
+cte("filled", "obs", """
+  SELECT series_id, timestamp, i, CASE WHEN v IS NOT NULL THEN v ELSE lo + (hi - lo) * (i - loi) / (hii - loi) END AS value, v IS NOT NULL AS own FROM (
+    SELECT *, last_value(v IGNORE NULLS) OVER b AS lo, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS loi,
+           first_value(v IGNORE NULLS) OVER f AS hi, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER f AS hii
+    FROM (SELECT g.series_id, g.d AS timestamp, o.value AS v, row_number() OVER (PARTITION BY g.series_id ORDER BY g.d) AS i
+          FROM (SELECT series_id, d FROM (SELECT series_id, min(timestamp) AS a, max(timestamp) AS b FROM obs GROUP BY 1), unnest(generate_series(a, b, INTERVAL 1 DAY)) t(d)) g
+          LEFT JOIN obs o ON o.series_id = g.series_id AND o.timestamp = g.d)
+    WINDOW b AS (PARTITION BY series_id ORDER BY i ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""")
+
+
 def monthly(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly order value per priority, stamped at the month start and published at month end plus ten business days."""
     m = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), cal.month_start("o_orderdate").alias("timestamp")).agg(
