@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sequential_filters as sf
+from sequential_fits import _softmax, softmax_fit
 from helpers import OBS, observations, ts
 from tidemark.functions import calendar as cal, scoring as sc
 from tidemark.operators import filters, forecast as fc
@@ -173,9 +174,9 @@ def test_softmax_fit_reaches_the_optimum():
     x = rng.normal(size=(80, 2))
     for k in (2, 3):
         y = np.clip((x[:, 0] + rng.normal(0, 0.7, 80) > 0).astype(int) + (k == 3) * (x[:, 1] > 0.5), 0, k - 1)
-        w = fc.softmax_fit(x, y, k)
+        w = softmax_fit(x, y, k)
         z = np.column_stack([np.ones(80), x])
-        p = fc._softmax(z @ w.T)
+        p = _softmax(z @ w.T)
         target = (y[:, None] == (np.array([1]) if k == 2 else np.arange(k))).astype(float)
         grad = (p - target).T @ z + np.column_stack([np.zeros(len(w)), w[:, 1:]])
         assert np.abs(grad).max() < 1e-6
@@ -198,6 +199,53 @@ def test_classifier_falls_back_and_ignores_the_future(spark):
     assert changed[cut].class_probs == pytest.approx(base[cut].class_probs)
 
 
+@pytest.mark.parametrize(("block", "kinds"), [(5, 3), (256, 2)])
+def test_batched_rounds_reach_the_fit_of_each_origin(spark, block, kinds):
+    """As one fit per origin on its own examples, in blocks of any size, with absent classes, missing values and ties of release."""
+    rng = np.random.default_rng(kinds)
+    days = pd.date_range("2000-01-01", periods=90, freq="10D")
+    frames = []
+    for s in ("a", "b"):
+        x = rng.normal(5_000 if s == "b" else 0, 1, (90, 2))
+        y = np.clip(np.round((x[:, 0] - x[:, 0].mean()) + rng.normal(0, 0.7, 90)), 0, kinds - 1)
+        y[:30] = np.minimum(y[:30], 1)  # the third class comes late
+        frames.append(pd.DataFrame({"series_id": s, "as_of": days, "known_at": (days + pd.Timedelta(days=15)).floor("20D"), "f": x[:, 0], "g": x[:, 1], "outcome": y}))
+    df = pd.concat(frames)
+    df.loc[df.index == 7, "g"] = np.nan
+    schema = "series_id string, as_of timestamp_ntz, known_at timestamp_ntz, f double, g double, outcome double"
+    rows = [(r[0], r[1].to_pydatetime(), r[2].to_pydatetime(), *(None if np.isnan(v) else v for v in r[3:])) for r in df.itertuples(index=False)]
+    data = spark.createDataFrame(rows, schema).repartition(3)
+    got = {(r.series_id, r.as_of): r for r in fc.fit_at_origins(data.select("series_id", "as_of", "f", "g"), data, ["f", "g"], [float(i) for i in range(kinds)], block=block).collect()}
+    assert len(got) == len(df)
+    n_logistic = 0
+    for o in df.itertuples():
+        done = df[(df["series_id"] == o.series_id) & (df["known_at"] <= o.as_of)].dropna()
+        r = got[o.series_id, o.as_of.to_pydatetime()]
+        assert r.n_train == len(done)
+        y = done["outcome"].to_numpy()
+        present = np.unique(y)
+        if len(done) < 16 or len(present) < 2 or np.isnan(o.g):
+            assert r.model == "frequency_fallback" and r.converged is None
+            continue
+        n_logistic += 1
+        x = done[["f", "g"]].to_numpy()
+        mean, sd = x.mean(axis=0), x.std(axis=0)
+        w = softmax_fit((x - mean) / sd, np.searchsorted(present, y), len(present))
+        p = _softmax(np.r_[1.0, (np.array([o.f, o.g]) - mean) / sd][None, :] @ w.T)[0]
+        want = np.zeros(kinds)
+        want[present.astype(int)] = [1 - p[0], p[0]] if len(present) == 2 else p
+        assert r.converged and np.allclose(r.class_probs, want, atol=1e-7)
+    assert n_logistic > 100
+
+
+def test_rounds_that_are_not_enough_are_told(spark):
+    days = pd.date_range("2000-01-01", periods=40, freq="30D")
+    rows = [("s", d.to_pydatetime(), d.to_pydatetime(), float(i % 7), float(i % 3 == 0)) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "series_id string, as_of timestamp_ntz, known_at timestamp_ntz, f double, outcome double")
+    got = fc.fit_at_origins(df.select("series_id", "as_of", "f"), df, ["f"], [0.0, 1.0], rounds=2).collect()
+    assert {r.converged for r in got if r.model == "logistic"} == {False}
+
+
 def test_macro_features_known_and_leak_safe(spark):
     origin = ts("2024-01-15")
     daily = lambda v, s: [(s, d.strftime("%Y-%m-%d"), v, None) for d in pd.date_range("2021-01-01", "2024-03-01")]

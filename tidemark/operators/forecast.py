@@ -19,6 +19,7 @@ from tidemark.functions import calendar as cal, scoring as sc
 from tidemark.functions.text import first_json_object
 from tidemark.operators import asof, filters
 from tidemark.operators.features import fill_gaps
+from tidemark.operators.logistic import fit_at_origins  # noqa: F401 - part of this module's interface
 from tidemark.operators.ordered import exact_percentiles, lags, row_index, trailing as trailing_rows
 from tidemark.session import settled
 
@@ -483,83 +484,6 @@ def macro_features(probes: DataFrame, rate: DataFrame, bond: DataFrame, prices:
     )
 
 
-def softmax_fit(x: np.ndarray, label: np.ndarray, n_classes: int, c: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Multinomial logistic weights (intercept first, unpenalised) by Newton's method.
-
-    Minimises log loss plus ``|w|^2 / 2c``; two classes use the single-logit form.
-    """
-    k = 1 if n_classes == 2 else n_classes
-    z = np.column_stack([np.ones(len(x)), x])
-    d = z.shape[1]
-    penalty = np.tile(np.r_[0.0, np.full(d - 1, 1.0 / c)], k)
-    target = (label[:, None] == (np.array([1]) if k == 1 else np.arange(k))).astype(float)
-    w = np.zeros(k * d)
-    for _ in range(steps):
-        p = _softmax(z @ w.reshape(k, d).T)
-        grad = ((p - target).T @ z).ravel() + penalty * w
-        hess = np.diag(penalty)
-        for i in range(k):
-            for j in range(k):
-                weight = p[:, i] * ((i == j) - p[:, j])
-                hess[i * d : (i + 1) * d, j * d : (j + 1) * d] += (z * weight[:, None]).T @ z
-        step = np.linalg.lstsq(hess, grad, rcond=None)[0]
-        w = w - step
-        if np.abs(step).max() < 1e-10:
-            break
-    return w.reshape(k, d)
-
-
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    if logits.shape[1] == 1:
-        return 1.0 / (1.0 + np.exp(-logits))
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def fit_at_origins(
-    origins: DataFrame, examples: DataFrame, features: Sequence[str], classes: Sequence[float],
-    *, c: float = 1.0, min_train: int = 16,
-) -> DataFrame:
-    """Refit a (multinomial) logistic model at every origin on the events resolved by then.
-
-    ``origins``: ``series_id, as_of`` and the features now; ``examples``: ``series_id,
-    known_at``, the features then and ``outcome``.  One group holds one series' event
-    calendar (a few rows a year).  Falls back to class frequencies with fewer than
-    ``min_train`` examples, a single class, or missing features.
-    """
-    names, values = list(features), np.array(classes, dtype=float)
-    then = [f"then_{n}" for n in names]
-    past = examples.select("series_id", *[F.col(c).alias(f"then_{c}") for c in [*names, "known_at", "outcome"]])
-
-    def fit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        done = right.dropna(subset=[*then, "then_outcome"]).sort_values("then_known_at")
-        x, y, known = done[then].to_numpy(float), done["then_outcome"].to_numpy(float), done["then_known_at"].to_numpy()
-        rows = []
-        for o in left.sort_values("as_of").itertuples(index=False):
-            n = int(np.searchsorted(known, np.datetime64(o.as_of), side="right"))
-            now = np.array([getattr(o, f) for f in names], dtype=float)
-            seen = np.array([(y[:n] == v).mean() if n else 0.0 for v in values])
-            present = np.flatnonzero(seen > 0)
-            if n < min_train or len(present) < 2 or np.isnan(now).any():
-                if n == 0:
-                    seen = np.array([0.9, 0.1]) if len(values) == 2 else np.full(len(values), 1.0 / len(values))
-                rows.append((o.series_id, o.as_of, n, "frequency_fallback", seen.tolist()))
-                continue
-            mean, sd = x[:n].mean(axis=0), x[:n].std(axis=0)
-            sd[sd == 0] = 1.0
-            label = np.searchsorted(values[present], y[:n])
-            w = softmax_fit((x[:n] - mean) / sd, label, len(present), c)
-            p = _softmax(np.r_[1.0, (now - mean) / sd][None, :] @ w.T)[0]
-            p = np.array([1 - p[0], p[0]]) if len(present) == 2 else p
-            full = np.zeros(len(values))
-            full[present] = p
-            rows.append((o.series_id, o.as_of, n, "logistic", full.tolist()))
-        return pd.DataFrame(rows, columns=["series_id", "as_of", "n_train", "model", "class_probs"])
-
-    schema = "series_id string, as_of timestamp_ntz, n_train int, model string, class_probs array<double>"
-    return origins.groupBy("series_id").cogroup(past.groupBy("series_id")).applyInPandas(fit, schema)
-
-
 def best_per_task(leaderboard: DataFrame) -> DataFrame:
     """The predictor with the lowest mean score of each task."""
     return leaderboard.groupBy("task_id").agg(F.min_by("predictor_id", "mean_score").alias("predictor_id"), F.min("mean_score").alias("mean_score"))

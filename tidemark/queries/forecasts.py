@@ -485,7 +485,7 @@ def classifier_training_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("M10")
 def fit_at_origin_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    """Decision direction from visible features, refitted at every decision on the decisions resolved before."""
+    """Decision direction from visible features, refitted at every decision on the decisions resolved before; ``converged`` is null for fallbacks."""
     obs = decisions(spark, sf)
     rates = step_rates(spark, sf)
     probes = obs.withColumn("as_of", cal.plus_days("timestamp", -7))
@@ -497,7 +497,7 @@ def fit_at_origin_classifier(spark: SparkSession, sf: str) -> DataFrame:
     )
     rows = settled(rows, "examples")
     fits = fc.fit_at_origins(rows.select("series_id", "as_of", "level", "recent"), rows.drop("as_of"), ["level", "recent"], [v for _, v in DIRECTIONS])
-    return fits.select("series_id", "as_of", "n_train", "model", *[F.round(F.col("class_probs")[i], 6).alias(f"p_{n}") for i, (n, _) in enumerate(DIRECTIONS)])
+    return fits.select("series_id", "as_of", "n_train", "model", "converged", *[F.round(F.col("class_probs")[i], 6).alias(f"p_{n}") for i, (n, _) in enumerate(DIRECTIONS)])
 
 
 @query("M14", sql("prices announcements", _SHOCK_ORIGINS + """
