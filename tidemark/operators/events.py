@@ -9,7 +9,6 @@ per-series windows are used here instead of the blocked ones of
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -20,7 +19,7 @@ from tidemark.functions import calendar as cal
 from tidemark.functions.stats import fisher_greater, population_lift
 from tidemark.functions.text import fixed_text
 from tidemark.operators import asof
-from tidemark.operators.ordered import row_index
+from tidemark.operators.ordered import expanding_percentiles, row_index
 
 KEY = ["series_id"]
 
@@ -224,29 +223,10 @@ def base_rates(days: DataFrame, threshold_pct: float, split: Column) -> DataFram
 def volatility_regimes(days: DataFrame, low: float = 0.33, high: float = 0.67, min_history: int = REGIME_HISTORY) -> DataFrame:
     """Low / normal / high against expanding quantiles of the volatility seen so far.
 
-    An expanding percentile window would sort its whole prefix at every row; a sorted
-    list per series inserts instead.  The group is one row per session.
+    A session without a volatility, or before ``min_history`` of them, has no cuts and no regime.
     """
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("timestamp")
-        seen: list[float] = []
-        cuts = np.full((len(pdf), 2), np.nan)
-        for i, v in enumerate(pdf["vol"].to_numpy(dtype=float)):
-            if not np.isnan(v):
-                bisect.insort(seen, v)
-            if len(seen) >= min_history:
-                for j, q in enumerate((low, high)):
-                    at = q * (len(seen) - 1)
-                    k = int(at)
-                    above = seen[min(k + 1, len(seen) - 1)]
-                    cuts[i, j] = seen[k] + (above - seen[k]) * (at - k)
-        return pdf.assign(low_cut=cuts[:, 0], high_cut=cuts[:, 1])
-
-    names = ["series_id", "timestamp", "vol"]
-    cut = days.select(*names).groupBy("series_id").applyInPandas(
-        label, "series_id string, timestamp timestamp_ntz, vol double, low_cut double, high_cut double"
-    )
+    cuts = expanding_percentiles(days, KEY, "timestamp", "vol", {"low_cut": low, "high_cut": high}, min_history=min_history)
+    cut = days.select("series_id", "timestamp", "vol").join(cuts, ["series_id", "timestamp"], "left")
     ok = F.col("vol").isNotNull() & ~F.isnan("vol") & F.col("low_cut").isNotNull() & ~F.isnan("low_cut")
     regime = F.when(F.col("vol") < F.col("low_cut"), F.lit("low")).when(F.col("vol") > F.col("high_cut"), F.lit("high")).otherwise(F.lit("normal"))
     return cut.withColumn("regime", F.when(ok, regime))

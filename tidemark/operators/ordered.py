@@ -20,6 +20,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import settled
+
 DAY = 86_400
 BLOCK_SECONDS = 512 * DAY  # about two years of a daily series, 12k rows of an hourly one
 
@@ -221,3 +223,68 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], column: str, levels: d
         return lo + (hi - lo) * (position - F.floor(position))
 
     return out.select(*keys, *[between(n, q).alias(n) for n, q in levels.items()])
+
+
+def expanding_percentiles(
+    df: DataFrame, keys: Sequence[str], time: str, column: str, levels: dict[str, float], *, min_history: int = 1, width: int = 256, span: int = 64, salts: int = 8
+) -> DataFrame:
+    """``keys, time`` and linear-interpolated percentiles of all values of the key up to and including each row.
+
+    Order statistics over value ranges with running counts.  Every value gets its rank in the key, ranges hold ``width``
+    ranks, and for every ``span`` rows in time order it is known how many earlier values lie below each range.  A row finds
+    the range of a wanted rank by bisection over those counts and the few rows of its own span, then picks the value inside the
+    range among those seen by then.  Nothing holds a key's rows, and equal values are told apart by time.  Rows without a
+    value, and rows with fewer than ``min_history`` values so far, are left out.
+    """
+    keys = list(keys)
+    known = df.filter(F.col(column).isNotNull() & ~F.isnan(column)).select(*keys, F.col(time).alias("_at"), F.col(column).cast("double").alias("_v"))
+    dated = row_index(known, keys, "_at", "_pos")
+    ranked = running(value_blocks(dated, keys, "_v"), keys, "_v", {"_rank": ("sum", F.lit(1).cast("long"))}, tie=[F.col("_pos")], block=F.col("_bucket"))
+    p, r = F.col("_pos") - 1, F.col("_rank") - 1
+    placed = settled(ranked.select(*keys, "_at", "_v", p.alias("p"), r.alias("r"), F.floor(p / span).alias("tb"), F.floor(r / width).alias("vb")), "placed")
+
+    last = placed.groupBy(*keys).agg(F.max("tb").alias("_tb"), F.max("vb").alias("_vb"))
+    zero = F.lit(0).cast("long")
+    grid = last.select(*keys, F.explode(F.sequence(zero, "_tb")).alias("tb"), "_vb").select(*keys, "tb", F.explode(F.sequence(zero, "_vb")).alias("vb"))
+    counts = placed.groupBy(*keys, "tb", "vb").agg(F.count(F.lit(1)).alias("c"))
+    earlier = Window.partitionBy(*keys, "vb").orderBy("tb").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*keys, "tb").orderBy("vb").rowsBetween(Window.unboundedPreceding, -1)
+    dense = grid.join(counts, [*keys, "tb", "vb"], "left").withColumn("c", F.coalesce(F.sum("c").over(earlier), zero))
+    dense = dense.withColumn("c", F.coalesce(F.sum("c").over(lower), zero))
+    below = dense.groupBy(*keys, "tb").agg(F.transform(F.sort_array(F.collect_list(F.struct("vb", "c"))), lambda x: x["c"]).alias("below"))
+    inside = placed.groupBy(*keys, "tb").agg(F.sort_array(F.collect_list(F.struct("p", "_at", "vb"))).alias("rows"))
+
+    rows = inside.join(below, [*keys, "tb"]).select(*keys, "below", F.transform("rows", lambda x: x["vb"]).alias("own"), F.posexplode("rows").alias("i", "row"))
+    rows = rows.select(*keys, "below", F.slice("own", F.lit(1), F.col("i") + 1).alias("own"), "row.p", "row._at").filter(F.col("p") + 1 >= min_history)
+    wanted = []
+    for name, q in levels.items():
+        low = F.floor(F.col("p") * F.lit(float(q)))
+        wanted += [F.struct(F.lit(f"{name} 0").alias("which"), low.alias("k")), F.struct(F.lit(f"{name} 1").alias("which"), F.least(low + 1, F.col("p")).alias("k"))]
+    asked = rows.select("*", F.explode(F.array(*wanted)).alias("w")).select(*keys, "below", "own", "p", "_at", "w.which", "w.k")
+
+    def under(v: Column) -> Column:
+        """How many values seen by the row lie in ranges below ``v``."""
+        return F.get("below", v) + F.size(F.filter("own", lambda x: x < v))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
+        fits = under(mid) <= F.col("k")
+        return F.struct(F.when(fits, mid).otherwise(acc["lo"]).alias("lo"), F.when(fits, acc["hi"]).otherwise(mid - 1).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), (F.size("below") - 1).alias("hi"))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("below") + 1)).cast("int"))
+    found = asked.withColumn("vb", F.aggregate(rounds, start, halve, lambda a: a["lo"]))
+    probes = found.select(*keys, "p", "_at", "which", F.col("vb").cast("long").alias("vb"), (F.col("k") - under(F.col("vb"))).cast("int").alias("j"), (F.col("p") % salts).alias("salt"))
+    ranges = placed.groupBy(*keys, "vb").agg(F.sort_array(F.collect_list(F.struct("r", "p", "_v"))).alias("in_range"))
+    ranges = ranges.withColumn("salt", F.explode(F.sequence(zero, F.lit(salts - 1).cast("long"))))
+    met = probes.join(ranges, [*keys, "vb", "salt"])
+    value = F.get(F.filter("in_range", lambda x: x["p"] <= F.col("p")), F.col("j"))["_v"]
+    picked = met.select(*keys, "p", "_at", "which", value.alias("value")).groupBy(*keys, "p", "_at").agg(
+        *[F.max(F.when(F.col("which") == f"{name} {side}", F.col("value"))).alias(f"_{name}_{side}") for name in levels for side in (0, 1)]
+    )
+
+    def between(name: str, q: float) -> Column:
+        at, low, high = F.col("p") * F.lit(float(q)), F.col(f"_{name}_0"), F.col(f"_{name}_1")
+        return (low + (high - low) * (at - F.floor(at))).alias(name)
+
+    return picked.select(*keys, F.col("_at").alias(time), *[between(n, q) for n, q in levels.items()])
