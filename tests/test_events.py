@@ -1,3 +1,7 @@
+import datetime as dt
+import hashlib
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -60,6 +64,50 @@ def test_controls_keep_their_invariants(days):
     assert sorted(again.event_idx) == sorted(controls.event_idx)
 
 
+def drawn_by_hand(rows, n, seed):
+    """The rounds of proposals in plain Python; rows: (series, shock_date, idx, distance)."""
+    code = lambda *x: hashlib.md5("|".join(map(str, (seed, *x))).encode()).hexdigest()
+    free, picked = defaultdict(dict), defaultdict(set)
+    for s, d, i, x in rows:
+        free[s, d][i] = x
+    while free:
+        wanted = defaultdict(list)
+        for (s, d), left in free.items():
+            near = sorted(left, key=lambda i: (left[i] is None, left[i] or 0, i))
+            if any(x is not None for x in left.values()):
+                near = near[: 5 * n]
+            for i in sorted(near, key=lambda i: code(s, d, i))[: n - len(picked[s, d])]:
+                wanted[s, i].append(d)
+        for (s, i), who in wanted.items():
+            picked[s, min(who, key=lambda d: code(s, d))].add(i)
+        taken = {(s, i) for (s, _), ids in picked.items() for i in ids}
+        free = {(s, d): kept for (s, d), left in free.items() if len(picked[s, d]) < n and (kept := {i: x for i, x in left.items() if (s, i) not in taken})}
+    return {(s, str(d), i) for (s, d), ids in picked.items() for i in ids}
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_drawn_controls_as_by_hand(spark, days, n):
+    """Real candidates, and shocks that compete for too few candidates or have no distances."""
+    real = ev.control_candidates(days, ev.shock_windows(days, 5.0), 5.0, LO, HI).select("series_id", "shock_date", "idx", "event_date", "return_pct", "distance")
+    rng = np.random.default_rng(n)
+    day = lambda i: ts("2024-01-01") + dt.timedelta(days=int(i))
+    tight = [(s, day(d), int(i), day(i), 0.0, None if s == "blind" else float(rng.integers(0, 4))) for s in ("tight", "blind") for d in range(12) for i in rng.choice(20, 8, replace=False)]
+    pool = real.unionByName(spark.createDataFrame(tight, real.schema)).repartition(3)
+    got = {(r.series_id, str(r.shock_date), r.idx) for r in ev.draw_controls(pool, n, seed=4).collect()}
+    assert got == drawn_by_hand([(r.series_id, r.shock_date, r.idx, r.distance) for r in pool.collect()], n, 4)
+    assert len({(s, i) for s, _, i in got}) == len(got)
+    windows = pool.select("series_id", F.col("shock_date").alias("event_date")).distinct()
+    short = {r.series_id: r.n_missing for r in ev.control_shortage(windows, ev.draw_controls(pool, n, seed=4), n).collect()}
+    shocks = {(r.series_id, str(r.event_date)) for r in windows.collect()}
+    assert short == {s: sum(n - sum(g[:2] == x for g in got) for x in shocks if x[0] == s) for s in {x[0] for x in shocks}}
+    assert n == 1 or short["tight"] >= 16
+
+
+def test_no_candidates(spark, days):
+    none = ev.control_candidates(days, ev.shock_windows(days, 5.0), 5.0, LO, HI).limit(0)
+    assert ev.matched_controls(days, none).count() == 0
+
+
 def test_control_candidates_lie_in_reach(days):
     pool = ev.control_candidates(days, ev.shock_windows(days, 5.0), 5.0, LO, HI)
     idx = days.select(F.col("timestamp").alias("shock_date"), F.col("idx").alias("shock_idx"))

@@ -20,6 +20,7 @@ from tidemark.functions.stats import fisher_greater, population_lift
 from tidemark.functions.text import fixed_text
 from tidemark.operators import asof
 from tidemark.operators.ordered import expanding_percentiles, row_index
+from tidemark.session import settled
 
 KEY = ["series_id"]
 
@@ -143,41 +144,59 @@ def nearest_candidates(candidates: DataFrame, n_each: int = 1) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(closest)).filter(F.col("rank") <= POOL_MULTIPLE * n_each)
 
 
-def matched_controls(days: DataFrame, candidates: DataFrame, n_each: int = 1, seed: int = SEED) -> DataFrame:
-    """Draw controls without replacement, shocks visited in a seeded random order.
+def draw_controls(candidates: DataFrame, n_each: int = 1, seed: int = SEED) -> DataFrame:
+    """``n_each`` controls per shock without replacement, by rounds of proposals.
 
-    Each shock draws ``n_each`` of the ``5 n`` unused candidates closest in volatility.  The
-    draw is sequential by nature, so one task handles one series: its group holds
-    candidate positions only, at most 253 per shock session of the calendar.
+    In a round every shock that is still short proposes to as many as it needs of the ``5 n`` free candidates closest in
+    volatility, those of smallest hash; a control wanted by several goes to the shock of smallest hash.  Rounds end when no
+    shock is short or has a free candidate, so the cost follows the contests, and a shock's rows (at most 253) are all that
+    meets in one place.  Where no free candidate has a distance, all of them are in reach.
     """
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        by_shock = {d: g.sort_values(["distance", "idx"]) for d, g in pdf.groupby("shock_date")}
-        order = rng.permutation(np.array(sorted(by_shock), dtype="datetime64[us]"))
-        used: set[int] = set()
-        rows = []
-        for shock in order:
-            group = by_shock[pd.Timestamp(shock)]
-            free = group[~group["idx"].isin(used)]
-            if not free["distance"].isna().all():
-                free = free.head(POOL_MULTIPLE * n_each)
-            picked = rng.permutation(len(free))[:n_each]
-            chosen = free.iloc[picked]
-            used.update(chosen["idx"].tolist())
-            rows.append(chosen)
-        out = pd.concat(rows)
-        return out[["series_id", "idx", "event_date", "return_pct", "shock_date"]]
-
-    schema = "series_id string, idx long, event_date timestamp_ntz, return_pct double, shock_date timestamp_ntz"
-    picked = candidates.groupBy("series_id").applyInPandas(draw, schema)
+    told = lambda *more: F.md5(F.concat_ws("|", F.lit(str(seed)), "series_id", F.date_format("shock_date", "yyyy-MM-dd HH:mm:ss"), *more))
+    rows = candidates.select(*KEY, "shock_date", "idx", "event_date", "return_pct", "distance")
+    ranked = rows.withColumns({"turn": told(), "ticket": told(F.col("idx").cast("string")), "need": F.lit(n_each).cast("long")})
+    free = settled(ranked, "candidates")
+    shock, control = [*KEY, "shock_date"], [*KEY, "idx"]
+    closest = Window.partitionBy(*shock).orderBy(F.col("distance").asc_nulls_last(), "idx")
+    parts = []
+    while not free.isEmpty():
+        pool = free.withColumn("_near", F.row_number().over(closest)).withColumn("_any", F.max("distance").over(Window.partitionBy(*shock)))
+        pool = pool.filter((F.col("_near") <= POOL_MULTIPLE * n_each) | F.col("_any").isNull())
+        asked = pool.withColumn("_ask", F.row_number().over(Window.partitionBy(*shock).orderBy("ticket", "idx"))).filter(F.col("_ask") <= F.col("need"))
+        won = asked.withColumn("_won", F.row_number().over(Window.partitionBy(*control).orderBy("turn", "shock_date"))).filter("_won = 1")
+        won = settled(won.select(*KEY, "idx", "event_date", "return_pct", "shock_date"), "drawn")
+        parts.append(won)
+        got = won.groupBy(*shock).agg(F.count(F.lit(1)).alias("_got"))
+        left = free.join(won.select(*control), control, "left_anti").join(got, shock, "left")
+        free = settled(left.withColumn("need", F.col("need") - F.coalesce("_got", F.lit(0))).filter("need > 0").drop("_got"), "candidates")
+    drawn = rows.select(*KEY, "idx", "event_date", "return_pct", "shock_date").limit(0)
+    for part in parts:
+        drawn = drawn.unionByName(part)
+    return drawn
+
+
+def control_windows(days: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Drawn controls as windows that open at the session before them."""
     previous = days.select(*KEY, (F.col("idx") + 1).alias("idx"), F.col("timestamp").alias("as_of"))
-    return picked.join(previous, [*KEY, "idx"]).select(
+    return drawn.join(previous, [*KEY, "idx"]).select(
         *KEY, "as_of", "event_date", F.lit(False).alias("is_shock"), "return_pct",
         (F.col("idx") - 1).alias("as_of_idx"), F.col("idx").alias("event_idx"), F.lit(None).cast("string").alias("direction"),
     )
 
 
+def matched_controls(days: DataFrame, candidates: DataFrame, n_each: int = 1, seed: int = SEED) -> DataFrame:
+    """Controls drawn without replacement for every shock, as windows."""
+    return control_windows(days, draw_controls(candidates, n_each, seed))
+
+
+def control_shortage(windows: DataFrame, drawn: DataFrame, n_each: int = 1) -> DataFrame:
+    """Per series: shocks, how many of them got fewer than ``n_each`` controls, and how many controls are missing in all."""
+    got = drawn.groupBy(*KEY, "shock_date").agg(F.count(F.lit(1)).alias("_got"))
+    each = windows.select(*KEY, F.col("event_date").alias("shock_date")).join(got, [*KEY, "shock_date"], "left")
+    missing = F.lit(n_each) - F.coalesce("_got", F.lit(0))
+    return each.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_shocks"), F.count_if(missing > 0).alias("n_short"), F.sum(missing).alias("n_missing"))
+
+
 def train_holdout(windows: DataFrame, holdout_start: str, holdout_end: str) -> DataFrame:
     """Add ``split``: train before the holdout by event date; holdout only when as_of *and* event lie inside."""
     lo, hi = F.lit(holdout_start).cast("timestamp_ntz"), F.lit(holdout_end).cast("timestamp_ntz")

@@ -82,12 +82,20 @@ def control_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J18 H5")
 def matched_controls(spark: SparkSession, sf: str) -> DataFrame:
-    """One control per shock, drawn without replacement (seeded, so no SQL twin)."""
+    """One control per shock, drawn without replacement in rounds."""
     d = _days(spark, sf)
     pool = ev.control_candidates(d, ev.shock_windows(d, SHOCK), SHOCK, LO, HI)
     return ev.matched_controls(d, pool).drop("direction")
 
 
+@query("J18 H5")
+def control_shortage(spark: SparkSession, sf: str) -> DataFrame:
+    """Shocks of each series that got fewer than three controls."""
+    d = _days(spark, sf)
+    shocks = settled(ev.shock_windows(d, SHOCK), "shocks")
+    return ev.control_shortage(shocks, ev.draw_controls(ev.control_candidates(d, shocks, SHOCK, LO, HI), 3), 3)
+
+
 @query("H5 P24 W10", sql("shocks", f"""
 SELECT series_id, CASE WHEN event_date < '{LO}' THEN 'train' WHEN as_of >= '{LO}' AND event_date <= '{HI}' THEN 'holdout' END AS split, direction, count(*) AS n
 FROM shocks WHERE event_date < '{LO}' OR (as_of >= '{LO}' AND event_date <= '{HI}') GROUP BY 1, 2, 3"""))
