@@ -1,5 +1,7 @@
 """The mixture of single windows at the settings of op4, and targets of small sources."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -30,6 +32,27 @@ def test_a_small_source_named_in_targets_has_its_own_queue(spark):
     assert (np.abs(first["big0"] - 1024 * 0.7) <= 64).all() and (np.abs(first["big1"] - 1024 * 0.25) <= 64).all()
 
 
+def test_decimal_weights_give_every_place_once():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        weights = [Fraction(str(round(float(w), 2))) for w in rng.uniform(0.01, 1, 5)]
+        tokens = rng.integers(0, 4000, 5).tolist()
+        made = packing.Schedule(tokens, weights, 16)
+        places = np.concatenate([made.rank(q, np.arange(n)) for q, n in enumerate(made.full.tolist())])
+        assert (np.sort(places) == np.arange(made.full.sum())).all()
+
+
+def test_decimal_targets_pack_without_overlap_or_gap(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 500, rng.integers(1, 300))), f"s{i % 5}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, targets={"s0": 0.55, "s1": 0.03, "s2": 0.75, "s3": 0.54, "s4": 0.33}).toPandas().sort_values(["sequence_id", "offset"])
+    for _, s in got.groupby("sequence_id"):
+        assert (s["offset"].to_numpy() == np.r_[0, s["length"].cumsum()[:-1]]).all()
+    for _, d in got.sort_values("start").groupby("doc_id"):
+        assert (d["start"].to_numpy() == np.r_[0, d["length"].cumsum()[:-1]]).all() and d["length"].sum() == d["doc_tokens"].iloc[0]
+
+
 @pytest.mark.parametrize("window, shares, quantum", [(1024, [0.5, 0.47, 0.03], 16), (1024, [0.99, 0.01], 8), (1024, [0.5, 0.5], 16), (4096, [0.97, 0.03], 64), (8, [0.5, 0.5], 1), (1024, [], 16)])
 def test_quantum_follows_the_window_and_the_smallest_share(window, shares, quantum):
     assert packing.quantum_for(window, shares) == quantum

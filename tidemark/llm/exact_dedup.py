@@ -52,15 +52,19 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Add a batch; one row per row of it: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
         Of equal texts the row already in the index stays, else the one with the most code points,
         then the smallest id (null last), then the smallest row hash.  ``group_size`` counts the
         batch's rows.  Nulls and empty or blank texts are equal to each other.  Rows repeated in
         full (same id and text) are counted each and share one answer.
+
+        ``batch`` names the batch: an append that failed at any point, or that is run again later, gives the same answer under
+        the same name, for the digests it has already added count as its own.  Without a name every call is a batch of its own.
+        Batches are appended one at a time.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         rows = settled(digests(docs, id_col, text_col), "digests")
         best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), "doc_id", "row_hash"))
         groups = settled(rows.groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("best")), "groups")

@@ -22,8 +22,10 @@ that leaves the queue with the smallest share one quantum a window, and every wi
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -99,34 +101,37 @@ def quantum_for(window: int, shares: list[float]) -> int:
     return 1 << max(int(most).bit_length() - 1, 0)
 
 
+def whole_ratios(weights: list[Fraction]) -> list[int]:
+    common = math.lcm(*(w.denominator for w in weights))
+    return [int(w * common) for w in weights]
+
+
 class Schedule:
     """Where the quanta of every queue go in the common stream."""
 
-    def __init__(self, tokens: list[int], weights: list[float] | None, quantum: int) -> None:
+    def __init__(self, tokens: list[int], weights: list[Fraction] | None, quantum: int) -> None:
         self.quantum, self.tokens = quantum, np.array(tokens, dtype=np.int64)
         self.full = self.tokens // quantum
-        self.weights = None if weights is None else np.array(weights, dtype=np.float64)
+        #: Whole numbers in the ratio of the rates at which the queues are served.
+        self.rates = self.full.tolist() if weights is None else whole_ratios(weights)
         rest = self.tokens - self.full * quantum
         self.tail = int(self.full.sum()) * quantum + np.r_[0, np.cumsum(rest)[:-1]] if len(rest) else rest
 
     def rank(self, queue: int, i: np.ndarray) -> np.ndarray:
-        """Place among all full quanta of quanta ``i`` of a queue."""
+        """Place among all full quanta of quanta ``i`` of a queue; quantum j of a queue of rate w is due at (2j + 1) / w, the smaller queue first."""
         out = np.zeros(len(i), dtype=np.int64)
+        mine = self.rates[queue]
         for other in range(len(self.full)):
-            n = int(self.full[other])
+            n, rate = int(self.full[other]), self.rates[other]
             if other == queue:
                 out += i
-            elif n and self.weights is None:
-                # quanta j with (2j + 1) / n before (2i + 1) / m, in whole numbers of any size
-                m = int(self.full[queue])
-                x = (2 * i + 1).astype(object if 2 * m * n >= 1 << 62 else np.int64) * n
-                r = x // m
-                tie = (x % m == 0) & (r % 2 == 1) & (other > queue)
-                out += np.minimum(n, (r + 1) // 2 - tie).astype(np.int64)
             elif n:
-                at = (i + 0.5) / self.weights[queue] * self.weights[other] - 0.5
-                below = np.where(np.isfinite(at), np.clip(np.ceil(at), 0, n), n)
-                out += below.astype(np.int64) + ((at == below) & (other < queue) & (below < n))
+                # quanta j of the other queue due before, in whole numbers of any size
+                large = (2 * int(self.full[queue]) + 1) * rate >= 1 << 62 or mine >= 1 << 62
+                x = (2 * i + 1).astype(object if large else np.int64) * rate
+                r = x // mine
+                tie = (x % mine == 0) & (r % 2 == 1) & (other > queue)
+                out += np.minimum(n, (r + 1) // 2 - tie).astype(np.int64)
         return out
 
     def places(self, queue: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
@@ -183,11 +188,12 @@ def pack(docs: DataFrame, window: int = 1024, quantum: int | None = None, target
     names = sorted(wide)
     rest = total - sum(wide.values())
     tokens = [wide[s] for s in names] + [rest]
-    weights = None if targets is None else [targets.get(s, wide[s] / total) for s in names] + [max(rest, 1) / max(total, 1)]
+    # a weight is the decimal number as written, so that all comparisons of the schedule are exact
+    weights = None if targets is None else [Fraction(str(targets[s])) if s in targets else Fraction(max(wide[s], 1), max(total, 1)) for s in names] + [Fraction(max(rest, 1), max(total, 1))]
     if quantum is None:
         # a queue that holds less than its weight asks for still has it in every window until it ends
         steered = [w for w, n in zip(weights or tokens, tokens) if n]
-        quantum = quantum_for(window, [w / sum(steered) for w in steered[: len(steered) - (rest > 0)]])
+        quantum = quantum_for(window, [float(w / sum(steered)) for w in steered[: len(steered) - (rest > 0)]])
     schedule = Schedule(tokens, weights, quantum)
     number = F.create_map(*[F.lit(x) for s, i in zip(names, range(len(names))) for x in (s, i)]) if names else F.create_map().cast("map<string,int>")
     buckets = max(1, -(-count // bucket_rows))
