@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions import calendar as cal, scoring as sc
 from tidemark.functions.text import first_json_object
-from tidemark.operators import asof, filters
+from tidemark.operators import asof, filters, quantreg
 from tidemark.operators.features import fill_gaps
 from tidemark.operators.logistic import fit_at_origins  # noqa: F401 - part of this module's interface
 from tidemark.operators.ordered import exact_percentiles, lags, row_index, trailing as trailing_rows
@@ -307,6 +307,43 @@ def lagged_regression(
     return out
 
 
+def known_covariates(observations: DataFrame, covariates: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``series_id, timestamp`` and one column per covariate: its newest value released by the time the row itself was.
+
+    ``covariates`` are canonical rows of the series ``names``.  Values are looked up once per release moment, so
+    the look-up is as long as the calendar however many series there are.
+    """
+    rows = observations.select("series_id", "timestamp", asof.released().alias("_at"))
+    asked = rows.select("_at").distinct().withColumn("cov", F.explode(F.array(*[F.lit(n) for n in names])))
+    values = covariates.filter(F.col("series_id").isin(*names)).withColumn("cov", F.col("series_id"))
+    found = asof.state_at(asked, values, ["cov"], "_at", asof.released(), {"_c": asof.latest("value")})
+    wide = found.groupBy("_at").agg(*[F.max(F.when(F.col("cov") == n, F.col("_c.value"))).alias(n) for n in names])
+    return rows.join(wide, "_at").drop("_at")
+
+
+@cut_first
+def quantile_regression(
+    ctx: DataFrame, observations: DataFrame, horizons: Sequence[int], n_lags: int = 3, covariates: DataFrame | None = None
+) -> DataFrame:
+    """Direct linear quantile regression per horizon and level, refitted at every origin on outcomes released by then.
+
+    ``covariates`` is wide, as :func:`known_covariates` gives it; rows that lack one are neither fitted nor forecast.
+    """
+    table = settled(lag_table(observations, n_lags, max(horizons), covariates).filter(F.col("x").isNotNull()), "lags")
+    k = n_lags + (len([c for c in covariates.columns if c not in ("series_id", "timestamp")]) if covariates is not None else 0)
+    features = F.slice("x", 2, k)
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("h_ahead"), F.col(f"_k{h}").alias("known_at"), F.col(f"_y{h}").alias("y")) for h in horizons]))
+    examples = table.select("series_id", features.alias("x"), each.alias("e")).select("series_id", "e.*", "x").filter(F.col("y").isNotNull())
+    here = asof.state_at(ctx, table, KEY, "as_of", asof.released(), {"_x": asof.latest("x")}).filter(F.col("_x").isNotNull())
+    here = here.withColumn("horizons", F.array(*[F.lit(h) for h in horizons])).withColumn("now", F.slice("_x.x", 2, k)).drop("_x")
+    here = settled(horizons_of(here).withColumn("_id", F.monotonically_increasing_id()), "origins")
+    fits = quantreg.fit_quantiles(here.select("_id", "series_id", F.col("horizon").cast("int").alias("h_ahead"), "as_of", "now"), examples, k)
+    df = here.join(fits.withColumnRenamed("quantiles", "_q"), "_id")
+    q = sc.quantiles_from_array(F.col("_q"))
+    told = F.when(~F.col("converged"), F.lit("not converged"))
+    return _predictions(df, "quantile_regression", point=sc.quantile_at(q, 0.5), quantiles=q, metadata=told)
+
+
 def boosted_regression(
     ctx: DataFrame, observations: DataFrame, horizons: Sequence[int], train_until: str, n_lags: int = 3, max_iter: int = 20
 ) -> DataFrame:

@@ -21,6 +21,22 @@ from tidemark.session import settled
 KEY = ["series_id"]
 BLOCK = 256
 
+
+
+def example_blocks(rows: DataFrame, keys: Sequence[str], order: str, block: int = BLOCK) -> DataFrame:
+    """``keys, block, x, y``: the examples of a key in order, ``block`` to a row; ``x`` holds their feature arrays end to end."""
+    numbered = row_index(rows, keys, order, "i")
+    held = numbered.groupBy(*keys, F.floor((F.col("i") - 1) / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("r"))
+    return held.select(*keys, "block", F.flatten(F.transform("r", lambda r: r["x"])).alias("x"), F.transform("r", lambda r: r["y"]).alias("y"))
+
+
+def meeting(state: DataFrame, blocks: DataFrame, keys: Sequence[str], width: int, block: int = BLOCK) -> DataFrame:
+    """Each row of ``state`` with every block of its first ``n`` examples, cut to those; ``width`` features an example."""
+    spread = state.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
+    both = spread.join(blocks.hint("merge"), [*keys, "block"]).withColumn("_m", F.least(F.size("y"), (F.col("n") - F.col("block") * block).cast("int")))
+    return both.withColumn("y", F.slice("y", F.lit(1), F.col("_m"))).withColumn("x", F.slice("x", F.lit(1), F.col("_m") * width)).drop("_m")
+
+
 _STATE = "base array<double>, step array<double>, scale double, loss double, done boolean, converged boolean, rounds int"
 _FIXED = ["_id", "series_id", "as_of", "n", "now", "mean", "sd", "counts"]
 
@@ -90,21 +106,13 @@ def fit_at_origins(
     known = lambda a: ~F.exists(a, lambda v: v.isNull() | F.isnan(v))
     past = examples.select("series_id", "known_at", whole(names).alias("x"), (F.array_position(F.array(*[F.lit(float(v)) for v in classes]), F.col("outcome").cast("double")) - 1).cast("int").alias("y"))
     past = settled(past.filter(known(F.col("x")) & (F.col("y") >= 0)), "past")
-    numbered = row_index(past, KEY, "known_at", "i")
-    rows = numbered.groupBy(*KEY, F.floor((F.col("i") - 1) / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("r"))
-    blocks = settled(rows.select(*KEY, "block", F.flatten(F.transform("r", lambda r: r["x"])).alias("x"), F.transform("r", lambda r: r["y"]).alias("y")), "blocks")
+    blocks = settled(example_blocks(past, KEY, "known_at", block), "blocks")
 
     asked = origins.select("series_id", "as_of", whole(names).alias("now"))
     asked = asof.state_at(asked, past, KEY, "as_of", F.col("known_at"), {"n": asof.count_rows()}).withColumn("n", F.coalesce("n", F.lit(0)).cast("int"))
     asked = settled(asked.withColumn("_id", F.monotonically_increasing_id()), "asked")
 
-    def meeting(state: DataFrame) -> DataFrame:
-        """Each origin with every block of its examples, cut to those it knows."""
-        spread = state.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
-        both = spread.join(blocks.hint("merge"), [*KEY, "block"]).withColumn("_m", F.least(F.size("y"), (F.col("n") - F.col("block") * block).cast("int")))
-        return both.withColumn("y", F.slice("y", F.lit(1), F.col("_m"))).withColumn("x", F.slice("x", F.lit(1), F.col("_m") * (d - 1))).drop("_m")
-
-    each = meeting(asked.filter("n > 0").select("_id", *KEY, "n")).select("_id", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("y") - 1).alias("j"), "y")).alias("e"), "x")
+    each = meeting(asked.filter("n > 0").select("_id", *KEY, "n"), blocks, KEY, d - 1, block).select("_id", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("y") - 1).alias("j"), "y")).alias("e"), "x")
     at = lambda j: F.get("x", F.col("e.j") * (d - 1) + j)
     moments = each.groupBy("_id").agg(
         F.array(*[F.avg(at(j)) for j in range(d - 1)]).alias("mean"), F.array(*[F.stddev_pop(at(j)) for j in range(d - 1)]).alias("sd"),
@@ -143,7 +151,7 @@ def fit_at_origins(
     for _ in range(rounds):
         if active.isEmpty():
             break
-        sums = meeting(active.select("_id", *KEY, "n", "mean", "sd", "counts", "base", "step", "scale")).mapInPandas(parts, "_id long, part array<double>")
+        sums = meeting(active.select("_id", *KEY, "n", "mean", "sd", "counts", "base", "step", "scale"), blocks, KEY, d - 1, block).mapInPandas(parts, "_id long, part array<double>")
         total = sums.groupBy("_id").agg(F.array(*[F.sum(F.col("part")[j]) for j in range(width)]).alias("sums"))
         after = settled(active.join(total.hint("merge"), "_id").mapInPandas(move, schema), "newton")
         finished.append(after.filter("done"))

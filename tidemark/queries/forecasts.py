@@ -441,6 +441,39 @@ def lagged_regression(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf, lambda c, o: fc.lagged_regression(c, o, (5, 10), 3))
 
 
+@query("M7")
+def quantile_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """Linear quantile regression on three lags, refitted at every origin."""
+    return _levels(spark, sf, lambda c, o: fc.quantile_regression(c, o, (5,), 3))
+
+
+_DRIVERS = ("1-URGENT", "5-LOW")
+
+
+@query("M7 J13", sql("obs", """
+SELECT o.series_id, o.timestamp, u.value AS urgent, l.value AS low
+FROM (SELECT *, released_at - INTERVAL 1 DAY AS seen FROM obs) o
+ASOF LEFT JOIN (SELECT * FROM obs WHERE series_id = '1-URGENT') u ON o.seen >= u.released_at
+ASOF LEFT JOIN (SELECT * FROM obs WHERE series_id = '5-LOW') l ON o.seen >= l.released_at"""))
+def covariates_at_release(spark: SparkSession, sf: str) -> DataFrame:
+    """Two series as covariates of all: for every row, the newest value of each that was out the day before the row's own release."""
+    obs = settled(observations(spark, sf), "observations")
+    early = obs.withColumn("released_at", cal.plus_days("released_at", -1))
+    wide = fc.known_covariates(early, obs, _DRIVERS)
+    return wide.select("series_id", "timestamp", *[F.col(f"`{n}`").alias(a) for n, a in zip(_DRIVERS, ("urgent", "low"))])
+
+
+@query("M7")
+def covariate_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantile regression on one lag and two other series, each read as of the row's release."""
+    def forecaster(ctx: DataFrame, obs: DataFrame) -> DataFrame:
+        wide = fc.known_covariates(obs, obs, _DRIVERS)
+        cov = wide.select("series_id", "timestamp", *[F.col(f"`{n}`").alias(a) for n, a in zip(_DRIVERS, ("urgent", "low"))])
+        return fc.quantile_regression(ctx, obs, (5,), 1, cov)
+
+    return _levels(spark, sf, forecaster)
+
+
 @query("M8")
 def boosted_regression(spark: SparkSession, sf: str) -> DataFrame:
     """Boosted trees fitted once on outcomes known by the end of 1999, forecasting later origins."""
