@@ -406,9 +406,9 @@ def kalman_local_level(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf, lambda c, o: fc.kalman_local_level(c, o, "D"))
 
 
-def _levels(spark: SparkSession, sf: str, forecaster) -> DataFrame:
+def _levels(spark: SparkSession, sf: str, forecaster, stride: int | None = None) -> DataFrame:
     obs, t, s = setup(spark, sf)
-    scored = bt.backtest(obs, t, s, {"m": forecaster})
+    scored = bt.backtest(obs, t, s if stride is None else specs(t, spec_id="sparse", stride=stride), {"m": forecaster})
     return scored.groupBy("predictor_id", "task_id", "horizon").agg(
         F.count("score").alias("n"), F.round(F.avg("score"), 4).alias("mean_crps"), F.round(F.avg("point"), 4).alias("mean_point")
     )
@@ -443,8 +443,8 @@ def lagged_regression(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("M7")
 def quantile_regression(spark: SparkSession, sf: str) -> DataFrame:
-    """Linear quantile regression on three lags, refitted at every origin."""
-    return _levels(spark, sf, lambda c, o: fc.quantile_regression(c, o, (5,), 3))
+    """Linear quantile regression on three lags, refitted at every origin of a spec with one origin in four weeks."""
+    return _levels(spark, sf, lambda c, o: fc.quantile_regression(c, o, (5,), 3), stride=28)
 
 
 _DRIVERS = ("1-URGENT", "5-LOW")
@@ -471,7 +471,7 @@ def covariate_regression(spark: SparkSession, sf: str) -> DataFrame:
         cov = wide.select("series_id", "timestamp", *[F.col(f"`{n}`").alias(a) for n, a in zip(_DRIVERS, ("urgent", "low"))])
         return fc.quantile_regression(ctx, obs, (5,), 1, cov)
 
-    return _levels(spark, sf, forecaster)
+    return _levels(spark, sf, forecaster, stride=28)
 
 
 @query("M8")
