@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
 import sequential_filters as sf
@@ -289,6 +290,24 @@ def test_samples_and_wrong_lengths(spark):
         assert [q.v for q in r.quantiles] == pytest.approx(np.quantile(x[:, step - 1], sc.QUANTILE_LEVELS))
 
 
+def test_a_failing_cluster_is_not_a_failing_model(spark, tmp_path, monkeypatch):
+    t, s = task_and_spec(spark, "ramp", dates=["2010-01-01"])
+    obs = monthly_ramp(spark)
+    save = bt.save_results
+    calls = []
+
+    def lost(*args, **kwargs):
+        calls.append(args)
+        if len(calls) == 1:
+            raise Py4JError("executor lost")
+        return save(*args, **kwargs)
+
+    monkeypatch.setattr(bt, "save_results", lost)
+    with pytest.raises(Py4JError):
+        bt.cached_backtest(spark, obs, t, s, {"last_value_naive": fc.last_value}, str(tmp_path / "r"))
+    assert bt.cached_backtest(spark, obs, t, s, {"last_value_naive": fc.last_value}, str(tmp_path / "r")).count() == 1
+
+
 def test_cached_backtest_computes_only_the_rest(spark, tmp_path):
     obs = monthly_ramp(spark).unionByName(monthly_ramp(spark).withColumn("series_id", F.lit("other")))
     t1, s1 = task_and_spec(spark, "ramp")

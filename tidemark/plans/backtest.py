@@ -5,6 +5,8 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors.exceptions.captured import UnknownException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions import calendar as cal, scoring as sc
@@ -145,7 +147,8 @@ def cached_backtest(
 ) -> DataFrame:
     """Load stored tasks, compute only the others, append them, and return everything asked for.
 
-    A forecaster that fails is logged and left out; the others are kept.
+    A forecaster that fails is logged and left out; the others are kept.  A failure of the cluster (a lost executor,
+    a broken gateway) is not the forecaster's and is raised.
     """
     asked = specs.select("spec_id", "task_id").distinct()
     for name, forecaster in forecasters.items():
@@ -162,6 +165,8 @@ def cached_backtest(
                 others = old.where(F.col("predictor_id") == name).join(touched, "spec_id", "left_semi").join(todo.select("spec_id", "task_id"), ["spec_id", "task_id"], "left_anti")
                 fresh = settled(fresh.unionByName(others.select(*fresh.columns)), "refreshed")
             save_results(fresh, path, overwrite=force_refresh)
+        except (Py4JError, UnknownException):
+            raise
         except Exception as error:  # noqa: BLE001 - one failing model must not lose the others
             log.warning("forecaster %s failed: %s", name, error)
     stored = load_results(spark, path)

@@ -224,12 +224,18 @@ def label_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("H7")
 def screen_then_test(spark: SparkSession, sf: str) -> DataFrame:
-    """Every rule, the stored label included, screened on the holdout first; only survivors are tested on train."""
+    """Every rule, the stored label included, screened on the holdout first; only survivors are tested on train.
+
+    Built-in rules see every window.  The stored label cannot judge a window without one; ``n_unlabelled`` says how many those were.
+    """
     m, bases = _labelled(spark, sf)
-    rules = {**ev.BUILTIN_RULES, "busy_day": lambda w: F.coalesce(F.col("answer") == "yes", F.lit(False))}
-    labelled = settled(ev.apply_rules(m.filter(~F.col("label_missing")).drop("match"), rules), "labelled")
-    v = study.screen_then_test(labelled.filter("split = 'holdout'"), labelled.filter("split = 'train'"), bases)
-    return v.select("series_id", "pattern_id", "stage", "graduates", "why_not")
+    m = settled(m.drop("match"), "windows")
+    by_label = {"busy_day": lambda w: F.col("answer") == "yes"}
+    judged = settled(ev.apply_rules(m, ev.BUILTIN_RULES).unionByName(ev.apply_rules(m.filter(~F.col("label_missing")), by_label)), "judged")
+    v = study.screen_then_test(judged.filter("split = 'holdout'"), judged.filter("split = 'train'"), bases)
+    without = m.filter("label_missing").groupBy("series_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("pattern_id", F.lit("busy_day"))
+    told = v.join(without, ["series_id", "pattern_id"], "left").withColumn("n_unlabelled", F.coalesce("_n", F.lit(0)))
+    return told.select("series_id", "pattern_id", "stage", "graduates", "why_not", "n_unlabelled")
 
 
 @query("A28 J10", sql("days", """
