@@ -113,7 +113,7 @@ def visible_state(
     return out.withColumn("n_visible", F.coalesce("n_visible", F.lit(0).cast("long")))
 
 
-_STAMP = 26  # characters of a stamp with microseconds
+STAMP = 26  # characters of a stamp with microseconds
 
 
 def vintages(origins: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,7 +123,7 @@ def vintages(origins: DataFrame, observations: DataFrame) -> tuple[DataFrame, Da
     fills must be made of the visible rows alone.  The copies are as many as those origins'
     histories hold.  ``root_id`` keeps the series; :func:`root` reads it from the new id.
     """
-    own = F.concat(F.rpad(F.col("as_of").cast("string"), _STAMP, " "), F.col("series_id"))
+    own = F.concat(F.rpad(F.col("as_of").cast("string"), STAMP, " "), F.col("series_id"))
     moments = origins.select("series_id", "as_of").distinct()
     seen = observations.join(moments, "series_id").filter(released() <= F.col("as_of"))
     rows = seen.select(own.alias("series_id"), F.col("series_id").alias("root_id"), *[c for c in observations.columns if c != "series_id"])
@@ -132,7 +132,7 @@ def vintages(origins: DataFrame, observations: DataFrame) -> tuple[DataFrame, Da
 
 def root(vintage: Column) -> Column:
     """The series behind an id made by :func:`vintages`."""
-    return F.substr(vintage, F.lit(_STAMP + 1))
+    return F.substr(vintage, F.lit(STAMP + 1))
 
 
 def value_at_or_before(

@@ -8,6 +8,7 @@ accumulated once along each series and read off at the origins.
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
 from collections.abc import Callable, Sequence
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions import calendar as cal, scoring as sc
 from tidemark.functions.text import first_json_object
-from tidemark.operators import asof, filters, quantreg
+from tidemark.operators import asof, boosting, filters, quantreg
 from tidemark.operators.features import fill_gaps
 from tidemark.operators.logistic import fit_at_origins  # noqa: F401 - part of this module's interface
 from tidemark.operators.ordered import exact_percentiles, lags, row_index, trailing as trailing_rows
@@ -344,50 +345,59 @@ def quantile_regression(
     return _predictions(df, "quantile_regression", point=sc.quantile_at(q, 0.5), quantiles=q, metadata=told)
 
 
+def refit_dates(ctx: DataFrame, months: int = 12) -> list[dt.datetime]:
+    """The first origin and every ``months`` months after it, up to the last origin."""
+    span = ctx.agg(F.min("as_of").alias("lo"), F.max("as_of").alias("hi"))
+    found = span.select(F.sequence("lo", "hi", F.make_ym_interval(F.lit(0), F.lit(months))).alias("cuts")).first()
+    return found["cuts"] or []
+
+
 def boosted_regression(
-    ctx: DataFrame, observations: DataFrame, horizons: Sequence[int], train_until: str, n_lags: int = 3, max_iter: int = 20
+    ctx: DataFrame, observations: DataFrame, horizons: Sequence[int], n_lags: int = 3, covariates: DataFrame | None = None, *,
+    refits: Sequence[dt.datetime] | None = None, n_trees: int = 20, depth: int = 2, rate: float = 0.2,
 ) -> DataFrame:
-    """Gradient-boosted trees per horizon, fitted once on outcomes known by ``train_until``.
+    """Gradient-boosted quantile trees per horizon, refitted at dates on outcomes released by then.
 
-    One model serves all series (lags are scaled by the current value).  Bands are
-    percentiles of the residuals on the last fifth of the training span, per horizon.
+    An origin is served by the last refit at or before it; the default (:func:`refit_dates`) is the first origin and
+    each year after, so every origin has one.  An origin has no row if nothing was known to fit on at its refit, or its features lack a value.
+    One model serves all series: differences from the current value are in units of its size.  Each refit gets its own copy of
+    the rows it may see, so rows are copied once per later refit.  ``covariates`` is wide, as :func:`known_covariates` gives it.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    cutoff = F.lit(train_until).cast("timestamp_ntz")
-    names = [f"_s{i}" for i in range(1, n_lags)]
+    cuts = sorted(refits) if refits is not None else refit_dates(ctx)
+    cov = [c for c in covariates.columns if c not in ("series_id", "timestamp")] if covariates is not None else []
+    k = n_lags + len(cov)
+    each_cut = F.array(*[F.lit(c).cast("timestamp_ntz") for c in cuts]) if cuts else F.array().cast("array<timestamp_ntz>")
 
     def scaled(rows: DataFrame) -> DataFrame:
-        lagged = lag_table(rows, n_lags, max(horizons)).filter((F.col("value") > 0) & F.col("x").isNotNull())
-        shares = {name: F.col(f"_l{i}") / F.col("value") for i, name in enumerate(names, start=1)}
-        return lagged.withColumns(shares | {"_month": F.month("timestamp").cast("double")})
+        lagged = lag_table(rows, n_lags, max(horizons), covariates).filter(F.col("x").isNotNull())
+        size = F.when(F.col("value") == 0, F.lit(1.0)).otherwise(F.abs("value"))
+        past = [(F.col(f"_l{i}") - F.col("value")) / size for i in range(1, n_lags)]
+        x = F.array(*past, F.month("timestamp").cast("double"), *[F.col(f"`{c}`").cast("double") for c in cov])
+        return lagged.withColumn("size", size).withColumn("features", x)
 
     @cut_first
     def newest(ctx: DataFrame, rows: DataFrame) -> DataFrame:
-        return asof.state_at(ctx, scaled(rows), KEY, "as_of", asof.released(), {"_x": asof.latest("value", *names, "_month")})
-
-    assembler = VectorAssembler(inputCols=[*names, "_month"], outputCol="features")
-    rows = assembler.transform(settled(scaled(asof.as_of(observations, train_until)), "lags"))
-    here = newest(ctx.filter(F.col("as_of") >= cutoff), observations).filter(F.col("_x").isNotNull())
-    here = here.select(*[c for c in here.columns if c != "_x"], *[F.col(f"_x.{c}").alias(c) for c in ("value", *names, "_month")])
-    here = assembler.transform(settled(here, "newest"))
-    out = None
-    for h in horizons:
-        train = rows.filter(F.col(f"_k{h}") <= cutoff).withColumn("label", F.col(f"_y{h}") / F.col("value"))
-        # Any edge near four fifths will do, so a sketch finds it.
-        edge = train.agg(F.percentile_approx(F.unix_seconds(F.col("timestamp").cast("timestamp")), 0.8).alias("edge"))
-        split = train.join(F.broadcast(edge)).withColumn("_late", F.unix_seconds(F.col("timestamp").cast("timestamp")) > F.col("edge"))
-        model = GBTRegressor(maxIter=max_iter, maxDepth=3, seed=0).fit(split.filter(~F.col("_late")))
-        late = model.transform(split.filter("_late")).select(F.lit(0).alias("_all"), (F.col("label") - F.col("prediction")).alias("_e"))
-        levels = {f"r{i}": q for i, q in enumerate(sc.QUANTILE_LEVELS)}
-        residual = exact_percentiles(late, ["_all"], "_e", levels).select(F.array(*levels).alias("_res"))
-        scored = model.transform(here).join(F.broadcast(residual)).withColumn("horizons", F.array(F.lit(h)))
-        df = horizons_of(scored)
-        q = sc.quantiles_of(lambda lv: F.col("value") * (F.col("prediction") + F.element_at("_res", sc.QUANTILE_LEVELS.index(lv) + 1)))
-        part = _predictions(df, "boosted_regression", point=sc.quantile_at(q, 0.5), quantiles=q)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return asof.state_at(ctx, scaled(rows), KEY, "as_of", asof.released(), {"_x": asof.latest("value", "size", "features")})
+
+    asked = observations.select("series_id").distinct().select("series_id", F.explode(each_cut).alias("as_of"))
+    _, seen = asof.vintages(asked, observations)
+    cut = F.array_position(each_cut, F.rtrim(F.substring("series_id", 1, asof.STAMP)).cast("timestamp_ntz")) - 1
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_y{h}").alias("y")) for i, h in enumerate(horizons)]))
+    train = scaled(settled(seen, "vintages")).select(cut.alias("cut"), "value", "size", "features", ahead.alias("e")).filter("e.y IS NOT NULL")
+    examples = train.select(
+        (F.col("cut") * len(horizons) + F.col("e.i")).cast("int").alias("model"), F.col("features").alias("x"),
+        ((F.col("e.y") - F.col("value")) / F.col("size")).alias("y"),
+    )
+    forest = boosting.fit_forest(examples, len(cuts) * len(horizons), k, n_trees=n_trees, depth=depth, rate=rate)
+    here = newest(ctx, observations).withColumn("_cut", F.size(F.filter(each_cut, lambda c: c <= F.col("as_of"))) - 1)
+    here = here.filter(F.col("_x").isNotNull() & (F.col("_cut") >= 0)).withColumn("horizons", F.array(*[F.lit(h) for h in horizons]))
+    df = horizons_of(settled(here, "newest"))
+    model = (F.col("_cut") * len(horizons) + F.array_position(F.array(*[F.lit(h) for h in horizons]), F.col("horizon")) - 1).cast("int")
+    df = df.withColumn("_model", model).withColumn("_q", boosting.forecast_with(forest, F.col("_model"), F.col("_x.features"))).filter(F.col("_q").isNotNull())
+    q = sc.quantiles_from_array(F.transform("_q", lambda v: F.col("_x.value") + F.col("_x.size") * v))
+    n_train = F.get(F.array(*[F.lit(int(n)) for n in forest.n]), F.col("_model")) if cuts else F.lit(0)
+    told = F.to_json(F.struct(F.get(each_cut, F.col("_cut")).cast("string").alias("refit"), n_train.alias("n_train")))
+    return _predictions(df, "boosted_regression", point=sc.quantile_at(q, 0.5), quantiles=q, metadata=told)
 
 
 # --- stored forecasts ---------------------------------------------------------------

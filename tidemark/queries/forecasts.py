@@ -476,8 +476,24 @@ def covariate_regression(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("M8")
 def boosted_regression(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted trees fitted once on outcomes known by the end of 1999, forecasting later origins."""
-    return _levels(spark, sf, lambda c, o: fc.boosted_regression(c, o, (5,), "1999-12-31", max_iter=5))
+    """Boosted quantile trees, refitted every year on outcomes known by then; every warmed-up origin has a forecast."""
+    return _levels(spark, sf, lambda c, o: fc.boosted_regression(c, o, (5,), n_trees=6))
+
+
+@query("M8", sql("context obs", """
+, cut AS (SELECT unnest(generate_series(min(as_of), max(as_of), INTERVAL 1 YEAR)) AS refit FROM context),
+ahead AS (SELECT c.refit, o.series_id, count(*) OVER w AS back, lead(o.released_at, 5) OVER w AS known
+  FROM obs o JOIN cut c ON o.released_at <= c.refit WINDOW w AS (PARTITION BY c.refit, o.series_id ORDER BY o.timestamp)),
+fitted AS (SELECT refit, count(*) FILTER (WHERE back >= 3 AND known IS NOT NULL) AS n_train FROM ahead GROUP BY 1),
+served AS (SELECT max(cut.refit) AS refit, c.series_id, c.as_of FROM context c JOIN cut ON cut.refit <= c.as_of GROUP BY c.series_id, c.as_of)
+SELECT CAST(refit AS VARCHAR) AS refit, CAST(n_train AS BIGINT) AS n_train, count(*) AS n_origins FROM served JOIN fitted USING (refit) GROUP BY 1, 2"""))
+def boosted_refits(spark: SparkSession, sf: str) -> DataFrame:
+    """Examples behind each refit of the boosted trees and the origins that it serves, read off the forecasts themselves."""
+    obs, t, s = setup(spark, sf)
+    ctx = bt.warmed_up(fc.context(bt.origin_table(t, s), obs))
+    told = F.from_json("metadata", "refit string, n_train long")
+    made = fc.boosted_regression(ctx, obs, (5,), n_trees=1).select(told.alias("m"))
+    return made.groupBy(F.col("m.refit").alias("refit"), F.col("m.n_train").alias("n_train")).agg(F.count(F.lit(1)).alias("n_origins"))
 
 
 _MACRO = """
