@@ -19,6 +19,7 @@ from tidemark.functions import calendar as cal
 from tidemark.functions.stats import fisher_greater, population_lift
 from tidemark.functions.text import fixed_text
 from tidemark.operators import asof
+from tidemark.operators.bootstrap import RESAMPLES, paired_bootstrap
 from tidemark.operators.ordered import expanding_percentiles, row_index
 from tidemark.session import settled
 
@@ -35,7 +36,6 @@ CLUSTER_GAP = 1
 CONTROL_REACH = 126
 CONTROL_ZONE = 2
 POOL_MULTIPLE = 5
-RESAMPLES = 2000
 SEED = 0
 
 
@@ -490,27 +490,7 @@ def unexplained_changes(rates: DataFrame, announcements: DataFrame, within_days:
     return last.filter(F.col("_a").isNull() | (cal.plus_days("_a", within_days) < F.col("timestamp"))).drop("_a")
 
 
-# --- paired bootstrap ---------------------------------------------------------------------------------
-
-
-def paired_bootstrap(diffs: DataFrame, keys: Sequence[str], resamples: int = RESAMPLES, level: float = 0.90, seed: int = SEED) -> DataFrame:
-    """Percentile interval of the mean difference, resampling origins with replacement.
-
-    ``diffs`` has the keys, a unique ``as_of`` and ``diff``.  Every row stands for one draw
-    slot in each resample and names the position it draws by hash, so draws are repeatable
-    after a lost executor; the positions are then looked up with an equi-join and summed
-    per resample on the map side.
-    """
-    keys = list(keys)
-    numbered = row_index(diffs.select(*keys, "as_of", "diff"), keys, "as_of", "_pos")
-    size = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    draws = numbered.join(size, keys).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).select(
-        *keys, "_b", (F.pmod(F.xxhash64(F.lit(seed), *keys, "_b", "_pos"), F.col("_n")) + 1).alias("_pos")
-    )
-    means = draws.join(numbered.select(*keys, "_pos", "diff"), [*keys, "_pos"]).groupBy(*keys, "_b").agg(F.avg("diff").alias("_m"))
-    tail = (1 - level) / 2
-    bounds = means.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
-    return bounds.select(*keys, F.col("_q")[0].alias("diff_lo"), F.col("_q")[1].alias("diff_hi"))
+# --- paired comparison of arms ---------------------------------------------------------------------------------
 
 
 def brier_board(scored: DataFrame, reference: str, keys: Sequence[str] = ("spec_id",)) -> DataFrame:

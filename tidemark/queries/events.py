@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import stats
-from tidemark.operators import analysis as an, events as ev, forecast as fc
+from tidemark.operators import analysis as an, bootstrap as bs, events as ev, forecast as fc
 from tidemark.plans import backtest as bt, study
 from tidemark.queries.forecasts import _SHOCK_ORIGINS, shock_setup
 from tidemark.queries.registry import query
@@ -314,10 +314,21 @@ def arm_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(an.arm_summary(_arms(spark, sf).withColumn("outcome", F.col("actual"))), 8, "brier", "p_before_shock", "p_before_calm", "separation")
 
 
-@query("A33 J16")
+@query("A33 J16", sql("prices", _ARMS + f"""
+, s AS (SELECT 'next_' || series_id AS task_id, as_of, predictor_id, probability, y, (probability - y) * (probability - y) AS score FROM arms),
+board AS (SELECT task_id, predictor_id, count(*) AS n, CAST(sum(y) AS BIGINT) AS shocks, avg(score) AS brier, avg(probability) FILTER (WHERE y = 1) AS up, avg(probability) FILTER (WHERE y = 0) AS down FROM s GROUP BY 1, 2),
+diffs AS (SELECT m.task_id, m.predictor_id, m.score - r.score AS diff, ('0x' || substr(md5(m.task_id || '|' || m.predictor_id || '|' || m.as_of::VARCHAR), 1, 8))::BIGINT % {bs.PRIME} AS draw
+  FROM s m JOIN s r ON r.task_id = m.task_id AND r.as_of = m.as_of AND r.predictor_id = 'historical_frequency' WHERE m.predictor_id <> 'historical_frequency'),
+drawn AS (SELECT *, {bs.weight_sql("draw", "b")} AS w FROM diffs, (SELECT unnest(range(0, {bs.RESAMPLES})) AS b)),
+means AS (SELECT task_id, predictor_id, b, sum(w * diff) / sum(w) AS m FROM drawn GROUP BY 1, 2, 3 HAVING sum(w) > 0),
+bands AS (SELECT task_id, predictor_id, quantile_cont(m, 0.05) AS lo, quantile_cont(m, 0.95) AS hi FROM means GROUP BY 1, 2)
+SELECT b.task_id, b.predictor_id, b.n, b.shocks, round(b.brier, 6) AS brier, round(b.up, 6) AS mean_p_shock, round(b.down, 6) AS mean_p_calm, round(b.up - b.down, 6) AS separation,
+  CASE WHEN r.brier > 0 THEN round(1 - b.brier / r.brier, 6) END AS brier_skill, round(lo, 6) AS diff_lo, round(hi, 6) AS diff_hi
+FROM board b LEFT JOIN board r ON r.task_id = b.task_id AND r.predictor_id = 'historical_frequency' LEFT JOIN bands d ON d.task_id = b.task_id AND d.predictor_id = b.predictor_id"""))
 def paired_brier_board(spark: SparkSession, sf: str) -> DataFrame:
     """Brier skill, separation and paired bootstrap interval against climatology, per series."""
-    return ev.brier_board(_arms(spark, sf), "historical_frequency", ("task_id",))
+    board = ev.brier_board(_arms(spark, sf), "historical_frequency", ("task_id",))
+    return rounded(board, 6, "brier", "mean_p_shock", "mean_p_calm", "separation", "brier_skill", "diff_lo", "diff_hi")
 
 
 @query("J14 J15 F25", sql("prices", _ARMS + """
