@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import calendar as cal, scoring as sc
 from tidemark.functions.stats import safe_ratio
-from tidemark.operators import asof
+from tidemark.operators import asof, forecast
 from tidemark.operators.ordered import exact_percentiles, lags, running, trailing, value_blocks
 
 # Name fragments that place a predictor in a family, checked in order.
@@ -531,19 +531,23 @@ def gap_positions(origins: DataFrame, sessions: DataFrame, rows: int = 8) -> Dat
     """Distance in business days from each origin's last visible session to the nearest missing one.
 
     Only the span of the last ``rows`` visible sessions is searched.  A missing day is a
-    weekday absent from the data; the newest missing day before each session is a running
-    maximum, so no calendar is paired with the origins.
+    weekday without a session released by the origin: one released later is missing until then, and marks nothing itself.
     """
+    seen = forecast.context(origins, sessions)
+    found = _nearest_missing(seen, sessions, rows)
+    return found.select(*origins.columns, "nearest_missing", "rows_from_end", "last_value")
 
+
+@forecast.cut_first
+def _nearest_missing(ctx: DataFrame, sessions: DataFrame, rows: int) -> DataFrame:
+    """The newest missing day before each session is a running maximum, so no calendar is paired with the origins."""
     prev = lags(sessions, ["series_id"], "timestamp", {"_p": ("timestamp", 1)})
     before = cal.plus_days("timestamp", -1)
     newest_missing = F.when(cal.is_weekday(before), before).otherwise(cal.plus_days(before, F.lit(4) - F.weekday(before)))
     marked = prev.withColumn("_gap", F.when((F.col("_p") < newest_missing) & F.col("_p").isNotNull(), newest_missing))
     carried = running(marked, ["series_id"], "timestamp", {"_missing": ("max", F.col("_gap"))})
     spanned = lags(carried, ["series_id"], "timestamp", {"_from": ("timestamp", rows - 1)})
-    found = asof.state_at(
-        origins, spanned, ["series_id"], "as_of", asof.released(), {"_s": asof.latest("value", "_missing", "_from")}
-    )
+    found = asof.state_at(ctx, spanned, ["series_id"], "as_of", asof.released(), {"_s": asof.latest("value", "_missing", "_from")})
     missing = F.when(F.col("_s._missing") > F.coalesce("_s._from", F.lit("1900-01-01").cast("timestamp_ntz")), F.col("_s._missing"))
     return found.withColumn("nearest_missing", missing).withColumn(
         "rows_from_end", F.when(missing.isNotNull(), cal.business_days_between(missing, F.col("_s.at")))

@@ -494,40 +494,30 @@ def with_intervals(predictions: DataFrame) -> DataFrame:
 MACRO_FEATURES = ("yield_spread", "rate_momentum", "inflation_gap", "unemployment_momentum")
 
 
-def _nth_from_last(probes: DataFrame, monthly: DataFrame, name: str, at: str, positions: Sequence[int]) -> DataFrame:
-    """Values at fixed row positions counted back from the last row stamped at/before ``at``."""
-    deep = {f"_{name}{p}": ("value", p - 1) for p in positions}
-    rows = lags(monthly, KEY, "timestamp", deep)
-    found = asof.state_at(
-        probes, rows.withColumn("series_id", F.lit("*")), ["series_id"], at, F.col("timestamp"), {f"_{name}": asof.latest("value", *deep)}
-    )
-    return found.select(*probes.columns, *[F.col(f"_{name}.{c}").alias(c) for c in deep])
-
-
 def macro_features(probes: DataFrame, rate: DataFrame, bond: DataFrame, prices: DataFrame, unemployment: DataFrame) -> DataFrame:
     """Leak-safe macro vector at every probe ``as_of`` (one series per input, columns as observations).
 
-    Daily inputs are read at ``as_of - 1 day``; monthly inputs drop their newest visible
-    row, so positions 2 and 14 from the end stand for "now" and "a year ago".
+    Daily inputs are read at ``as_of - 1 day`` (the rate also 90 days before that); monthly inputs drop their newest visible
+    row, so positions 2 and 14 from the end stand for "now" and "a year ago".  All inputs go through one as-of
+    fold: a row carries its stream's name and the first moment at which a probe may read it, and rows and probes meet by blocks of time.
     """
-    base = [c for c in probes.columns]
-    p = (
-        probes.withColumn("series_id", F.lit("*"))
-        .withColumn("_day", cal.plus_days("as_of", -1))
-        .withColumn("_past", cal.plus_days("as_of", -91))
-    )
-    one = lambda df: df.withColumn("series_id", F.lit("*"))
-    p = asof.value_at_or_before(p, one(rate), "_day", "_rate")
-    p = asof.value_at_or_before(p, one(rate), "_past", "_rate_then")
-    p = asof.value_at_or_before(p, one(bond), "_day", "_bond")
-    p = _nth_from_last(p, prices, "cpi", "as_of", (2, 14))
-    p = _nth_from_last(p, unemployment, "un", "as_of", (2, 14))
-    return p.select(
-        *[c for c in base if c != "series_id"],
-        (F.col("_bond.value") - F.col("_rate.value")).alias("yield_spread"),
-        (F.col("_rate.value") - F.col("_rate_then.value")).alias("rate_momentum"),
-        ((F.col("_cpi2") / F.col("_cpi14") - 1) * 100 - 2.0).alias("inflation_gap"),
-        (F.col("_un2") - F.col("_un14")).alias("unemployment_momentum"),
+    def stream(rows: DataFrame, name: str, delay: int, now: str = "value", then: str | None = None) -> DataFrame:
+        value = F.struct(F.col("timestamp").alias("at"), F.col(now).alias("now"), (F.col(then) if then else F.lit(None)).cast("double").alias("then"))
+        return rows.select(F.lit(name).alias("stream"), cal.plus_days("timestamp", delay).alias("from"), value.alias("row"))
+
+    def monthly(rows: DataFrame, name: str) -> DataFrame:
+        return stream(lags(rows.select(*KEY, "timestamp", "value"), KEY, "timestamp", {"_now": ("value", 1), "_then": ("value", 13)}), name, 0, "_now", "_then")
+
+    rows = stream(rate, "rate", 1).unionByName(stream(rate, "rate_then", 91)).unionByName(stream(bond, "bond", 1))
+    rows = rows.unionByName(monthly(prices, "cpi")).unionByName(monthly(unemployment, "un"))
+    folds = {f"_{n}": ("max", F.when(F.col("stream") == n, F.col("row"))) for n in ("rate", "rate_then", "bond", "cpi", "un")}
+    found = asof.state_at(probes.drop("series_id"), rows, [], "as_of", F.col("from"), folds)
+    return found.select(
+        *[c for c in probes.columns if c != "series_id"],
+        (F.col("_bond.now") - F.col("_rate.now")).alias("yield_spread"),
+        (F.col("_rate.now") - F.col("_rate_then.now")).alias("rate_momentum"),
+        ((F.col("_cpi.now") / F.col("_cpi.then") - 1) * 100 - 2.0).alias("inflation_gap"),
+        (F.col("_un.now") - F.col("_un.then")).alias("unemployment_momentum"),
     )
 
 

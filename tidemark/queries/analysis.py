@@ -469,20 +469,38 @@ def arm_labels(spark: SparkSession, sf: str) -> DataFrame:
     return an.longest_prefix_label(e, "name", {"click": "Clicks", "click_1": "Special", "error": "Errors"}).select("event_id", "arm")
 
 
-@query("A44 C7", sql("origins prices", f"""
-, o AS (SELECT DISTINCT p.series_id, og.as_of FROM origins og, (SELECT DISTINCT series_id FROM prices) p),
-vis AS (SELECT o.series_id, o.as_of, p.timestamp, row_number() OVER (PARTITION BY o.series_id, o.as_of ORDER BY p.timestamp DESC) AS r FROM o JOIN prices p ON p.series_id = o.series_id AND p.released_at <= o.as_of),
-w AS (SELECT series_id, as_of, max(timestamp) AS last_at, min(timestamp) AS from_at, (count(*) = 8) AS full8 FROM vis WHERE r <= 8 GROUP BY 1, 2),
-cal AS (SELECT w.series_id, w.as_of, w.last_at, max(d) AS missing FROM w, unnest(generate_series(w.from_at, w.last_at, INTERVAL 1 DAY)) t(d) WHERE isodow(d) < 6 AND NOT EXISTS (SELECT 1 FROM prices p WHERE p.series_id = w.series_id AND p.timestamp = d) GROUP BY 1, 2, 3)
-SELECT w.series_id, w.as_of, c.missing AS nearest_missing FROM w LEFT JOIN cal c ON c.series_id = w.series_id AND c.as_of = w.as_of"""))
-def gap_positions(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest missing business day in the last eight visible sessions before each origin."""
-    p = settled(prices(spark, sf), "prices")
+def _gaps_sql(release: str) -> str:
+    return sql("origins prices", f"""
+, late AS (SELECT series_id, timestamp, {release} AS released_at FROM prices),
+o AS (SELECT DISTINCT p.series_id, og.as_of FROM origins og, (SELECT DISTINCT series_id FROM prices) p),
+vis AS (SELECT o.series_id, o.as_of, p.timestamp, row_number() OVER (PARTITION BY o.series_id, o.as_of ORDER BY p.timestamp DESC) AS r FROM o JOIN late p ON p.series_id = o.series_id AND p.released_at <= o.as_of),
+w AS (SELECT series_id, as_of, max(timestamp) AS last_at, min(timestamp) AS from_at FROM vis WHERE r <= 8 GROUP BY 1, 2),
+grid AS (SELECT w.series_id, w.as_of, d FROM w, unnest(generate_series(w.from_at, w.last_at, INTERVAL 1 DAY)) t(d) WHERE isodow(d) < 6),
+cal AS (SELECT g.series_id, g.as_of, max(d) AS missing FROM grid g LEFT JOIN vis v ON v.series_id = g.series_id AND v.as_of = g.as_of AND v.timestamp = g.d AND v.r <= 8 WHERE v.r IS NULL GROUP BY 1, 2)
+SELECT w.series_id, w.as_of, c.missing AS nearest_missing FROM w LEFT JOIN cal c ON c.series_id = w.series_id AND c.as_of = w.as_of""")
+
+
+def _gaps(spark: SparkSession, sf: str, release=None) -> DataFrame:
+    p = prices(spark, sf)
+    p = settled(p if release is None else p.withColumn("released_at", release), "prices")
     grid = cal.every_nth(cal.calendar_grid(cal.ntz(START), cal.ntz(END), "D"), STRIDE)
     probes = p.select("series_id").distinct().withColumn("as_of", F.explode(grid))
     return an.gap_positions(probes, p, 8).filter(F.col("last_value").isNotNull()).select("series_id", "as_of", "nearest_missing")
 
 
+@query("A44 C7", _gaps_sql("released_at"))
+def gap_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest missing business day in the last eight visible sessions before each origin."""
+    return _gaps(spark, sf)
+
+
+@query("A44 C7", _gaps_sql("CASE WHEN day(timestamp) % 9 = 0 THEN released_at + INTERVAL 10 DAY ELSE released_at END"))
+def gaps_of_late_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where some sessions come out ten days late: until then their day is missing."""
+    late = F.dayofmonth("timestamp") % 9 == 0
+    return _gaps(spark, sf, F.when(late, cal.plus_days("released_at", 10)).otherwise(F.col("released_at")))
+
+
 @query("A51", """
 , x AS (SELECT 1) SELECT 1""".replace(", x AS (SELECT 1) SELECT 1", """
 WITH q AS (SELECT l_returnflag AS series_id, l_linenumber AS contract, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_partkey, l_suppkey, l_extendedprice)) AS close FROM lineitem GROUP BY 1, 2)
