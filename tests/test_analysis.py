@@ -85,6 +85,16 @@ def test_gap_positions(spark):
     assert got == {ts("2024-02-06"): (None, None), ts("2024-02-09"): (ts("2024-02-07"), 2)}
 
 
+def test_a_late_session_is_missing_until_it_is_out(spark):
+    days = pd.bdate_range("2024-01-01", "2024-02-09")
+    out = lambda d: "2024-02-08" if d == pd.Timestamp("2024-02-01") else d.strftime("%Y-%m-%d")
+    obs = observations(spark, [("a", d.strftime("%Y-%m-%d"), 1, out(d)) for d in days])
+    o = spark.createDataFrame([("a", ts(f"2024-02-0{d}")) for d in (1, 2, 7, 8)], "series_id string, as_of timestamp_ntz")
+    got = {r.as_of.day: (r.nearest_missing, r.rows_from_end) for r in an.gap_positions(o, obs).collect()}
+    gone = ts("2024-02-01")
+    assert got == {1: (None, None), 2: (gone, 1), 7: (gone, 4), 8: (None, None)}
+
+
 def test_volatility_regime_known(spark):
     x = np.exp(np.cumsum(np.tile([0.01, -0.01], 20)))
     obs = observations(spark, [("a", d.strftime("%Y-%m-%d"), float(v), None) for d, v in zip(pd.bdate_range("2024-01-01", periods=40), x)])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import logging
+import os
 from collections.abc import Callable
+from urllib.parse import quote
 
-from py4j.protocol import Py4JError
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.errors.exceptions.captured import UnknownException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,6 +20,7 @@ log = logging.getLogger(__name__)
 
 Forecaster = Callable[[DataFrame, DataFrame], DataFrame]
 RESULT_KEY = ["spec_id", "predictor_id", "task_id"]
+NOT_RUN = ("failed", "refused")
 
 
 def origin_table(tasks: DataFrame, specs: DataFrame) -> DataFrame:
@@ -179,29 +182,109 @@ def cached_backtest(
 
 
 def runs_per_spec(specs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Runs used and left per spec (``runs_left`` null = unlimited)."""
-    used = ledger.groupBy("spec_id").agg(F.count(F.lit(1)).alias("_used"))
+    """Runs used and left per spec (``runs_left`` null = unlimited).  Runs that failed, or whose call was refused for another spec, do not count."""
+    counted = ledger.filter(~F.coalesce(F.col("status").isin(*NOT_RUN), F.lit(False))) if "status" in ledger.columns else ledger
+    used = counted.groupBy("spec_id").agg(F.count(F.lit(1)).alias("_used"))
     limits = specs.groupBy("spec_id").agg(F.max("max_runs").alias("max_runs"))
     out = limits.join(used, "spec_id", "left").withColumn("runs_used", F.coalesce("_used", F.lit(0).cast("long"))).drop("_used")
     return out.withColumn("runs_left", F.greatest(F.col("max_runs") - F.col("runs_used"), F.lit(0).cast("long")))
 
 
+class RunClaims:
+    """Run numbers of specs, claimed by creating a marker that must not exist yet.
+
+    A claim is taken before the work, so two callers cannot spend one run; it stays taken if its caller dies, since what that
+    caller has seen is not known.  A run that reports its failure gives its place back under a later number.  Numbers
+    have no gaps.  The folder's file system must create files atomically: of two creators one must fail (HDFS and local or
+    mounted folders do; object stores without conditional writes do not).
+    """
+
+    def __init__(self, spark: SparkSession, ledger_path: str):
+        self._jvm, self._root = spark._jvm, f"{ledger_path.rstrip('/')}_claims"
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, *parts: str):
+        return self._jvm.org.apache.hadoop.fs.Path("/".join([self._root, *[p for p in parts if p]]))
+
+    def _folder(self, spec_id: str) -> str:
+        return f"spec={quote(spec_id, safe='')}"
+
+    def _state(self, spec_id: str, recorded: int) -> tuple[int, int]:
+        """The next number and how many runs have failed.  Runs ``recorded`` before there were markers count too."""
+        path = self._path(self._folder(spec_id))
+        names = [f.getPath().getName() for f in self._fs.listStatus(path)] if self._fs.exists(path) else []
+        taken = [int(n.split(".")[0]) for n in names if n.endswith(".run")]
+        return max([recorded, *taken]) + 1, sum(n.endswith(".failed") for n in names)
+
+    def _create(self, spec_id: str, name: str) -> bool:
+        """False where the marker is there already."""
+        folder = self._path(self._folder(spec_id))
+        self._fs.mkdirs(folder)
+        path = self._fs.makeQualified(self._path(self._folder(spec_id), name))
+        if path.toUri().getScheme() == "file":
+            # Hadoop's local file system looks first and creates after; the system call does both at once
+            try:
+                os.close(os.open(path.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            self._fs.create(path, False).close()
+        except Py4JJavaError:
+            if self._fs.exists(path):
+                return False
+            raise
+        return True
+
+    def take(self, spec_id: str, max_runs: int | None, recorded: int = 0) -> int | None:
+        """The claimed run number, or None where the budget is used up."""
+        while True:
+            number, failed = self._state(spec_id, recorded)
+            if max_runs is not None and number - failed > max_runs:
+                return None
+            if self._create(spec_id, f"{number}.run"):
+                return number
+
+    def fail(self, spec_id: str, number: int) -> None:
+        self._create(spec_id, f"{number}.failed")
+
+
 def evaluate(
     spark: SparkSession, observations: DataFrame, tasks: DataFrame, specs: DataFrame,
     forecasters: dict[str, Forecaster], ledger_path: str,
 ) -> DataFrame:
-    """A budgeted run: refuse specs that have used all their runs, then score and record the run."""
-    ledger = load_results(spark, ledger_path)
-    if ledger is not None:
-        over = runs_per_spec(specs, ledger).filter("runs_used >= max_runs").select("spec_id").limit(5).collect()
-        if over:
-            raise RuntimeError(f"run budget used up for {[r.spec_id for r in over]}")
-    scored = backtest(observations, tasks, specs, forecasters)
-    entry = specs.select("spec_id").distinct().withColumn("ran_at", F.current_timestamp().cast("timestamp_ntz"))
-    prior = runs_per_spec(specs, ledger).select("spec_id", (F.col("runs_used") + 1).alias("run_number")) if ledger is not None else (
-        specs.select("spec_id").distinct().withColumn("run_number", F.lit(1).cast("long"))
-    )
-    # Read the run number back from the ledger as written, not from a plan over a folder that is about to change.
-    entry.join(prior, "spec_id").write.mode("append").parquet(ledger_path)
-    number = spark.read.parquet(ledger_path).groupBy("spec_id").agg(F.max("run_number").alias("run_number"))
-    return scored.join(number, "spec_id")
+    """A budgeted run: claim a run of every spec, score, then record the run as done; refuse where a spec has none left.
+
+    The scores are written out before the run is recorded, so a run that the ledger calls done has been computed.  A run that raises is
+    recorded as failed, with its number, and does not count.  The specs of a call are configuration and read by the driver.
+    """
+    # older ledgers have no status
+    ledger = spark.read.option("mergeSchema", True).parquet(ledger_path) if _exists(spark, ledger_path) else None
+    limits = {r["spec_id"]: r["max_runs"] for r in specs.groupBy("spec_id").agg(F.max("max_runs").alias("max_runs")).collect()}
+    before = {r["spec_id"]: r["n"] for r in ledger.groupBy("spec_id").agg(F.max("run_number").alias("n")).collect()} if ledger is not None else {}
+    claims, held = RunClaims(spark, ledger_path), {}
+    for spec_id in sorted(limits):
+        number = claims.take(spec_id, limits[spec_id], before.get(spec_id) or 0)
+        if number is None:
+            _record(spark, claims, held, "refused", ledger_path)
+            raise RuntimeError(f"run budget used up for {spec_id!r}")
+        held[spec_id] = number
+    try:
+        scored = settled(backtest(observations, tasks, specs, forecasters), "run")
+    except BaseException:
+        _record(spark, claims, held, "failed", ledger_path)
+        raise
+    _record(spark, claims, held, "done", ledger_path)
+    number = spark.createDataFrame(sorted(held.items()), "spec_id string, run_number long")
+    return scored.join(F.broadcast(number), "spec_id")
+
+
+def _record(spark: SparkSession, claims: RunClaims, held: dict[str, int], status: str, ledger_path: str) -> None:
+    if not held:
+        return
+    if status in NOT_RUN:
+        for spec_id, number in held.items():
+            claims.fail(spec_id, number)
+    rows = spark.createDataFrame([(s, n, status) for s, n in sorted(held.items())], "spec_id string, run_number long, status string")
+    entry = rows.select("spec_id", F.current_timestamp().cast("timestamp_ntz").alias("ran_at"), "run_number", "status")
+    entry.coalesce(1).write.mode("append").parquet(ledger_path)
