@@ -41,11 +41,11 @@ def documents_at_origins(spark: SparkSession, sf: str) -> DataFrame:
     return docs.visible(d, o).select("source", "as_of", "n_documents", F.col("newest.doc_id").alias("newest_doc"))
 
 
-@query("J22", f"WITH {_DOCS} SELECT d.source, d.doc_id, CAST(o.o AS DATE) AS event_date FROM (SELECT DISTINCT publication_date AS o FROM docs WHERE day(publication_date) = 5) o JOIN docs d ON d.publication_date = o.o")
+@query("J22", f"WITH {_DOCS} SELECT d.source, d.doc_id, CAST(o.o AS DATE) AS event_date FROM (SELECT DISTINCT publication_date AS o FROM docs) o JOIN docs d ON d.publication_date = o.o")
 def document_for_date(spark: SparkSession, sf: str) -> DataFrame:
     """The documents published on each event date."""
     d = documents(spark, sf)
-    events = d.filter(F.dayofmonth("publication_date") == 5).select("source", F.col("publication_date").alias("event_date")).distinct()
+    events = d.select("source", F.col("publication_date").alias("event_date")).distinct()
     return docs.for_date(d, events).select("source", "doc_id", "event_date")
 
 
@@ -224,11 +224,11 @@ def dated_context_files(spark: SparkSession, sf: str) -> DataFrame:
   FROM decisions o JOIN decisions h ON h.series_id = o.series_id AND h.released_at <= o.timestamp - INTERVAL 7 DAY GROUP BY 1, 2, 3 HAVING count(*) >= 3)
 SELECT series_id, forecast_date, CASE WHEN d >= s AND d >= u THEN 'down' WHEN s >= u THEN 'same' ELSE 'up' END AS predicted,
   CASE WHEN (CASE WHEN d >= s AND d >= u THEN -1 WHEN s >= u THEN 0 ELSE 1 END) = actual THEN 'correct' ELSE 'incorrect' END || '_' || CASE WHEN day(forecast_date) % 2 = 0 THEN 'aligned' ELSE 'misaligned' END AS quadrant
-FROM probs WHERE month(forecast_date) % 3 <> 0"""))
+FROM probs"""))
 def rationale_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Forecast, release document and outcome joined; events without a document are skipped."""
+    """Forecast, release document and outcome joined."""
     events = decisions(spark, sf)
-    releases = events.filter(F.month("timestamp") % 3 != 0).select("series_id", F.to_date("timestamp").alias("publication_date"), F.concat(F.date_format("timestamp", "yyyy-MM-dd"), F.lit("_en")).alias("doc_id"))
+    releases = events.select("series_id", F.to_date("timestamp").alias("publication_date"), F.concat(F.date_format("timestamp", "yyyy-MM-dd"), F.lit("_en")).alias("doc_id"))
     p = decision_forecasts(spark, sf).withColumn("alignment", (F.dayofmonth("forecast_date") % 2 == 0).cast("double"))
     out = study.rationale_alignment(p, releases, events, category_column())
     return out.select("series_id", "forecast_date", "predicted", "quadrant")

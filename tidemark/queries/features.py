@@ -71,11 +71,11 @@ def strided_origins(spark: SparkSession, sf: str) -> DataFrame:
     return cal.origins(specs).select("series_id", "frequency", "as_of")
 
 
-@query("C1", "SELECT DISTINCT o_orderpriority AS series_id, o_orderdate AS as_of FROM orders WHERE o_orderstatus = 'P'")
+@query("C1", "SELECT DISTINCT o_orderpriority AS series_id, o_orderdate AS as_of FROM orders")
 def explicit_origins(spark: SparkSession, sf: str) -> DataFrame:
     """An explicit origin list (collected per spec, in order) wins over the grid."""
-    dates = table(spark, sf, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_orderpriority").alias("series_id")).agg(F.collect_set("o_orderdate").alias("origin_dates"))
-    specs = dates.withColumn("start", cal.ntz("1995-01-01")).withColumn("end", cal.ntz("2002-01-01")).withColumn("stride", F.lit(1)).withColumn("frequency", F.lit("D"))
+    dates = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series_id")).agg(F.collect_set("o_orderdate").alias("origin_dates"))
+    specs = dates.withColumn("start", cal.ntz("1990-01-01")).withColumn("end", cal.ntz("2002-01-01")).withColumn("stride", F.lit(1)).withColumn("frequency", F.lit("D"))
     return cal.origins(specs).select("series_id", "as_of")
 
 
