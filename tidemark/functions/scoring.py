@@ -19,6 +19,7 @@ METRIC_OF_PAYLOAD = {"continuous": "crps", "binary": "brier", "categorical": "rp
 MATCH_TOLERANCE = 1e-9
 SUM_TOLERANCE = 1e-6
 RENORMALISE_TOLERANCE = 0.05
+EDGE = 1e-9  # a sum on the tolerance counts as within it, whatever the last bits of the addition
 
 
 # --- building and reading quantile payloads ---------------------------------
@@ -243,7 +244,7 @@ def spec_issues() -> Column:
 def renormalised(probs: Column) -> Column:
     """Divide by the sum when it is positive and within 5 % of one; null (rejected) otherwise."""
     total = F.aggregate(F.map_values(probs), F.lit(0.0), lambda a, v: a + v)
-    ok = (total > 0) & (F.abs(total - 1.0) <= RENORMALISE_TOLERANCE)
+    ok = (total > 0) & (F.abs(total - 1.0) <= RENORMALISE_TOLERANCE + EDGE)
     return F.when(ok, F.transform_values(probs, lambda _, v: v / total))
 
 

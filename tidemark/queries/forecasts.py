@@ -86,15 +86,15 @@ def decision_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 @query("J7 H8 W9", sql("rates announcements", """
 SELECT c.series_id, c.timestamp, c.value, c.previous
 FROM (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY timestamp) AS previous FROM rates) c
-JOIN (SELECT series_id, min(announced_at) AS lo, max(announced_at) + INTERVAL 7 DAY AS hi FROM announcements GROUP BY 1) s
+JOIN (SELECT series_id, min(announced_at) AS lo, max(announced_at) + INTERVAL 7 DAY AS hi FROM announcements WHERE kind = 'scheduled' GROUP BY 1) s
   ON s.series_id = c.series_id AND c.timestamp BETWEEN s.lo AND s.hi
 WHERE c.previous IS NOT NULL AND c.value <> c.previous
-  AND NOT EXISTS (SELECT 1 FROM announcements a WHERE a.series_id = c.series_id AND a.announced_at <= c.timestamp AND c.timestamp <= a.announced_at + INTERVAL 7 DAY)"""))
+  AND NOT EXISTS (SELECT 1 FROM announcements a WHERE a.kind = 'scheduled' AND a.series_id = c.series_id AND a.announced_at <= c.timestamp AND c.timestamp <= a.announced_at + INTERVAL 7 DAY)"""))
 def unexplained_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Level changes with no announcement in the week before (range anti join)."""
+    """Level changes with no scheduled announcement in the week before (range anti join)."""
     from tidemark.operators import events as ev
 
-    return ev.unexplained_changes(step_rates(spark, sf), announcements(spark, sf)).select("series_id", "timestamp", "value", "previous")
+    return ev.unexplained_changes(step_rates(spark, sf), announcements(spark, sf, "scheduled")).select("series_id", "timestamp", "value", "previous")
 
 
 @query("J8", sql("monthly_origins obs", """
@@ -629,8 +629,8 @@ def sampled_trajectories(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("M15 F14", sql("decisions", _DECISION_PROBS + """
 , noisy AS (SELECT *, 1.0 + ((day(forecast_date) % 13) - 6) / 100.0 AS k FROM probs)
-SELECT series_id, as_of, round(p_down * k / (k * (p_down + p_same + p_up)), 8) AS p_down, abs(k * (p_down + p_same + p_up) - 1) <= 0.05 AS accepted FROM noisy WHERE abs(k - 1) <= 0.05
-UNION ALL SELECT series_id, as_of, NULL, false FROM noisy WHERE abs(k - 1) > 0.05"""))
+SELECT series_id, as_of, round(p_down * k / (k * (p_down + p_same + p_up)), 8) AS p_down, true AS accepted FROM noisy WHERE abs(k * (p_down + p_same + p_up) - 1) <= 0.05 + 1e-9
+UNION ALL SELECT series_id, as_of, NULL, false FROM noisy WHERE abs(k * (p_down + p_same + p_up) - 1) > 0.05 + 1e-9"""))
 def renormalised_distributions(spark: SparkSession, sf: str) -> DataFrame:
     """Elicited distributions whose sum is a little off are renormalised; the others rejected."""
     k = F.lit(1.0) + (F.dayofmonth("forecast_date") % 13 - 6) / F.lit(100.0)

@@ -133,22 +133,19 @@ cte("rates", "", """
 def announcements(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
     """Irregular calendar: the last order date of each month per priority.
 
-    Odd months are scheduled, months divisible by four unscheduled, the rest missing.
+    Odd months are scheduled, even months unscheduled.
     """
     last = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), cal.month_start("o_orderdate").alias("m")).agg(
         F.max("o_orderdate").alias("announced_at")
     )
     m = F.month("m")
-    named = last.withColumn("kind", F.when(m % 2 == 1, F.lit("scheduled")).when(m % 4 == 0, F.lit("unscheduled"))).drop("m")
-    named = named.filter(F.col("kind").isNotNull())
+    named = last.withColumn("kind", F.when(m % 2 == 1, F.lit("scheduled")).otherwise(F.lit("unscheduled"))).drop("m")
     return named if kind is None else named.filter(F.col("kind") == kind)
 
 
 cte("announcements", "", """
-  SELECT series_id, announced_at, kind FROM (
-    SELECT o_orderpriority AS series_id, max(o_orderdate) AS announced_at,
-           CASE WHEN month(o_orderdate) % 2 = 1 THEN 'scheduled' WHEN month(o_orderdate) % 4 = 0 THEN 'unscheduled' END AS kind
-    FROM orders GROUP BY 1, date_trunc('month', o_orderdate), 3) WHERE kind IS NOT NULL""")
+  SELECT o_orderpriority AS series_id, max(o_orderdate) AS announced_at, CASE WHEN month(o_orderdate) % 2 = 1 THEN 'scheduled' ELSE 'unscheduled' END AS kind
+  FROM orders GROUP BY 1, date_trunc('month', o_orderdate), 3""")
 
 DIRECTIONS = (("down", -1.0), ("same", 0.0), ("up", 1.0))
 
