@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import read_ranks
-from tidemark.llm.common import Cache, keyed, table_path, units
+from tidemark.llm.common import keyed, table_path
 from tidemark.llm.token_counts import load
 from tidemark.session import settled
 
@@ -41,14 +41,14 @@ PIECES = "doc_id {kind}, row_hash long, source string, start long, length long,
 
 
 def encoder(tokenizer: str, ranks: str | None):
-    """A function from a text to its ids as the tokenizer's library gives them, special strings included.
+    """A function from a text to an array of its ids as the tokenizer's library gives them, special strings included.
 
     With a rank file of the same vocabulary, texts go through the library made for rank files, at a third of the
     time; special strings are taken from the tokenizer's own file.  A vocabulary that differs is refused.
     """
     encode = load(table_path(tokenizer))
     if ranks is None:
-        return lambda text: encode.encode(text, add_special_tokens=False).ids
+        return lambda text: np.array(encode.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     import public_tokenizers
     import tiktoken
 
@@ -57,25 +57,20 @@ def encoder(tokenizer: str, ranks: str | None):
     if len(merges) + len(added) != encode.get_vocab_size() or any(i < len(merges) for i in added.values()):
         raise ValueError("the rank file has another vocabulary than the tokenizer")
     same = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=added)
-    return lambda text: same.encode(text, allowed_special="all")
+    return lambda text: same.encode_to_numpy(text, allowed_special="all")
 
 
 def tokenised(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, row_hash, source, n, ids``: each document's ids and the end id, as little-endian 16-bit integers where the vocabulary fits, else 32-bit ones."""
+    """``doc_id, row_hash, source, n, ids``: each document's ids and the end id, as little-endian 16-bit integers where the vocabulary fits, else 32-bit ones.
+
+    Whole texts go to the library at once; a cache of the pieces between spaces took twice its time.
+    """
     width = "<u2" if max(load(table_path(tokenizer)).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer, ranks)
-
-        def ids(text: str) -> bytes:
-            return np.array(encode(text), dtype=width).tobytes()
-
-        first, later, end = Cache(ids, room=10_000), Cache(lambda u: ids(" " + u)), np.array([end_id], dtype=width).tobytes()
+        encode, end = encoder(tokenizer, ranks), np.array([end_id], dtype=width).tobytes()
         for batch in slices(batches):
-            out = []
-            for text in batch["text"]:
-                head, *rest = units(text)
-                out.append(first[head] + b"".join(map(later.__getitem__, rest)) + end)
+            out = [encode(text).astype(width).tobytes() + end for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "row_hash": batch["row_hash"], "source": batch["source"], "n": [len(x) // int(width[-1]) for x in out], "ids": out})
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -101,15 +96,17 @@ def quantum_for(window: int, shares: list[float]) -> int:
     return 1 << max(int(most).bit_length() - 1, 0)
 
 
-def whole_ratios(weights: list[Fraction]) -> list[int]:
-    common = math.lcm(*(w.denominator for w in weights))
-    return [int(w * common) for w in weights]
+def whole_ratios(weights: list[Fraction] | list[float]) -> list[int]:
+    """The weights, decimal numbers as written, as whole numbers in the same ratio."""
+    exact = [Fraction(str(w)) for w in weights]
+    common = math.lcm(*(w.denominator for w in exact))
+    return [int(w * common) for w in exact]
 
 
 class Schedule:
     """Where the quanta of every queue go in the common stream."""
 
-    def __init__(self, tokens: list[int], weights: list[Fraction] | None, quantum: int) -> None:
+    def __init__(self, tokens: list[int], weights: list[Fraction] | list[float] | None, quantum: int) -> None:
         self.quantum, self.tokens = quantum, np.array(tokens, dtype=np.int64)
         self.full = self.tokens // quantum
         #: Whole numbers in the ratio of the rates at which the queues are served.
