@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.operators.ordered import expanding_percentiles
+from tidemark.operators.ordered import exact_percentiles, expanding_percentiles
 
 
 @pytest.mark.parametrize(("width", "span"), [(256, 64), (5, 3), (1, 1)])
@@ -27,3 +27,13 @@ def test_every_prefix(spark, width, span):
             want = values.expanding(3).quantile(q).dropna()
             assert np.allclose(mine[column], want, atol=1e-12) and len(mine) == len(want), (s, column)
         assert mine["t"].tolist() == [start + dt.timedelta(days=int(i)) for i in values.index[2:]]
+
+
+def test_value_ranges_are_computed_once(spark, capsys):
+    """What a sketch gives depends on the order its parts arrive in, so counts and carried totals must not each compute their own edges."""
+    x = np.random.default_rng(4).normal(size=600)
+    df = spark.createDataFrame([("k", float(v)) for v in x], "k string, v double").repartition(4)
+    out = exact_percentiles(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 0.95})
+    out.explain()
+    assert "percentile_approx" not in capsys.readouterr().out
+    assert [(r.a, r.b, r.c) for r in out.collect()] == [pytest.approx(tuple(np.quantile(x, [0.05, 0.5, 0.95])))]

@@ -175,10 +175,11 @@ def value_blocks(values: DataFrame, keys: Sequence[str], column: str, blocks: in
     """Add ``_bucket``, splitting each key's values into about equal ranges.
 
     The edges come from a mergeable sketch of bounded size; any edges are right, they only
-    decide how evenly the work spreads.
+    decide how evenly the work spreads.  What the sketch gives depends on the order in which its
+    parts meet, so the edges are stored: every use of the result sees the same ones.
     """
     levels = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    edges = values.groupBy(*keys).agg(F.percentile_approx(column, levels, 1_000).alias("_edges"))
+    edges = settled(values.groupBy(*keys).agg(F.percentile_approx(column, levels, 1_000).alias("_edges")), "edges")
     # Bisection over the sorted edges: how many lie below the value.
     start = F.struct(F.lit(0).alias("lo"), F.lit(blocks - 1).alias("hi"))
 
