@@ -110,10 +110,17 @@ def compressed_history_two_years(spark: SparkSession, sf: str) -> DataFrame:
 # --- text ---------------------------------------------------------------------------------------------------
 
 
-_PAGE_SQL = r"""
+# Blanks and line breaks as Python's strings know them; named characters are read with or without their semicolon, as in HTML.
+_BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_NAMED = {"quot": '"', "copy": "©", "middot": "·", "lt": "<", "gt": ">", "amp": "&"}  # the ampersand last: what it starts is no name
+_UNNAMED = "regexp_replace(h, '<[^>]*>', chr(10), 'g')"
+for _name, _char in _NAMED.items():
+    _UNNAMED = f"regexp_replace({_UNNAMED}, '&{_name};?', '{_char}', 'g')"
+
+_PAGE_SQL = rf"""
 WITH a AS (SELECT page_id, regexp_extract(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<article[^>]*>(.*?)</article>', 1) AS h FROM pages),
-t AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', chr(10), 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM a),
-l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(lower(x), 'share this page')) AS l FROM t),
+t AS (SELECT page_id, {_UNNAMED} AS t FROM a),
+l AS (SELECT page_id, list_filter(list_transform(string_split_regex(t, '[\n\x0B\f\r\x1C\x1D\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{_BLANK}|{_BLANK}$', '', 'g')), lambda x: x <> '' AND NOT starts_with(lower(x), 'share this page')) AS l FROM t),
 j AS (SELECT page_id, regexp_replace(regexp_replace(chr(10) || array_to_string(l, chr(10)), '(?s)\n(Footnotes|Content Type\(s\)).*$', ''), '^\n', '') AS text FROM l)
 SELECT page_id, length(text) AS n_chars, CAST((length(text) + 3) // 4 AS BIGINT) AS est_tokens, length(text) >= 400 AS usable, sha256(text) AS text_hash FROM j"""
 
