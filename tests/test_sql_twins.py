@@ -32,7 +32,7 @@ def lineitems():
     return pd.concat([pd.DataFrame({"l_returnflag": k, "l_shipdate": days.astype("datetime64[us]"), "l_extendedprice": v.round(2), "l_quantity": 1.0}) for k, v in price.items()])
 
 
-@pytest.mark.parametrize("name", ["pattern_evidence"])
+@pytest.mark.parametrize("name", ["pattern_evidence", "gate_without_interval"])
 def test_rules_where_one_series_has_no_shock(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, lineitem=lineitems())
     assert got == want and {r[0] for r in got} == {"quiet", "jumpy"}

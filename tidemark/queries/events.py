@@ -185,8 +185,8 @@ def candidate_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("series_id", "pattern_id", F.round("train_ci_low", 6).alias("train_ci_low"), F.array_join("reasons", ", ").alias("reasons"), "graduates", "why_not")
 
 
-@query("P21 P23 H6", sql("days", _RULES + """
-, t AS (SELECT * FROM e WHERE split = 'train'), h AS (SELECT * FROM e WHERE split = 'holdout')
+@query("P21 P23 H6", sql("days", _DEFINED + """
+, t AS (SELECT * FROM d WHERE split = 'train'), h AS (SELECT * FROM d WHERE split = 'holdout')
 SELECT t.series_id, t.pattern_id, concat_ws(', ', CASE WHEN NOT t.n_matches >= 5 THEN 'train_matches' END, CASE WHEN NOT coalesce(t.lift >= 2, false) THEN 'train_lift' END,
   CASE WHEN NOT coalesce(t.p_value < 0.05, false) THEN 'train_p_value' END, 'train_interval', CASE WHEN h.n_matches = 0 THEN 'holdout_untested' END,
   CASE WHEN h.n_matches > 0 AND NOT coalesce(h.lift >= 1.5, false) THEN 'holdout_lift' END, CASE WHEN h.n_matches > 0 AND NOT coalesce(h.p_value < 0.1, false) THEN 'holdout_p_value' END) AS reasons,
