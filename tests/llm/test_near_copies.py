@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
+from tidemark import session
 from tidemark.llm import set_join
 
 
@@ -83,3 +84,19 @@ def test_components_as_brute_force(spark, docs, small):
 def test_common_shingles_come_last():
     hashes, common = np.array([1, 5, 9, 12], dtype=np.uint64), np.array([5, 9], dtype=np.uint64)
     assert set_join.in_order(hashes, common, np.array([7, 3])).tolist() == [1, 12, 9, 5]
+
+
+def test_fingerprints_in_bk_trees_come_first(spark, monkeypatch, tmp_path):
+    """Near copies that the fingerprints find are linked through them, and the tables in between are gone afterwards."""
+    rng = random.Random(5)
+    words = [f"v{rng.randrange(5000)}" for _ in range(900)]
+    rows = [(k, " ".join([*words[:-1], f"end{k}"])) for k in range(12)] + [(50 + k, " ".join(rng.sample(words, 80))) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, asked, inner, confirmed = [], [], set_join.simhash.links, set_join._confirmed
+    monkeypatch.setattr(set_join.simhash, "links", lambda fps: found.append(fps.count()) or inner(fps))
+    monkeypatch.setattr(set_join, "_confirmed", lambda pairs, *rest: asked.append(pairs.distinct().count()) or confirmed(pairs, *rest))
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    kept = {r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, df, "").collect()}
+    assert kept == {0, *range(50, 58)} and len(found) == 1 and found[0] > 8
+    assert asked[0] >= 11 and asked[1:] == [0, 0]
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["near"]

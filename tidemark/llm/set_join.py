@@ -1,14 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: every pair at or above the threshold, none below.
+"""Near-duplicates: SimHash fingerprints searched in BK-trees, and the Jaccard similarity of word shingles.
+
+Fingerprints within 3 of 64 bits propose the first pairs (``simhash.links``); those whose whole sets of shingles are as
+similar as wanted are linked.  What the fingerprints miss or leave apart is then joined exactly, so that every pair at or
+above the threshold is connected and none below is linked.
 
 All documents order their distinct shingles alike.  Two sets of similarity ``t`` or more share one of the first
 ``n - ceil(t * n) + 1`` shingles of either, so only these prefixes meet, by a join on the shingle, and no such pair
 is missed.  Shingles frequent in a sample of the documents come last in the order: it keeps them out of prefixes and
-decides nothing else.  Sizes and places rule pairs out first, then the lowest 16 bits of all shingles, at a quarter of the
-bytes: what two sets share there is no less than what they share in full.  Only pairs left are compared in full.
+decides nothing else.  Only shingles that classes found so far still share are looked at.  Sizes and places rule pairs out
+first, then the lowest 16 bits of all shingles, at a quarter of the bytes: what two sets share there is no less than what
+they share in full.  Only pairs left are compared in full.
 
 Rows with one set of shingles are one node.  Pairs are tried against one node of each shingle's group first; nodes that
 are linked by then need no test against each other, and all pairs of a group that still cross components are tested after.
-Documents that share a rare shingle and are not linked by the first pass cost the square of their number.
+Documents that share a rare shingle and are not linked by then cost the square of their number.
 
 Shingles stand for their 64-bit hashes, sets for the hash of those.
 """
@@ -25,8 +30,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import keyed
 from tidemark.llm.components import components
+from tidemark.llm import simhash
 from tidemark.llm.simhash import shingle_hashes
-from tidemark.session import settled
+from tidemark.session import settled, temporary
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -58,17 +64,19 @@ def frequent(rows: DataFrame, width: int, sample_rows: int = 5_000, room: int =
 
 
 def prefixes(rows: DataFrame, kind: str, width: int, percent: int) -> DataFrame:
-    """``doc_id, row_hash, node, n, prefix``: the row's node, its number of shingles and the first of them in the common order."""
+    """``doc_id, row_hash, node, fp, n, prefix``: the row's node and fingerprint, its number of shingles and the first of them in the common order."""
     common, weight = frequent(rows, width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch["text"]]
+            every = [shingle_hashes(t, width) for t in batch["text"]]
+            sets = [np.unique(np.array(h, dtype=np.uint64)) for h in every]
+            fp = np.array([simhash.simhash(h) for h in every], dtype=np.uint64).view(np.int64)
             first = [in_order(s, common, weight)[: len(s) + (-len(s) * percent // 100) + 1 if len(s) else 0] for s in sets]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "row_hash": batch["row_hash"], "node": node, "n": [len(s) for s in sets], "prefix": [p.view(np.int64) for p in first]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "row_hash": batch["row_hash"], "node": node, "fp": fp, "n": [len(s) for s in sets], "prefix": [p.view(np.int64) for p in first]})
 
-    return rows.select("doc_id", "row_hash", "text").mapInPandas(run, f"doc_id {kind}, row_hash long, node long, n int, prefix array<long>")
+    return rows.select("doc_id", "row_hash", "text").mapInPandas(run, f"doc_id {kind}, row_hash long, node long, fp long, n int, prefix array<long>")
 
 
 def _possible(percent: int) -> Column:
@@ -80,21 +88,21 @@ def _possible(percent: int) -> Column:
 
 def _confirmed(pairs: DataFrame, marks: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are as similar."""
-    pairs = settled(pairs.select("a", "b").distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    one = marks.groupBy("node").agg(F.min("row_hash").alias("row_hash")).join(asked.hint("merge"), "node", "left_semi")
-    # rows of one hash have one text
-    found = rows.select("row_hash", "text").join(one.hint("merge"), "row_hash")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "row_hash": batch["row_hash"], "hashes": [shingle_set(t, width).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "hashes": [shingle_set(t, width).tobytes() for t in batch["text"]]})
 
-    # rows repeated in full: one of each
-    sets = settled(found.mapInPandas(run, "node long, row_hash long, hashes binary").dropDuplicates(["node"]).select("node", "hashes"), "sets")
-    close = settled(_as_similar(pairs, lowest(sets), "<u2", percent), "close")
-    whole = sets.select("node", F.col("hashes").alias("x"), (F.octet_length("hashes") / 8).cast("int").alias("n"))
-    return settled(_as_similar(close, whole, "<u8", percent), "confirmed")
+    with temporary(rows.sparkSession):
+        pairs = settled(pairs.select("a", "b").distinct(), "pairs")
+        asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+        one = marks.groupBy("node").agg(F.min("row_hash").alias("row_hash")).join(asked.hint("merge"), "node", "left_semi")
+        # rows of one hash have one text: one of each, where the join has put them side by side
+        found = rows.select("row_hash", "text").join(one.hint("merge"), "row_hash").dropDuplicates(["row_hash"])
+        sets = settled(found.select("node", "text").mapInPandas(run, "node long, hashes binary"), "sets")
+        close = settled(_as_similar(pairs, lowest(sets), "<u2", percent), "close")
+        whole = sets.select("node", F.col("hashes").alias("x"), (F.octet_length("hashes") / 8).cast("int").alias("n"))
+        return settled(_as_similar(close, whole, "<u8", percent), "confirmed", stay=True)
 
 
 def lowest(sets: DataFrame) -> DataFrame:
@@ -129,22 +137,37 @@ def _as_similar(pairs: DataFrame, sets: DataFrame, width: str, percent: int) ->
     return both.mapInPandas(test, "a long, b long")
 
 
+def alike(marks: DataFrame) -> DataFrame:
+    """``a, b``: pairs of nodes of one fingerprint, and of the fingerprints that BK-trees find within the radius."""
+    prints = settled(marks.groupBy("fp").agg(F.min("node").alias("a")), "prints")
+    same = marks.select("fp", F.col("node").alias("b")).join(prints.hint("merge"), "fp").where("a <> b").select("a", "b")
+    near = simhash.links(prints.select("fp")).select(F.col("a").alias("fp"), F.col("b").alias("fp2"))
+    near = near.join(prints.hint("merge"), "fp").join(prints.select(F.col("fp").alias("fp2"), F.col("a").alias("b")).hint("merge"), "fp2")
+    return same.unionAll(near.where("a <> b").select("a", "b"))
+
+
 def links(marks: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """``a, b``: nodes linked so that all pairs of nodes at the threshold or above it are connected; each link is such a pair."""
-    token = marks.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    heads = token.groupBy("token").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
-    shared = settled(token.join(heads.select("token", "head").hint("merge"), "token").distinct(), "shared")
-    head = shared.where("node = head").select("token", F.col("node").alias("a"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    star = shared.where("node <> head").join(head.hint("merge"), "token").where(_possible(percent)).select("a", F.col("node").alias("b"))
-    first = _confirmed(star, marks, rows, width, percent)
-    roots = components(first).withColumnRenamed("root", "known")
-    rooted = shared.drop("head").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
-    rooted = settled(rooted, "rooted")
-    open_ = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    rest = settled(rooted.join(open_.hint("merge"), "token", "left_semi"), "rest")
-    other = rest.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
-    cross = rest.join(other.hint("merge"), "token").where(F.col("node") < F.col("b")).where(F.col("root") != F.col("root2")).where(_possible(percent))
-    return first.unionAll(_confirmed(cross.select(F.col("node").alias("a"), "b"), marks, rows, width, percent))
+    with temporary(rows.sparkSession):
+        by_print = _confirmed(alike(marks), marks, rows, width, percent)
+        roots = components(by_print)
+        one = marks.select("node", "n", "prefix").dropDuplicates(["node"]).join(roots.hint("merge"), "node", "left")
+        token = one.select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("prefix").alias("pos", "token"))
+        heads = token.groupBy("token").agg(F.min(F.struct("node", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        heads = heads.select("token", F.col("head.node").alias("head"), F.col("head.root").alias("head_root"))
+        shared = settled(token.join(heads.hint("merge"), "token"), "shared")
+        head = shared.where("node = head").select("token", F.col("node").alias("a"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+        star = shared.where("root <> head_root").join(head.hint("merge"), "token").where(_possible(percent)).select("a", F.col("node").alias("b"))
+        first = by_print.unionAll(_confirmed(star, marks, rows, width, percent))
+        roots = components(first).withColumnRenamed("root", "known")
+        rooted = shared.drop("head", "head_root", "root").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
+        with temporary(rows.sparkSession):
+            rooted = settled(rooted, "rooted")
+            open_ = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+            rest = settled(rooted.join(open_.hint("merge"), "token", "left_semi"), "rest", stay=True)
+        other = rest.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
+        cross = rest.join(other.hint("merge"), "token").where(F.col("node") < F.col("b")).where(F.col("root") != F.col("root2")).where(_possible(percent))
+        return settled(first.unionAll(_confirmed(cross.select(F.col("node").alias("a"), "b"), marks, rows, width, percent)), "linked", stay=True)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,11 +181,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     if not 0 < percent <= 100:
         raise ValueError("the similarity must be over 0 and at most 100 percent")
     rows = keyed(docs, id_col=id_col, text_col=text_col)
-    marks = settled(prefixes(rows, docs.schema[id_col].dataType.simpleString(), width, percent), "prefixes")
-    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_hash")
-    nodes = settled(marks.groupBy("node").agg(F.min(order).alias("first")), "nodes")
-    found = components(links(marks, rows, width, percent))
-    rooted = settled(nodes.join(found.hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
-    firsts = settled(rooted.groupBy("root").agg(F.min("first").alias("first")), "firsts")
-    classes = settled(rooted.select("node", "root").join(firsts.hint("merge"), "root").select("node", "first"), "classes")
-    return marks.select("doc_id", "row_hash", "node").join(classes.hint("merge"), "node").select("doc_id", "row_hash", F.col("first.doc_id").alias("component_id"), (order == F.col("first")).alias("first_row"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    with temporary(docs.sparkSession):
+        marks = settled(prefixes(rows, kind, width, percent), "prefixes")
+        order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_hash")
+        nodes = settled(marks.groupBy("node").agg(F.min(order).alias("first")), "nodes")
+        found = components(links(marks, rows, width, percent))
+        rooted = settled(nodes.join(found.hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
+        firsts = settled(rooted.groupBy("root").agg(F.min("first").alias("first")), "firsts")
+        classes = settled(rooted.select("node", "root").join(firsts.hint("merge"), "root").select("node", "first"), "classes")
+        out = marks.select("doc_id", "row_hash", "node").join(classes.hint("merge"), "node").select("doc_id", "row_hash", F.col("first.doc_id").alias("component_id"), (order == F.col("first")).alias("first_row"))
+        return settled(out, "near", stay=True)
