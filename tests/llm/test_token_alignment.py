@@ -105,3 +105,11 @@ def test_empty_table_and_clashing_names(spark, empty):
     df = spark.createDataFrame([(1, "one two", 5, "x"), (2, None, 6, "y")], "doc_id long, text string, pair int, row string")
     assert sorted(r.n_a > 0 for r in ta.alignment_counts(df).collect()) == [False, True]
     assert {r.doc_id: r.groups for r in ta.aligned(df).collect()}[2] == ""
+
+
+def test_runs_of_texts_are_bounded_by_number_and_length():
+    from tidemark.llm.token_alignment import slices
+
+    assert list(slices([], 3, 10)) == []
+    assert list(slices([1, 1, 1, 1], 3, 10)) == [(0, 3), (3, 4)]
+    assert list(slices([4, 6, 1, 99, 0, 0], 9, 10)) == [(0, 2), (2, 3), (3, 4), (4, 6)]

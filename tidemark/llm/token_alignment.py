@@ -227,22 +227,35 @@ class Aligner:
             yield *totals, ";".join(map(said.__getitem__, codes.tolist())), pairs, weights
 
 
+def slices(lengths: list[int], most: int, chars: int) -> Iterator[tuple[int, int]]:
+    """Start and end of runs of at most ``most`` texts with at most ``chars`` characters together; a longer text is a run of its own."""
+    start = total = 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start == most or total + n > chars):
+            yield start, i
+            start, total = i, 0
+        total += n
+    if lengths:
+        yield start, len(lengths)
+
+
 _COUNTS = "n_a long, n_b long, n_groups long, n_links long"
 
 
-def aligned(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", with_groups: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
+def aligned(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", with_groups: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk: int = 2_048, chars: int = 4_000_000) -> DataFrame:
     """``doc_id``, counts, ``groups`` (null without ``with_groups``), ``groups_sha256``, and the document's different ``pairs``
     (A's id times B's vocabulary size plus B's id) with the ``times`` each is linked.
 
-    ``groups`` lists ids as ``a1,a2|b1;a3|b2,b3``.  ``chunk`` texts are aligned at once in a task.
+    ``groups`` lists ids as ``a1,a2|b1;a3|b2,b3``.  A task aligns up to ``chunk`` texts at once, fewer where they have more than ``chars``
+    characters together (a longer text goes alone): what texts share is then looked up once.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         aligner = Aligner(Pair(table_path(a), table_path(b)))
         for whole in batches:
-            for at in range(0, len(whole), chunk):
-                batch = whole.iloc[at : at + chunk]
+            for at, end in slices(whole["text"].map(len).tolist(), chunk, chars):
+                batch = whole.iloc[at:end]
                 rows = list(aligner.batch(batch["text"].tolist()))
                 out = pd.DataFrame([r[:4] for r in rows], columns=["n_a", "n_b", "n_groups", "n_links"], dtype="int64")
                 out.insert(0, "doc_id", batch["doc_id"].to_numpy())
