@@ -40,27 +40,31 @@ class Suffixes:
         """``starts`` (ascending) in suffix order."""
         return starts[np.argsort(self.full[starts], kind="stable")]
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Longest common prefixes of suffixes, to the depth at most and in steps of eight bytes below it."""
+    def common(self, a: np.ndarray, b: np.ndarray, least: int = 0) -> np.ndarray:
+        """Longest common prefixes of suffixes, to the depth at most and in steps of eight bytes below it; 0 for those under ``least``."""
         a, b, out = a.copy(), b.copy(), np.zeros(len(a), dtype=np.int64)
         whole = self.full[a] == self.full[b]
+        if least >= self.depth:
+            return np.where(whole, self.depth, 0)
         for size, rank in reversed(self.ranks):
             inside = np.maximum(a, b) < self.n
             same = np.zeros(len(a), dtype=bool)
             same[inside] = rank[a[inside]] == rank[b[inside]]
             step = size * same
             a, b, out = a + step, b + step, out + step
-        return np.where(whole, self.depth, np.minimum(out, self.depth - 1))
+        out = np.where(whole, self.depth, np.minimum(out, self.depth - 1))
+        return np.where(out >= least, out, 0)
 
 
 def nearest_smaller(values: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place the nearest earlier place of smaller value (-1: none) and the least ``common`` on the way.
 
     ``common[i]`` belongs between places i - 1 and i.  Every place first looks at its neighbour; while that
-    one is not smaller it goes on to the place its neighbour looks at, all places at once.
+    one is not smaller it goes on to the place its neighbour looks at, all places at once.  A way with nothing
+    in common ends there, as no place behind it has more: -1 and 0.
     """
     n = len(values)
-    at, least = np.arange(n) - 1, common.copy()
+    at, least = np.where(common > 0, np.arange(n) - 1, -1), common.copy()
     while True:
         todo = np.flatnonzero(at >= 0)
         todo = todo[values[at[todo]] >= values[todo]]
@@ -71,8 +75,8 @@ def nearest_smaller(values: np.ndarray, common: np.ndarray) -> tuple[np.ndarray,
         at[todo] = at[via]
 
 
-def previous_factors(suffixes: Suffixes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of ``starts`` (ascending) the longest match with an earlier and with a later one of them.
+def previous_factors(suffixes: Suffixes, starts: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``starts`` (ascending) the longest match with an earlier and with a later one of them; 0 for matches under ``least``.
 
     An earlier match of a suffix is longest at the previous or at the next smaller position in suffix
     order; a later one at the previous or next greater position.
@@ -81,7 +85,7 @@ def previous_factors(suffixes: Suffixes, starts: np.ndarray) -> tuple[np.ndarray
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     order = suffixes.order(starts)
     step = np.zeros(len(order), dtype=np.int64)
-    step[1:] = suffixes.common(order[:-1], order[1:])
+    step[1:] = suffixes.common(order[:-1], order[1:], least)
     back, turned = np.r_[0, step[1:][::-1]], order[::-1]
     place = np.argsort(order, kind="stable")
     out = []

@@ -9,8 +9,8 @@ falls into runs of about 85 strings, and equal strings always have equal anchors
 
 1. runs that are equal as a whole (hash of all their bytes) repeat in every string, without a look at the text;
 2. of anchors that have different runs, one representative of each different run goes to a shard of a few
-   thousand runs, whose suffix array, common prefixes, and previous and next smaller positions
-   give each string's longest earlier and later match;
+   thousand runs.  Runs are narrowed there to the strings that may be equal, then the shard's suffix array, common
+   prefixes, and previous and next smaller positions give each string's longest earlier and later match;
 3. an anchor with too many different runs for one shard is settled by halving instead: strings are grouped in
    segments around the anchor; a segment whose common core is unique has no repeat, one whose core occurs only
    within equal whole segments repeats in every string, the others are cut in four, down to single strings, compared by hash.
@@ -20,6 +20,7 @@ All three are exact but for 128-bit hash collisions, and none holds more than a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,31 +115,57 @@ ORDER = ("doc_id", "row_hash", "lo")
 RANGES = "array<struct<a:bigint,b:bigint>>"
 
 
-def _as_ranges(hit: np.ndarray) -> list[dict]:
-    """Runs of true values as ``{a, b}``, both included."""
-    edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
-    return [{"a": int(a), "b": int(b) - 1} for a, b in zip(edge[::2], edge[1::2])]
+def segments(lo: int, hi: int, pos: int, data: bytes, length: int, size: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """``segment, g1, g2, core`` for the segments of a run: g counts string starts back from the anchor, segment s holds g in [s * size, s * size + size).
+
+    Of these g1 to g2 are the run's.  The core is what all strings of the segment would cover, so equal strings lie in segments of equal cores.
+    """
+    at, least, most = pos - lo, pos - hi, pos - lo
+    for s in range(least // size, most // size + 1):
+        yield s, max(s * size, least), min(s * size + size - 1, most), data[at - s * size : at - (s * size + size - 1) + length]
+
+
+def narrowed(contexts: pd.DataFrame, length: int, size: int = 32) -> pd.DataFrame:
+    """The runs of a shard cut down to the strings from the first to the last segment whose core another run has too.
+
+    ``lo, hi`` and ``bytes`` are the narrower run's.  Strings beyond share no core, hence are equal to none.
+    """
+    cut = [list(segments(lo, hi, pos, data, length, size)) for lo, hi, pos, data in zip(contexts["lo"], contexts["hi"], contexts["pos"], contexts["bytes"])]
+    anchors = contexts["anchor"].tolist()
+    count = Counter((anchor, s, core) for anchor, parts in zip(anchors, cut) for s, _, _, core in parts)
+    which, lows, highs = [], [], []
+    for k, (anchor, pos, parts) in enumerate(zip(anchors, contexts["pos"].tolist(), cut)):
+        shared = [(g1, g2) for s, g1, g2, core in parts if count[anchor, s, core] > 1]
+        if shared:
+            which.append(k)
+            lows.append(pos - shared[-1][1])
+            highs.append(pos - shared[0][0])
+    kept = contexts.iloc[which]
+    data = [x[a - lo : b - lo + length] for x, lo, a, b in zip(kept["bytes"], kept["lo"], lows, highs)]
+    return kept.assign(lo=lows, hi=highs, bytes=data)
 
 
 def shard_matches(contexts: pd.DataFrame, length: int, first: bool) -> pd.DataFrame:
-    """Ranges of string starts, relative to each run, that have a match in another run of the shard (``first``: an earlier one)."""
-    contexts = contexts.sort_values(["z", "doc_id", "row_hash", "lo"])
+    """``doc_id, row_hash, a, b``: ranges of string starts (both included) that have a match in another run of the shard (``first``: an earlier one)."""
+    contexts = narrowed(contexts.sort_values(["z", "doc_id", "row_hash", "lo"]), length)
     texts = contexts["bytes"].tolist()
     size = np.array([len(t) for t in texts], dtype=np.int64)
     base, n = np.cumsum(size) - size, size - length + 1
     starts = np.repeat(base - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    earlier, later = previous_factors(Suffixes(b"".join(texts), length), starts)
-    hit = (earlier if first else np.maximum(earlier, later)) >= length
-    ends = np.cumsum(n)
-    found = [_as_ranges(hit[e - m : e]) for e, m in zip(ends.tolist(), n.tolist())]
-    return pd.DataFrame({"doc_id": contexts["doc_id"].array, "row_hash": contexts["row_hash"].array, "lo": contexts["lo"].array, "ranges": found})
+    earlier, later = previous_factors(Suffixes(b"".join(texts), length), starts, length)
+    hit = np.flatnonzero((earlier if first else np.maximum(earlier, later)) >= length)
+    own = np.repeat(np.arange(len(n)), n)[hit]
+    head = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (own[1:] != own[:-1])]) if len(hit) else hit
+    tail = np.r_[head[1:], len(hit)] - 1 if len(hit) else hit
+    at = contexts["lo"].to_numpy(dtype=np.int64)[own] + starts[hit] - base[own]
+    found = contexts.iloc[own[head]]
+    return pd.DataFrame({"doc_id": found["doc_id"].array, "row_hash": found["row_hash"].array, "a": at[head], "b": at[tail]})
 
 
 def _hot_matches(contexts: DataFrame, length: int, first: bool) -> DataFrame:
     """As :func:`shard_matches`, for anchors with any number of different runs; ``contexts`` is a table in files."""
     kind = contexts.schema["doc_id"].dataType.simpleString()
     out = None
-    # g counts string starts back from the anchor; a segment of size s holds g in [s * segment, s * segment + s)
     open_ = contexts.select("anchor", "whole", F.lit(None).cast("array<long>").alias("segments"))
     for size in (64, 16, 4, 1):
         todo = contexts.join(open_, ["anchor", "whole"])
@@ -147,13 +174,9 @@ def _hot_matches(contexts: DataFrame, length: int, first: bool) -> DataFrame:
             for batch in batches:
                 made = []
                 for r in batch.itertuples(index=False):
-                    least, most = r.pos - r.hi, r.pos - r.lo
-                    every = range(least // size, most // size + 1) if r.segments is None else [4 * s + j for s in r.segments for j in range(4)]
-                    at = r.pos - r.lo
-                    for s in every:
-                        g1, g2 = max(s * size, least), min(s * size + size - 1, most)
-                        if g1 <= g2:
-                            core = r.bytes[at - s * size : at - (s * size + size - 1) + length]
+                    at, inside = r.pos - r.lo, None if r.segments is None else set(r.segments)
+                    for s, g1, g2, core in segments(r.lo, r.hi, r.pos, r.bytes, length, size):
+                        if inside is None or s // 4 in inside:
                             union = r.bytes[at - g2 : at - g1 + length]
                             made.append((r.anchor, r.whole, s, g1, g2, xxhash.xxh3_128_digest(core), xxhash.xxh3_128_digest(union), r.doc_id, r.row_hash, r.lo, r.pos))
                 yield pd.DataFrame(made, columns=["anchor", "whole", "segment", "g1", "g2", "core", "span", "doc_id", "row_hash", "lo", "pos"])
@@ -170,8 +193,7 @@ def _hot_matches(contexts: DataFrame, length: int, first: bool) -> DataFrame:
         repeats = judged.where("alike and n_span > 1")
         if first:
             repeats = repeats.where(order != F.col("earliest"))
-        at = F.col("pos") - F.col("lo")
-        mine = repeats.groupBy(*ORDER).agg(F.collect_list(F.struct((at - F.col("g2")).alias("a"), (at - F.col("g1")).alias("b"))).alias("ranges"))
+        mine = repeats.select("doc_id", "row_hash", (F.col("pos") - F.col("g2")).alias("a"), (F.col("pos") - F.col("g1")).alias("b"))
         out = mine if out is None else out.unionAll(mine)
         open_ = settled(judged.where("not alike").groupBy("anchor", "whole").agg(F.collect_list("segment").alias("segments")), "open")
         if size == 1 or open_.isEmpty():
@@ -213,11 +235,10 @@ def repeated_spans(rows: DataFrame, length: int = 200, keep: str | None = None,
     cool, hot = contexts.where(F.col("m") <= shard_runs), contexts.where(F.col("m") > shard_runs)
     shards = max(1, -(-cool.count() // shard_runs))
     sharded = cool.withColumns({"z": F.col("doc_id").isNull(), "shard": F.pmod(F.xxhash64("anchor"), F.lit(shards))})
-    matched = sharded.groupBy("shard").applyInPandas(lambda x: shard_matches(x, length, first), f"doc_id {kind}, row_hash long, lo long, ranges {RANGES}")
+    matched = sharded.groupBy("shard").applyInPandas(lambda x: shard_matches(x, length, first), f"doc_id {kind}, row_hash long, a long, b long")
     if not hot.isEmpty():
         matched = matched.unionAll(_hot_matches(hot, length, first))
-    parts = matched.select("doc_id", "row_hash", "lo", F.explode("ranges").alias("s"))
-    parts = parts.select("doc_id", "row_hash", (F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b") + length).alias("b"))
+    parts = matched.select("doc_id", "row_hash", "a", (F.col("b") + length).alias("b"))
     return whole.unionAll(parts).groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
